@@ -70,3 +70,10 @@ def running_total(
 def distributed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence[Column | str], name: str) -> DataFrame:
     """Adds `name`: the row's place in its part, from 0, in the order given (which must be total)."""
     return running_total(df, part, bucket, order, F.lit(1), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it has fewer partitions than the session has cores (a few small files before costly work per row).
+    Larger inputs have more partitions than that and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
