@@ -5,11 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import spread
+from ..functions.sigla import plate, siglum
+from ..operators.skew import salted_join, spread
 from ..session import WorkDir, default_tokenizer, table
 from .encode import encode_corpus
 from .mixture import mix, shares
 from .readability import reading_levels
+from .splits import deal, grouped, torn
+
+
+def _groups(spark: SparkSession, sf: str):
+    return grouped(table(spark, sf, "pairs"), "rec_id", siglum(F.col("manuscript")), plate(F.col("plate")), WorkDir(spark, "p4"), ["split"])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _groups(spark, sf)
+    out = salted_join(rows.where("root is not null").select("rec_id", "root"), torn(rows, "split"), ["root"], ["rec_id"], "inner")
+    return out.select("rec_id", F.col("first_min").alias("group_ms"))
+
+
+def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _groups(spark, sf)
+    return deal(rows, "rec_id", {"train": 0.8, "val": 0.1, "test": 0.1}, WorkDir(spark, "p4")).select("rec_id", "split")
+
+
+def p4_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The spanning forest's edges: manuscript, plate and the round in which the edge was chosen."""
+    edges = _groups(spark, sf)[1].edges
+    if edges is None:
+        return spark.createDataFrame([], "manuscript string, plate string, round int")
+    return edges.select(F.substring("a", 3, 1 << 30).alias("manuscript"), F.substring("b", 3, 1 << 30).alias("plate"), "round")
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,5 +74,17 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return src.join(d, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_forest, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+
+SIGLUM = "regexp_replace(upper(replace(regexp_replace({0}, '[\\s.^]', '', 'g'), '_', '-')), '-[0-9]+$', '')"
+PLATE = "regexp_replace(lower(trim({0})), '/(rec|vrs)$', '')"
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE r AS (SELECT rec_id, split, 'a:' || {SIGLUM.format("manuscript")} AS a, 'b:' || {PLATE.format("plate")} AS b FROM pairs),
+        e AS (SELECT DISTINCT a AS x, b AS y FROM r WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT DISTINCT b, a FROM r WHERE a IS NOT NULL AND b IS NOT NULL),
+        reach(x, y) AS (SELECT a, a FROM r WHERE a IS NOT NULL UNION SELECT b, b FROM r WHERE b IS NOT NULL UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+        root AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+        g AS (SELECT rec_id, split, a, root FROM r JOIN root ON root.x = coalesce(r.a, r.b)),
+        t AS (SELECT root, min(a) AS a FROM g GROUP BY root HAVING count(DISTINCT split) > 1)
+        SELECT g.rec_id AS rec_id, substr(t.a, 3) AS group_ms FROM g JOIN t USING (root)""",
+}
