@@ -5,15 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sigla import plate, siglum
+from ..functions.sigla import letters, plate, siglum
 from ..operators.skew import salted_join, spread
 from ..session import WorkDir, default_tokenizer, table
 from .encode import encode_corpus
 from .mixture import mix, shares
+from .overlap import overlapping_rows
 from .readability import reading_levels
+from .spans import SharedSpans, chunks_of_texts, chunks_of_words, classes, with_members
 from .splits import deal, grouped, torn
 
 
+def _records(spark: SparkSession, sf: str):
+    """Restored lines as (tab, key, batch, text), and the words of scrolls as (tab, key, batch, word, word_id)."""
+    last = lambda c: F.max_by(c, F.struct("loaded_at", c))
+    lines = table(spark, sf, "m9_restore_lines").where("line_key is not null and text is not null").groupBy(F.col("line_key").alias("key"))
+    lines = lines.agg(last("text").alias("text"), _half_year_of_first().alias("batch")).withColumn("tab", F.lit("m9_restore_lines"))
+    words = table(spark, sf, "m9_variants").select(siglum(F.col("scroll")).alias("key"), "word_id", F.col("scroll_word").alias("word"), "loaded_at")
+    words = words.where("key is not null and key <> '' and word_id is not null and word is not null").groupBy("key", "word_id")
+    words = words.agg(last("word").alias("word"), F.min("loaded_at").alias("loaded_at"))
+    return lines, words
+
+
+def _half_year_of_first():
+    """The batch of a record: the half-year of its first delivery."""
+    return F.coalesce(F.year(F.min("loaded_at")) * 2 + F.floor((F.month(F.min("loaded_at")) - 1) / 6), F.lit(0)).cast("int")
+
+
+def _spans(spark: SparkSession, sf: str):
+    work = WorkDir(spark, "p2")
+    lines, words = _records(spark, sf)
+    lines = work.save(classes(work.save(lines, "lines")), "classes")
+    reps = lines.where("key = rep").select("tab", "key", F.col("first").alias("batch"), "text")
+    words = work.save(words, "words")
+    first = words.groupBy("key").agg(_half_year_of_first().alias("batch"))
+    words = salted_join(words.drop("loaded_at"), first, ["key"], ["word_id"], "inner").withColumn("tab", F.lit("m9_variants"))
+    chunks = chunks_of_texts(reps).unionByName(chunks_of_words(words, "word_id"))
+    return SharedSpans(chunks, work), lines, words
+
+
+_PAIR = "tab string, key_a string, key_b string"
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    spans, lines, _ = _spans(spark, sf)
+    pairs = spans.pairs()
+    members = lines.where("copies > 1 and length(text) >= 40").select("tab", "rep", "key")
+    return with_members(spark.createDataFrame([], _PAIR) if pairs is None else pairs, members)
+
+
+def p2_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each line and scroll stands elsewhere too, in characters and as a share."""
+    spans, lines, words = _spans(spark, sf)
+    covered = spans.covered()
+    if covered is None:
+        covered = spark.createDataFrame([], "tab string, key string, covered long")
+    n = words.groupBy("tab", "key").agg((F.sum(F.length("word") + 1) - 1).alias("n_chars"))
+    of_lines = lines.join(covered.withColumnRenamed("key", "rep"), ["tab", "rep"], "left")
+    shared = F.when((F.col("copies") > 1) & (F.length("text") >= 40), F.length("text")).otherwise(F.coalesce("covered", F.lit(0)))
+    of_lines = of_lines.select("tab", "key", F.length("text").cast("long").alias("n_chars"), shared.cast("long").alias("shared"))
+    of_words = n.join(covered, ["tab", "key"], "left").select("tab", "key", "n_chars", F.coalesce("covered", F.lit(0)).alias("shared"))
+    out = of_lines.unionByName(of_words)
+    return out.withColumn("share", F.round(F.coalesce(F.try_divide("shared", "n_chars"), F.lit(0.0)), 6))
+
+
 def _groups(spark: SparkSession, sf: str):
     return grouped(table(spark, sf, "pairs"), "rec_id", siglum(F.col("manuscript")), plate(F.col("plate")), WorkDir(spark, "p4"), ["split"])
 
@@ -37,6 +92,29 @@ def p4_forest(spark: SparkSession, sf: str) -> DataFrame:
     return edges.select(F.substring("a", 3, 1 << 30).alias("manuscript"), F.substring("b", 3, 1 << 30).alias("plate"), "round")
 
 
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    """(rec_id, split, source, siglum, frag) of each complete link."""
+    d = table(spark, sf, "pairs").select("rec_id", "split", F.explode("links").alias("l"))
+    part = lambda i: F.get(F.col("l.etcbc"), F.lit(i))
+    return d.select("rec_id", "split", F.col("l.source").alias("source"), siglum(part(0)).alias("siglum"), part(1).alias("frag")).where("siglum is not null and frag is not null")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _links(spark, sf).withColumnRenamed("rec_id", "key")
+    texts = table(spark, sf, "m9_restore_lines").select(siglum(F.col("scroll")).alias("siglum"), "frag", letters(F.col("text")).alias("letters"))
+    texts = texts.where("siglum is not null and frag is not null")
+    out = overlapping_rows(rows, texts, ["siglum", "frag"], WorkDir(spark, "p5"))
+    return out.select(F.least("train_key", "eval_key").alias("rec_a"), F.greatest("train_key", "eval_key").alias("rec_b"))
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Val and test rows that overlap with a train row, and all of them, by split and the source of their complete links."""
+    links = _links(spark, sf).where("split in ('val', 'test')").select("rec_id", "split", "source").distinct()
+    found = p5_found(spark, sf)
+    hit = found.select(F.col("rec_a").alias("rec_id")).unionByName(found.select(F.col("rec_b").alias("rec_id"))).distinct().withColumn("hit", F.lit(1))
+    return links.join(hit, "rec_id", "left").groupBy("split", "source").agg(F.count("*").alias("rows"), F.count("hit").alias("overlapping"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(spread(table(spark, sf, "documents").select("doc_id", "text")), default_tokenizer())
 
@@ -74,12 +152,33 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return src.join(d, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_forest, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p4_found, p4_splits, p4_forest, p5_found, p5_report, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
 
 SIGLUM = "regexp_replace(upper(replace(regexp_replace({0}, '[\\s.^]', '', 'g'), '_', '-')), '-[0-9]+$', '')"
 PLATE = "regexp_replace(lower(trim({0})), '/(rec|vrs)$', '')"
 
+_RECORDS = f"""recs AS (
+    SELECT 'm9_restore_lines' AS tab, line_key AS key, arg_max(text, loaded_at) AS text FROM m9_restore_lines WHERE text IS NOT NULL GROUP BY line_key
+    UNION ALL SELECT 'm9_variants', key, string_agg(word, ' ' ORDER BY word_id) FROM (SELECT DISTINCT {SIGLUM.format("scroll")} AS key, word_id, scroll_word AS word FROM m9_variants WHERE scroll IS NOT NULL) GROUP BY key),
+    wins AS (SELECT tab, key, i, substr(text, i, 40) AS w FROM (SELECT tab, key, text, unnest(range(1, length(text) - 38)) AS i FROM recs WHERE length(text) >= 40)),
+    hot AS (SELECT tab, w FROM wins GROUP BY tab, w HAVING count(DISTINCT key) > 1)"""
+
+# DuckDB's edit distance counts bytes, so Hebrew letters are first mapped to single bytes
+_LETTERS = "translate(regexp_replace(text, '\\s', '', 'g'), 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwxyzA')"
+_P5 = f"""WITH li AS (SELECT rec_id, split, {SIGLUM.format("l.etcbc[1]")} AS sg, l.etcbc[2] AS fr, l.source AS source FROM (SELECT rec_id, split, unnest(links) AS l FROM pairs) WHERE l.etcbc[1] IS NOT NULL AND l.etcbc[2] IS NOT NULL),
+    tx AS (SELECT DISTINCT {SIGLUM.format("scroll")} AS sg, frag AS fr, {_LETTERS} AS t FROM m9_restore_lines WHERE length({_LETTERS}) >= 20),
+    rt AS (SELECT DISTINCT rec_id, split, t FROM li JOIN tx USING (sg, fr)),
+    ta AS (SELECT DISTINCT t FROM rt WHERE split = 'train'), tb AS (SELECT DISTINCT t FROM rt WHERE split IN ('val', 'test')),
+    tm AS (SELECT ta.t AS a, tb.t AS b FROM ta JOIN tb ON abs(length(ta.t) - length(tb.t)) * 10 <= greatest(length(ta.t), length(tb.t)) AND levenshtein(ta.t, tb.t) * 10 <= greatest(length(ta.t), length(tb.t))),
+    found AS (SELECT DISTINCT least(x.rec_id, y.rec_id) AS rec_a, greatest(x.rec_id, y.rec_id) AS rec_b FROM tm JOIN rt x ON x.t = tm.a AND x.split = 'train' JOIN rt y ON y.t = tm.b AND y.split IN ('val', 'test'))"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_RECORDS} SELECT DISTINCT a.tab AS tab, a.key AS key_a, b.key AS key_b FROM wins a JOIN hot USING (tab, w) JOIN wins b ON a.tab = b.tab AND a.w = b.w AND a.key < b.key",
+    "p2_coverage": f"""WITH {_RECORDS}, cov AS (SELECT tab, key, count(DISTINCT p) AS n FROM (SELECT tab, key, unnest(range(i, i + 40)) AS p FROM wins JOIN hot USING (tab, w)) GROUP BY tab, key)
+        SELECT recs.tab AS tab, recs.key AS key, CAST(length(text) AS BIGINT) AS n_chars, coalesce(n, 0) AS shared, round(coalesce(coalesce(n, 0) / nullif(length(text), 0), 0.0), 6) AS share FROM recs LEFT JOIN cov ON recs.tab = cov.tab AND recs.key = cov.key""",
+    "p5_found": _P5 + " SELECT rec_a, rec_b FROM found",
+    "p5_report": _P5 + """, hit AS (SELECT rec_a AS rec_id FROM found UNION SELECT rec_b FROM found)
+        SELECT split, source, count(*) AS rows, count(hit.rec_id) AS overlapping FROM (SELECT DISTINCT rec_id, split, source FROM li WHERE split IN ('val', 'test')) l LEFT JOIN hit USING (rec_id) GROUP BY split, source""",
     "p4_found": f"""WITH RECURSIVE r AS (SELECT rec_id, split, 'a:' || {SIGLUM.format("manuscript")} AS a, 'b:' || {PLATE.format("plate")} AS b FROM pairs),
         e AS (SELECT DISTINCT a AS x, b AS y FROM r WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT DISTINCT b, a FROM r WHERE a IS NOT NULL AND b IS NOT NULL),
         reach(x, y) AS (SELECT a, a FROM r WHERE a IS NOT NULL UNION SELECT b, b FROM r WHERE b IS NOT NULL UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
