@@ -72,17 +72,11 @@ class WorkDir:
         (w.partitionBy(partition_by) if partition_by else w).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at) if not partition_by else self.spark.read.parquet(at)
 
-    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-        """Saved hashed by the keys into sorted buckets, so that joins on them need no shuffle of this side."""
+    def sorted_run(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+        """Saved in sorted buckets by the hash of the keys, so that joins on them need no shuffle of this side. df is to be
+        hashed by the keys into as many partitions, so that each task writes one bucket."""
         at, tab = self.place(name), f"lacuna_{uuid.uuid4().hex[:12]}"
-        (
-            df.repartition(buckets, *keys)
-            .write.mode("overwrite")
-            .option("path", at)
-            .bucketBy(buckets, *keys)
-            .sortBy(*keys)
-            .saveAsTable(tab)
-        )
+        df.write.mode("overwrite").option("path", at).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(tab)
         self.tables.append(tab)
         return self.spark.table(tab)
 
