@@ -134,7 +134,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return reading_levels(docs, table(spark, sf, "level_anchors"))
+    return reading_levels(docs, table(spark, sf, "level_anchors"), WorkDir(spark, "p8"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,7 +104,7 @@ def unlisted(words: Counter, listed: frozenset) -> float:
     return outside / max(1, inside + outside)
 
 
-def document_shares(docs: DataFrame, text: str, least: float) -> dict[str, float]:
+def document_shares(docs: DataFrame, text: str, least: float, work) -> dict[str, float]:
     """The words in at least a share `least` of the English documents, with their shares."""
 
     def run(batches):
@@ -124,14 +124,13 @@ def document_shares(docs: DataFrame, text: str, least: float) -> dict[str, float
         if held:
             yield out()
 
-    counts = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # the row of the empty word counts the documents themselves
-    total = counts.where("word = ''").select(F.col("n").alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * least)  # one row
-    rows = kept.select("word", F.col("n") / F.col("total")).limit(MAX_LIST + 1).collect()
+    # written, as the texts are read once for both the total and the words; the row of the empty word counts the documents
+    counts = work.save(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = sum(r[0] for r in counts.where("word = ''").select("n").collect())
+    rows = counts.where(F.col("n") >= F.lit(total * least)).where("word <> ''").limit(MAX_LIST + 1).collect()
     if len(rows) > MAX_LIST:
         raise ValueError("the word list is larger than its bound")
-    return {w: s for w, s in rows if w}
+    return {r["word"]: r["n"] / total for r in rows}
 
 
 def fit(anchors: list[tuple[int, Counter, int]], shares: dict[str, float], thetas: tuple[float, ...]):
@@ -159,9 +158,9 @@ def fit(anchors: list[tuple[int, Counter, int]], shares: dict[str, float], theta
     return listed, c, [(levels[0], float("-inf")), *cuts]
 
 
-def reading_levels(docs: DataFrame, anchors: DataFrame, key: str = "doc_id", text: str = "text", thetas: tuple[float, ...] = THETAS) -> DataFrame:
+def reading_levels(docs: DataFrame, anchors: DataFrame, work, key: str = "doc_id", text: str = "text", thetas: tuple[float, ...] = THETAS) -> DataFrame:
     """(key, level, score, unlisted, asl, english, n_words) of each row; see the module for the definitions."""
-    shares = document_shares(docs, text, min(thetas))
+    shares = document_shares(docs, text, min(thetas), work)
     known = []
     for level, t in anchors.select(F.col("level").cast("int"), "text").where("level is not null and text is not null").collect():
         got = reader().cut(t)
