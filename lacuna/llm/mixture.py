@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import running_total
@@ -140,7 +140,7 @@ def shares(drawn: DataFrame, plans: list[Plan]) -> DataFrame:
         "source string, target_share double, weight double, max_repeats int, available long",
     )
     out = table.join(used, "source", "left").fillna(0, ["drawn", "documents", "repeats"])
-    total = used.agg(F.sum("drawn").alias("total"))
-    return out.crossJoin(F.broadcast(total)).select(  # one row
-        "source", "target_share", F.coalesce(F.col("drawn") / F.col("total"), F.lit(0.0)).alias("share"), "weight", "max_repeats", "repeats", "documents", "available", "drawn"
+    total = F.sum("drawn").over(Window.partitionBy(F.lit(0)))  # one row for each source
+    return out.select(
+        "source", "target_share", F.coalesce(F.try_divide("drawn", total), F.lit(0.0)).alias("share"), "weight", "max_repeats", "repeats", "documents", "available", "drawn"
     )
