@@ -57,7 +57,8 @@ class FMIndex:
             self.text[at : at + len(p)] = p
         sa = suffix_array(self.text)
         self.bwt = self.text[sa - 1] if len(sa) else self.text
-        marked = sa % PLACE_EVERY == 0
+        # the first letter of each text is marked too: ranks of separators don't lead back over the end of the text before
+        marked = (sa % PLACE_EVERY == 0) | (self.bwt == 0)
         self.marks, self.places = np.packbits(marked), sa[marked].astype(np.int32)
         self._prepare()
 
