@@ -72,7 +72,7 @@ class Reader:
         total = sum(words.values())
         if not total or 2 * sum(n for w, n in words.items() if w[0] < "ɐ") < total:
             return None
-        n = 0
+        n = done = 0
         for m in self.ends(text):
             at = m.start()
             if text[at] == ".":
@@ -80,7 +80,8 @@ class Reader:
                 if before and before[-1].lower() in self.short:
                     continue
             n += 1
-        return words, max(1, n)
+            done = m.end()
+        return words, max(1, n + bool(text[done:].strip()))
 
 
 @lru_cache(maxsize=1)
