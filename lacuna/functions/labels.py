@@ -34,7 +34,7 @@ def fragment_label(c: Column) -> Column:
 
 def plate_key(c: Column) -> Column:
     """A plate without side and leading stars, lower case."""
-    return F.lower(F.ltrim(F.lit("*"), F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "/(Rec|Vrs)$", "")))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "/(Rec|Vrs)$", ""), r"^\*+", ""))
 
 
 def manuscript_status(script: Column, language: Column, known: Column) -> Column:

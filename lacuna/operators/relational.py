@@ -16,7 +16,7 @@ BROADCAST_BYTES = 64 << 20
 
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if the optimizer's size estimate is under the bound."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 

@@ -62,11 +62,11 @@ def llr_table(reading: DataFrame, keys: Sequence[str], index: str, background: D
     total = Window.partitionBy(*k)
     r = reading.groupBy(*k, "sym").agg(F.sum("p").alias("p")).withColumn("p", F.col("p") / F.sum("p").over(total))
     bg = [tuple(x) for x in background.select("sym", "q").collect()]  # one row for each letter of the alphabet
-    every = F.inline(F.array(*[F.struct(F.lit(a).alias("sym"), F.lit(float(b)).alias("q")) for a, b in bg])) if bg else None
+    every = F.inline(F.array(*[F.struct(F.lit(a).alias("sym"), F.lit(float(b)).alias("_bg")) for a, b in bg])) if bg else None
     if every is None:
         return reading.select(*k, "sym", F.lit(0.0).alias("s")).limit(0)
     full = r.select(*k).distinct().select(*k, every).join(r, [*k, "sym"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)) + eps)
-    den = F.sum(F.col("q") * F.col("p")).over(total)
+    den = F.sum(F.col("_bg") * F.col("p")).over(total)
     return full.select(*k, "sym", F.log(F.col("p") / den).alias("s"))
 
 

@@ -272,6 +272,8 @@ def category_side(spark, sf):
 
 
 # ------------------------------------------------------------------ words of scrolls against the base text
+# DuckDB's edit distance counts bytes, so letters are first mapped to single ones
+BYTES = "translate({0}, 'אבגדהוזחטיךכלםמןנסעףפץצקרשת', 'abcdefghijklmnopqrstuvwxyzA')"
 FOLD = "translate({0}, 'ךםןףץ', 'כמנפצ')"
 ORTHO = "regexp_replace(translate({0}, 'ךםןףץ', 'כמנפצ'), '[ויא]', '', 'g')"
 QSP = "regexp_replace(regexp_replace(translate({0}, 'ךםןףץ', 'כמנפצ'), '[ויא]', '', 'g'), '([כתמ])ה$', '\\1')"
@@ -287,7 +289,7 @@ def words(spark, sf) -> DataFrame:
     return g.select("word_id", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-@query(f"WITH {WRD} SELECT word_id, {KIND} AS new_kind, CASE WHEN {KIND} = 'orthographic' THEN length(scroll_word) - length(mt) ELSE 0 END AS new_plene, levenshtein(scroll_word, coalesce(mt, '')) AS edits FROM wrd")
+@query(f"WITH {WRD} SELECT word_id, {KIND} AS new_kind, CASE WHEN {KIND} = 'orthographic' THEN length(scroll_word) - length(mt) ELSE 0 END AS new_plene, levenshtein({BYTES.format('scroll_word')}, {BYTES.format("coalesce(mt, '')")}) AS edits FROM wrd")
 def variant_kinds(spark, sf):
     k = H.variant_kind(F.col("scroll_word"), F.col("mt"))
     d = words(spark, sf).withColumn("new_kind", k)
@@ -305,7 +307,7 @@ def scroll_rates(spark, sf):
 
 
 @query(
-    f"WITH {WRD}, at AS (SELECT sg, ref, j, max(CASE WHEN kind = 'substantive' THEN {QSP.format('scroll_word')} END) AS m FROM wrd WHERE j IS NOT NULL AND ref IS NOT NULL GROUP BY ALL) SELECT x.sg AS a, y.sg AS b, count(*) AS overlap, count(*) FILTER (WHERE x.m = y.m) AS shared FROM at x JOIN at y ON x.ref = y.ref AND x.j = y.j AND x.sg < y.sg GROUP BY ALL HAVING count(*) FILTER (WHERE x.m = y.m) >= 1"
+    f"WITH {WRD}, pl AS (SELECT sg, ref, j, max(CASE WHEN kind = 'substantive' THEN {QSP.format('scroll_word')} END) AS m FROM wrd WHERE j IS NOT NULL AND ref IS NOT NULL GROUP BY ALL) SELECT x.sg AS a, y.sg AS b, count(*) AS overlap, count(*) FILTER (WHERE x.m = y.m) AS shared FROM pl x JOIN pl y ON x.ref = y.ref AND x.j = y.j AND x.sg < y.sg GROUP BY ALL HAVING count(*) FILTER (WHERE x.m = y.m) >= 1"
 )
 def shared_pairs(spark, sf):
     """Pairs of scrolls with the same reading against the base text."""

@@ -78,7 +78,7 @@ def encoded_labels(spark, sf):
 
 
 @query(
-    f"WITH {_LINES}, s AS (SELECT rec_id, k AS key, line, coalesce(list_reduce(list_transform(range(1, least(length(text), length(marks)) + 1), lambda i: CASE WHEN substr(marks, i, 1) IN ('.', 'u') THEN CASE WHEN regexp_matches(substr(text, i, 1), '[א-ת]') THEN {FOLD.format('substr(text, i, 1)')} ELSE '' END WHEN substr(marks, i, 1) = 'r' THEN '|' WHEN substr(marks, i, 1) IN ('#', 'p') THEN '~' ELSE '' END), lambda x, y: x || y), '') AS s FROM ln) SELECT rec_id, key, regexp_replace(regexp_replace(string_agg(s, '' ORDER BY line), '\\|~+', '|', 'g'), '~+', '|', 'g') || '|' AS symbols FROM s GROUP BY rec_id, key"
+    f"WITH {_LINES}, s AS (SELECT rec_id, k AS key, line, coalesce(list_reduce(list_transform(range(0, least(length(text), length(marks)) + 1), lambda i: CASE WHEN substr(marks, i, 1) IN ('.', 'u') THEN CASE WHEN regexp_matches(substr(text, i, 1), '[א-ת]') THEN {FOLD.format('substr(text, i, 1)')} ELSE '' END WHEN substr(marks, i, 1) = 'r' THEN '|' WHEN substr(marks, i, 1) IN ('#', 'p') THEN '~' ELSE '' END), lambda x, y: x || y), '') AS s FROM ln) SELECT rec_id, key, regexp_replace(regexp_replace(string_agg(s, '' ORDER BY line), '\\|~+', '|', 'g'), '~+', '|', 'g') || '|' AS symbols FROM s GROUP BY rec_id, key"
 )
 def corpus_symbols(spark, sf):
     """Each fragment as letters and barriers: one for each reconstructed letter, one for a gap, one at the end."""
@@ -86,11 +86,11 @@ def corpus_symbols(spark, sf):
 
 
 # ------------------------------------------------------------------ exact search
-_RUNS = f"{_LINES}, rn AS (SELECT rec_id, key, r AS run FROM (SELECT rec_id, k AS key, unnest(string_split(coalesce(list_reduce(list_transform(range(1, least(length(text), length(marks)) + 1), lambda i: CASE WHEN substr(marks, i, 1) IN ('.', 'u') AND regexp_matches(substr(text, i, 1), '[א-ת]') THEN {FOLD.format('substr(text, i, 1)')} WHEN substr(marks, i, 1) = ' ' THEN '' ELSE '|' END), lambda x, y: x || y), ''), '|')) AS r FROM ln))"
+_RUNS = f"{_LINES}, rn AS (SELECT rec_id, key, r AS run FROM (SELECT rec_id, k AS key, unnest(string_split(coalesce(list_reduce(list_transform(range(0, least(length(text), length(marks)) + 1), lambda i: CASE WHEN substr(marks, i, 1) IN ('.', 'u') AND regexp_matches(substr(text, i, 1), '[א-ת]') THEN {FOLD.format('substr(text, i, 1)')} WHEN substr(marks, i, 1) = ' ' THEN '' ELSE '|' END), lambda x, y: x || y), ''), '|')) AS r FROM ln))"
 
 
 @query(
-    f"WITH {_RUNS}, {CORPUS}, w AS (SELECT line_key, letters, i, substr(letters, i, 10) AS g FROM (SELECT line_key, letters, unnest(range(1, length(letters) - 8)) AS i FROM corpus WHERE length(letters) >= 10)), h AS (SELECT rec_id, key, run, line_key, i FROM (SELECT DISTINCT rec_id, key, run FROM rn WHERE length(run) >= 10) r JOIN w ON w.g = substr(run, 1, 10) AND substr(letters, i, length(run)) = run), b AS (SELECT rec_id, key, run, count(*) AS hits, row_number() OVER (PARTITION BY rec_id, key ORDER BY length(run) DESC, run) AS r FROM h GROUP BY ALL) SELECT rec_id, key, run, hits FROM b WHERE r = 1"
+    f"WITH {_RUNS}, {CORPUS}, w AS (SELECT line_key, letters, i, substr(letters, i, 10) AS g FROM (SELECT line_key, letters, unnest(range(1, length(letters) - 8)) AS i FROM corpus WHERE length(letters) >= 10)), h AS (SELECT rec_id, key, run, line_key, i FROM (SELECT DISTINCT rec_id, key, run FROM rn WHERE length(run) >= 10) r JOIN w ON w.g = substr(run, 1, 10) AND substr(letters, i, length(run)) = run), n AS (SELECT rec_id, key, run, count(*) AS hits FROM h GROUP BY rec_id, key, run), b AS (SELECT *, row_number() OVER (PARTITION BY rec_id, key ORDER BY length(run) DESC, run) AS r FROM n) SELECT rec_id, key, run, hits FROM b WHERE r = 1"
 )
 def passage_exact(spark, sf):
     """The longest preserved run of each record that stands in the corpus, and how often."""
@@ -137,7 +137,7 @@ def pattern_e_value(spark, sf):
     w = table(spark, sf, "m9_variants").where("length(scroll_word) >= 4").select(H.fold(F.col("scroll_word")).alias("pattern")).distinct()
     letters = w.select("pattern", F.explode(F.split("pattern", "")).alias("letter")).where("letter <> ''")
     j = letters.join(R.small(f), "letter", "left")
-    return j.groupBy("pattern").agg(F.round(F.lit(float(n)).cast("double") * 0 + F.log(F.lit(float(n))) + F.sum(F.log(F.coalesce("share", F.lit(1e-6)))), 6).alias("log_e"))
+    return j.groupBy("pattern").agg(F.round(F.log(F.lit(float(n or 1))) + F.sum(F.log(F.coalesce("share", F.lit(1e-6)))), 6).alias("log_e"))
 
 
 # ------------------------------------------------------------------ scored search
@@ -217,7 +217,7 @@ def line_surprisal(spark, sf):
     return P.surprisal(c, "line_key", F.col("letters"), m).select("line_key", F.round("surprisal", 6).alias("surprisal"))
 
 
-_CH = f"{WRD}, x AS (SELECT sg, word_id AS pos, greatest(coalesce(plene, 0), 0) + length(scroll_word) - 3.0 AS s0, length(scroll_word) % 4 - 1.0 AS s1 FROM wrd)"
+_CH = f"{WRD}, x AS (SELECT sg, word_id AS pos, greatest(coalesce(plene, 0), 0) + length(scroll_word) - CAST(3 AS DOUBLE) AS s0, length(scroll_word) % 4 - CAST(1 AS DOUBLE) AS s1 FROM wrd)"
 
 
 @query(f"WITH {_CH} SELECT sg, pos, greatest(s0, 0) + coalesce(max(greatest(s1, 0)) OVER (PARTITION BY sg ORDER BY pos RANGE BETWEEN 15 FOLLOWING AND 140 FOLLOWING), 0) AS score FROM x")

@@ -134,7 +134,7 @@ def group_z(spark, sf):
     d = restored(spark, sf).where("length is not null").select("line_key", "frag", F.col("length").cast("double").alias("x"), "share_rec")
     null = d.where("share_rec < 0.7")
     flat = null.groupBy("frag").agg(F.stddev_pop("x").alias("sd")).where("sd = 0").select("frag")
-    out = C.control_z(d.where("share_rec >= 0.7").join(flat, "frag", "left_anti"), null, ["frag"], "x")
+    out = S.control_z(d.where("share_rec >= 0.7").join(flat, "frag", "left_anti"), null, ["frag"], "x")
     return out.select("line_key", F.round("z", 4).alias("z"))
 
 
@@ -200,7 +200,7 @@ def quality_flags(spark, sf):
     return d.select("name", S.quality_flag(F.col("area"), F.col("density"), F.col("blobs"), F.col("preserved"), F.lit(limit).cast("double")).alias("flag"))
 
 
-@query(f"WITH {K.WRD}, e AS (SELECT sg, levenshtein(scroll_word, mt) AS e, length(mt) AS n FROM wrd WHERE mt IS NOT NULL AND mt <> '') SELECT sg, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS letters, round(sum(e) / sum(n), 6) AS rate FROM e GROUP BY sg")
+@query(f"WITH {K.WRD}, e AS (SELECT sg, levenshtein({K.BYTES.format('scroll_word')}, {K.BYTES.format('mt')}) AS e, length(mt) AS n FROM wrd WHERE mt IS NOT NULL AND mt <> '') SELECT sg, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS letters, round(sum(e) / sum(n), 6) AS rate FROM e GROUP BY sg")
 def micro_error_rate(spark, sf):
     """Edits per letter, summed over a scroll."""
     d = K.words(spark, sf).where("mt is not null and mt <> ''").select("sg", F.levenshtein("scroll_word", "mt").alias("e"), F.length("mt").alias("n"))
@@ -251,7 +251,7 @@ def count_agreement(spark, sf):
     return g.agg(F.count("*").alias("fragments"), avg(v == s).alias("exact"), avg(F.abs(v - s) <= 1).alias("within_one"), avg(v < s).alias("fewer"))
 
 
-@query(f"WITH {K.WRD} SELECT kind, sg, n FROM (SELECT kind, sg, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, sg) AS r FROM wrd GROUP BY ALL) WHERE r <= 8")
+@query(f"WITH {K.WRD} SELECT kind, sg, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, sg) AS r FROM (SELECT kind, sg, count(*) AS n FROM wrd GROUP BY kind, sg)) WHERE r <= 8")
 def most_common(spark, sf):
     g = K.words(spark, sf).groupBy("kind", "sg").agg(F.count("*").alias("n"))
     return R.top_per_group(g, ["kind"], [F.desc("n"), F.col("sg")], 8).drop("rank")
