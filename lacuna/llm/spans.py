@@ -93,8 +93,9 @@ def _hashes(codes, size: int):
         base = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
         back = np.uint64(pow(int(base), -1, 1 << 64))
         n = len(codes)
-        power = np.cumprod(np.concatenate(([1], np.full(max(0, n - 1), base, dtype=np.uint64))).astype(np.uint64))
-        inverse = np.cumprod(np.concatenate(([1], np.full(max(0, n - 1), back, dtype=np.uint64))).astype(np.uint64))
+        power, inverse = np.full(n, base, dtype=np.uint64), np.full(n, back, dtype=np.uint64)
+        power[:1] = inverse[:1] = 1
+        power, inverse = np.cumprod(power), np.cumprod(inverse)
         mixed = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((mixed + np.uint64(1)) * power)))

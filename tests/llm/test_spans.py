@@ -51,3 +51,15 @@ def test_copies_and_empty(spark, work):
     assert got == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
     none = SharedSpans(chunks_of_texts(d.limit(0)), work, 4)
     assert none.pairs() is None and none.covered() is None
+
+
+def test_hashes_tell_windows_apart():
+    import numpy as np
+
+    from lacuna.llm.spans import SEED, _hashes
+
+    rnd = np.random.default_rng(1)
+    codes = rnd.integers(0x5D0, 0x5EB, 20_000).astype(np.uint32)
+    h = _hashes(np.concatenate([codes, codes]), SEED)
+    assert len(set(h[: 20_000 - SEED + 1].tolist())) == 20_000 - SEED + 1
+    assert (h[: 20_000 - SEED + 1] == h[20_000:]).all()
