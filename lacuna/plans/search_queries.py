@@ -344,12 +344,13 @@ def label_rank(spark, sf):
 
 
 @query(
-    f"WITH {_KNN.format(cond='true')}, h AS (SELECT q, max(CASE WHEN rank <= 1 AND label = q_label THEN 1 ELSE 0 END) AS h1, max(CASE WHEN rank <= 5 AND label = q_label THEN 1 ELSE 0 END) AS h5, max(CASE WHEN label = q_label THEN 1 ELSE 0 END) AS h10 FROM nn WHERE rank <= 10 GROUP BY q), c AS (SELECT a.vec_id AS q, (SELECT count(*) FROM embeddings b WHERE b.label = a.label AND b.vec_id % 7 <> a.vec_id % 7) AS same, (SELECT count(*) FROM embeddings b WHERE b.vec_id % 7 <> a.vec_id % 7) AS valid FROM embeddings a) SELECT count(*) AS queries, round(avg(coalesce(h1, 0)), 6) AS top1, round(avg(coalesce(h5, 0)), 6) AS top5, round(avg(coalesce(h10, 0)), 6) AS top10, round(avg(same / valid), 6) AS chance_top1, round(1 - avg(pow(1 - same / valid, 10)), 6) AS chance_top10 FROM c LEFT JOIN h USING (q) WHERE same > 0"
+    f"WITH {_KNN.format(cond='a.vec_id % 20 = 0')}, h AS (SELECT q, max(CASE WHEN rank <= 1 AND label = q_label THEN 1 ELSE 0 END) AS h1, max(CASE WHEN rank <= 5 AND label = q_label THEN 1 ELSE 0 END) AS h5, max(CASE WHEN label = q_label THEN 1 ELSE 0 END) AS h10 FROM nn WHERE rank <= 10 GROUP BY q), c AS (SELECT a.vec_id AS q, (SELECT count(*) FROM embeddings b WHERE b.label = a.label AND b.vec_id % 7 <> a.vec_id % 7) AS same, (SELECT count(*) FROM embeddings b WHERE b.vec_id % 7 <> a.vec_id % 7) AS valid FROM embeddings a WHERE a.vec_id % 20 = 0) SELECT count(*) AS queries, round(avg(coalesce(h1, 0)), 6) AS top1, round(avg(coalesce(h5, 0)), 6) AS top5, round(avg(coalesce(h10, 0)), 6) AS top10, round(avg(same / valid), 6) AS chance_top1, round(1 - avg(pow(1 - same / valid, 10)), 6) AS chance_top10 FROM c LEFT JOIN h USING (q) WHERE same > 0"
 )
 def retrieval_metrics(spark, sf):
     d = _vectors(spark, sf)
-    n = V.nearest(d, "vec_id", "embedding", "plate", "label", 10)
-    m = V.retrieval(d, n, "vec_id", "plate", "label")
+    asked = F.col("vec_id") % 20 == 0
+    n = V.nearest(d, "vec_id", "embedding", "plate", "label", 10, d.where(asked))
+    m = V.retrieval(d, n, "vec_id", "plate", "label", asked)
     return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns if c != "queries"])
 
 
@@ -454,3 +455,70 @@ def null_groups(spark, sf):
     s = C.hash_sample(d, ["sg"], 5, "3", "line_key")
     g = R.top_per_group(s, ["sg"], [C.hash_order("3", "line_key"), F.col("line_key")], 5)
     return g.groupBy((F.col("rank") - 1).cast("int").alias("draw")).agg(F.count("*").alias("members"), F.round(F.sum(-F.col("z")), 4).alias("stat"))
+
+
+@query(f"WITH {CORPUS}, l AS (SELECT sg, unnest(string_split(letters, '')) AS letter FROM corpus WHERE sg IS NOT NULL), n AS (SELECT sg, letter, count(*) AS n FROM l WHERE letter <> '' GROUP BY ALL) SELECT sg, letter, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sg ORDER BY n DESC, letter) AS r, n / sum(n) OVER (PARTITION BY sg) AS p FROM n) WHERE r <= 5 AND p >= 0.01")
+def topk_letters(spark, sf):
+    """The five most frequent letters of each scroll, with a share of at least 0.01."""
+    n = S.letter_frequency(K.corpus_lines(spark, sf).where("sg is not null"), F.col("letters"), ["sg"])
+    return R.top_per_group(n, ["sg"], [F.desc("n"), F.col("letter")], 5).where("share >= 0.01").select("sg", "letter", "n", "rank")
+
+
+@query("SELECT rec_id, len(map_keys(lines)) AS fragments, coalesce(len(list_filter(map_values(lines), lambda v: len(v) >= 2)), 0) AS long_ones, coalesce(list_max(list_transform(map_values(lines), lambda v: len(v))), 0) AS most FROM pairs WHERE lines IS NOT NULL")
+def map_summaries(spark, sf):
+    """How many fragments' lines a record has, and how long they are."""
+    d = table(spark, sf, "pairs").where("lines is not null").withColumn("v", F.map_values("lines"))
+    size = F.transform("v", lambda x: F.when(x.isNotNull(), F.size(x)))
+    return d.select("rec_id", F.size("v").cast("long").alias("fragments"), F.size(F.filter(size, lambda n: n >= 2)).cast("long").alias("long_ones"), F.coalesce(F.array_max(size), F.lit(0)).cast("long").alias("most"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(h, lambda x: x * x)), 6) AS total, round(h[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: sqrt(abs(CAST(x AS DOUBLE)) / greatest(list_sum(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))), 1))) AS h FROM embeddings)")
+def hellinger_vectors(spark, sf):
+    """Square roots of shares of vectors taken as histograms."""
+    h = V.hellinger(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    return table(spark, sf, "embeddings").select("vec_id", h.alias("h")).select("vec_id", F.round(V.dot(F.col("h"), F.col("h")), 6).alias("total"), F.round(F.get("h", F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {PRS}, s AS (SELECT avg(ln(1 + w)) AS mw, stddev_pop(ln(1 + w)) AS sw, avg(ln(1 + h)) AS mh, stddev_pop(ln(1 + h)) AS sh FROM prs WHERE w >= 0 AND h >= 0) SELECT name, round((ln(1 + w) - mw) / (sw * sqrt(2)), 5) AS w_std, round((ln(1 + h) - mh) / (sh * sqrt(2)), 5) AS h_std FROM prs, s WHERE w >= 0 AND h >= 0")
+def standardised_sizes(spark, sf):
+    d = K.pairs(spark, sf).where("w >= 0 and h >= 0").select("name", "w", "h")
+    return V.standardised(d, ["w", "h"]).select("name", F.round("w_std", 5).alias("w_std"), F.round("h_std", 5).alias("h_std"))
+
+
+@query(
+    f"WITH {PRS}, {K.CNT}, {K.LNK}, c AS (SELECT sg, fragment AS label, preserved FROM cnt WHERE preserved >= 5 AND paleo <= preserved / 2 AND sg IS NOT NULL), n AS (SELECT sg, count(*) AS n FROM lnk GROUP BY sg) SELECT c.sg AS sg, c.label AS label, CASE WHEN c.sg IN (SELECT {SG('manuscript')} FROM prs WHERE manuscript IS NOT NULL) THEN 'missing_link' WHEN coalesce(n.n, 0) = 0 THEN 'no_image_scroll' ELSE 'unlinked_fragment' END AS kind FROM c LEFT JOIN n ON n.sg = c.sg WHERE NOT EXISTS (SELECT 1 FROM lnk WHERE lnk.sg = c.sg AND lnk.label = c.label)"
+)
+def hit_kinds(spark, sf):
+    """Why a fragment with text has no picture."""
+    from ..operators.signs import hit_kind
+
+    p = K.pairs(spark, sf)
+    n = K.links(p, "name").groupBy("sg").agg(F.count("*").alias("n"))
+    ms = p.where("manuscript is not null").select(siglum(F.col("manuscript")).alias("sg")).distinct().withColumn("own", F.lit(True))
+    d = K.anti_unlinked(spark, sf).join(n, "sg", "left").join(ms, "sg", "left")
+    return d.select("sg", "label", hit_kind(F.coalesce("own", F.lit(False)), F.col("n")).alias("kind"))
+
+
+@query(f"WITH {_LN}, d AS (SELECT sg, frag, abs(z) AS z, row_number() OVER (PARTITION BY sg ORDER BY md5('5|' || line_key), line_key) AS r FROM rl WHERE sg IS NOT NULL AND z IS NOT NULL), k AS (SELECT k FROM (VALUES (1), (2), (3), (5), (8)) t(k)) SELECT CAST(k AS INTEGER) AS k, count(DISTINCT sg) AS groups, round(avg(s), 6) AS mean FROM (SELECT k, sg, sum(z) AS s, count(*) AS n FROM d JOIN k ON r <= k GROUP BY ALL HAVING count(*) = k) GROUP BY k")
+def group_sweep(spark, sf):
+    """Groups of one to eight lines of a scroll: how many there are, and the mean of their summed scores."""
+    d = T.restored(spark, sf).where("sg is not null and z is not null").select("line_key", "sg", F.abs("z").alias("z"))
+    d = R.top_per_group(d, ["sg"], [C.hash_order("5", "line_key"), F.col("line_key")], 8, "r")
+    d = d.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 8)]), lambda k: k >= F.col("r"))))
+    g = d.groupBy("k", "sg").agg(F.sum("z").alias("s"), F.count("*").alias("n")).where("n = k")
+    return g.groupBy("k").agg(F.count("*").alias("groups"), F.round(F.avg("s"), 6).alias("mean"))
+
+
+@query()
+def prior_search(spark, sf):
+    """Held-out lines searched only in copies of their manuscript's composition: the best of the lines that have six letters
+    in a row in common with it."""
+    copies = candidate_copies(spark, sf).select(siglum(F.col("ms")).alias("ms"), siglum(F.col("copy")).alias("sg")).distinct()
+    q = transcribed(spark, sf).where("split = 'test'").select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("ms"), H.consonants(H.fold(F.col("text"))).alias("a"))
+    c = K.corpus_lines(spark, sf).select("sg", "line_key", F.col("letters").alias("b"))
+    q = q.where("length(a) >= 10").join(copies, "ms")
+    seeds = Q.windows_of(q, ["q", "sg", "a"], "a", 6).select("q", "sg", "a", "gram").distinct()
+    hit = seeds.join(Q.windows_of(c, ["sg", "line_key"], "b", 6).select("sg", "line_key", "gram"), ["sg", "gram"]).select("q", "a", "line_key").distinct()
+    d = hit.join(c, "line_key")
+    d = A.best_substring(d, "a", "b", ["q", "line_key", "a"]).withColumn("err", F.round(F.col("edits") / F.length("a"), 6))
+    return R.top_per_group(d, ["q"], [F.col("err"), F.col("line_key")], 1).select("q", "line_key", "err")
