@@ -157,7 +157,7 @@ def ctc_align(logp, target: Sequence[int]) -> list[list[int]] | None:
         if s % 2:
             frames[s // 2].append(t)
         s -= int(came[t, s])
-    return frames
+    return [f[::-1] for f in frames]
 
 
 def gapped_scores(table, codes, gap: float = 4.0):
