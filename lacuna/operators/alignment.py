@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .skew import fan_out
+
 
 # ---------------------------------------------------------------- kernels
 def semiglobal(a: str, b: str) -> tuple[int, int, int]:
@@ -180,6 +182,26 @@ def gapped_scores(table, codes, gap: float = 4.0):
     return best[::-1]
 
 
+def ungapped_scores(table, codes):
+    """(scores, stretch) of a reading on a text: the sum of symbol scores at every place at which all of it lies in the text,
+    and the best stretch of consecutive positions on any diagonal, also on those that leave the text."""
+    import numpy as np
+
+    t, c = np.asarray(table, dtype=float), np.asarray(codes, dtype=np.int64)
+    n, m = len(t), len(c)
+    cells = t[:, c]
+    # diagonals o = pos - i from -(n - 1) to m - 1, one row of cells at a time
+    run, best = np.zeros(n + m - 1), np.full(n + m - 1, -np.inf)
+    total = np.zeros(max(0, m - n + 1))
+    for i in range(n):
+        here = slice(n - 1 - i, n - 1 - i + m)
+        run[here] = np.maximum(run[here], 0.0) + cells[i]
+        best[here] = np.maximum(best[here], run[here])
+        if len(total):
+            total += cells[i, i : i + len(total)]
+    return total, float(best.max())
+
+
 # ---------------------------------------------------------------- on DataFrames
 def best_substring(pairs: DataFrame, a: str, b: str, keep: Sequence[str]) -> DataFrame:
     """(keep..., edits, start, end): `semiglobal` of each row; null if either side is null, and an empty a fits with 0 edits."""
@@ -194,7 +216,7 @@ def best_substring(pairs: DataFrame, a: str, b: str, keep: Sequence[str]) -> Dat
             cols = [pa.array([g[i] for g in got], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*t.columns[:n], *cols], names=[*keep, "edits", "start", "end"])
 
-    return pairs.select(*keep, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInArrow(run, schema)
+    return fan_out(pairs.select(*keep, F.col(a).alias("_a"), F.col(b).alias("_b"))).mapInArrow(run, schema)
 
 
 def aligned_words(groups: DataFrame, keep: Sequence[str], scroll: str, base: str) -> DataFrame:
@@ -238,7 +260,7 @@ def aligned_bands(df: DataFrame, keep: Sequence[str], bands: str, lines: str, pi
 def gapped_search(readings: DataFrame, texts: DataFrame, pairs: DataFrame, query: str, doc: str, gap: float = 4.0) -> DataFrame:
     """(query, doc, off, score): the best gapped local score of each candidate pair. readings(query, table: array of arrays over
     symbols), texts(doc, codes: array of symbols), pairs(query, doc) from a prefilter."""
-    d = pairs.join(readings, query).join(texts, doc).select(query, doc, "table", "codes")
+    d = fan_out(pairs.join(readings, query).join(texts, doc).select(query, doc, "table", "codes"))
     schema = T.StructType([d.schema[query], d.schema[doc], *T._parse_datatype_string("off int, score double").fields])
 
     def run(frames):
@@ -255,3 +277,28 @@ def gapped_search(readings: DataFrame, texts: DataFrame, pairs: DataFrame, query
             yield pd.DataFrame(rows, columns=[query, doc, "off", "score"]).astype({"off": "int32", "score": "float64"})
 
     return d.mapInPandas(run, schema)
+
+
+def ungapped_search(readings: DataFrame, texts: DataFrame, pairs: DataFrame, query: str, doc: str) -> DataFrame:
+    """(query, doc, off, score, stretch) of each candidate pair: the best place of the whole reading (null if the text is
+    shorter; of scores equal to four decimals the first), and the best stretch. Inputs as for `gapped_search`."""
+    d = fan_out(pairs.join(readings, query).join(texts, doc).select(query, doc, "table", "codes"))
+    schema = T.StructType([d.schema[query], d.schema[doc], *T._parse_datatype_string("off long, score double, stretch double").fields])
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for q, x, table, codes in f.itertuples(index=False):
+                if not len(table) or not len(codes):
+                    continue
+                s, stretch = ungapped_scores(np.vstack(list(table)), codes)
+                s = np.round(s, 4)
+                i = int(s.argmax()) if len(s) else None
+                rows.append((q, x, i, None if i is None else float(s[i]), round(stretch, 4)))
+            out = pd.DataFrame(rows, columns=[query, doc, "off", "score", "stretch"])
+            yield out.astype({"off": "Int64", "score": "Float64", "stretch": "float64"})
+
+    return d.mapInPandas(run, schema)

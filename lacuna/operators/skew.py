@@ -77,3 +77,9 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs have more partitions than that and stay as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed into a fixed number of partitions. Adaptive execution joins small partitions by their bytes, which would put
+    costly work per row into a few tasks; it leaves this number alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -154,13 +154,20 @@ def _llr(spark, sf):
     at = F.instr(F.lit(H.ALPHABET), F.col("c"))
     probs = F.array(F.struct(F.col("c").alias("sym"), F.lit(0.8).alias("p")), F.struct(F.substring(F.lit(H.ALPHABET), at % 22 + 1, F.lit(1)).alias("sym"), F.lit(0.2).alias("p")))
     reading = r.select("q", "sg", "frag", "n", "i", F.inline(probs))
-    q = S.letter_frequency(K.corpus_lines(spark, sf), F.col("letters")).select(F.col("letter").alias("sym"), F.col("share").alias("q"))
+    seen = S.letter_frequency(K.corpus_lines(spark, sf), F.col("letters")).select(F.col("letter").alias("sym"), F.col("share").alias("q"))
+    q = spark.createDataFrame([(x,) for x in H.ALPHABET], "sym string").join(seen, "sym", "left").fillna(0.0)
     return r, P.llr_table(reading, ["q", "sg", "frag", "n"], "i", q)
 
 
-def _doc_letters(spark, sf):
-    c = K.corpus_lines(spark, sf).select("line_key", "sg", "frag", F.posexplode(F.split("letters", "")).alias("pos", "sym"))
-    return c.where("sym <> ''")
+def _candidate_pairs(spark, sf):
+    """Readings as tables over the alphabet, texts as codes, and the pairs of a reading and a line of its fragment."""
+    r, t = _llr(spark, sf)
+    wide = t.groupBy("q", "i").agg(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(H.ALPHABET), F.col("sym")).alias("k"), "s"))).alias("r"))
+    wide = wide.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", F.col("r.s").alias("s")))).alias("t")).select("q", F.col("t.s").alias("table"))
+    lines = K.corpus_lines(spark, sf).where("length(letters) > 0")
+    texts = lines.select("line_key", F.filter(F.transform(F.split("letters", ""), lambda c: F.instr(F.lit(H.ALPHABET), c) - 1), lambda x: x >= 0).alias("codes"))
+    pairs = r.select("q", "sg", "frag").distinct().join(lines.select("sg", "frag", "line_key"), ["sg", "frag"]).select("q", "line_key")
+    return wide, texts, pairs
 
 
 _LLR = f"""{_LINES}, {CORPUS}, fq AS (SELECT c AS sym, count(*) / sum(count(*)) OVER () AS q FROM (SELECT unnest(string_split(letters, '')) AS c FROM corpus) WHERE c <> '' GROUP BY c),
@@ -176,20 +183,7 @@ _LLR = f"""{_LINES}, {CORPUS}, fq AS (SELECT c AS sym, count(*) / sum(count(*))
 @query(f"WITH {_LLR} SELECT q, line_key, CAST(off AS BIGINT) AS off, round(score, 4) AS score FROM diag QUALIFY row_number() OVER (PARTITION BY q, line_key ORDER BY round(score, 4) DESC, off) = 1")
 def llr_diagonal(spark, sf):
     """The best ungapped place of each held-out line in each line of the linked fragment."""
-    d = _diagonals(spark, sf).withColumn("score", F.round("score", 4))
-    return R.top_per_group(d, ["q", "line_key"], [F.desc("score"), F.col("off")], 1).select("q", "line_key", F.col("off").cast("long").alias("off"), "score")
-
-
-def _cells(spark, sf):
-    _, t = _llr(spark, sf)
-    return t.join(_doc_letters(spark, sf), ["sg", "frag", "sym"])
-
-
-def _diagonals(spark, sf):
-    c = _cells(spark, sf)
-    ends = K.corpus_lines(spark, sf).select("line_key", F.length("letters").alias("m"))
-    g = c.groupBy("q", "line_key", "n", (F.col("pos") - F.col("i")).alias("off")).agg(F.sum("s").alias("score"))
-    return g.join(ends, "line_key").where("off >= 0 and off + n <= m").select("q", "line_key", "off", "score")
+    return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").where("off is not null").select("q", "line_key", "off", "score")
 
 
 @query(
@@ -197,15 +191,13 @@ def _diagonals(spark, sf):
 )
 def kadane_diagonal(spark, sf):
     """The best stretch on any diagonal: misread ends cost nothing."""
-    c = _cells(spark, sf).select("q", "line_key", (F.col("pos") - F.col("i")).alias("off"), "i", "s")
-    d = Q.best_stretch(c, ["q", "line_key", "off"], "i", "s")
-    return d.groupBy("q", "line_key").agg(F.round(F.max("best"), 4).alias("best"))
+    return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").select("q", "line_key", F.col("stretch").alias("best"))
 
 
 @query(f"WITH {_LLR}, t AS (SELECT q, line_key, round(max(score), 4) AS score FROM diag GROUP BY ALL) SELECT q, line_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, line_key) AS r FROM t) WHERE r <= 5")
 def search_hits(spark, sf):
     """The five best lines for each reading."""
-    d = _diagonals(spark, sf).groupBy("q", "line_key").agg(F.round(F.max("score"), 4).alias("score"))
+    d = llr_diagonal(spark, sf)
     return R.top_per_group(d, ["q"], [F.desc("score"), F.col("line_key")], 5).select("q", "line_key", "score", "rank")
 
 
@@ -312,13 +304,7 @@ def aligned_bands(spark, sf):
 @query()
 def gapped_search(spark, sf):
     """The best gapped local place of each held-out line in the lines of its fragment."""
-    _, t = _llr(spark, sf)
-    wide = t.groupBy("q", "i").agg(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(H.ALPHABET), F.col("sym")).alias("k"), "s"))).alias("r"))
-    wide = wide.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", F.col("r.s").alias("s")))).alias("t")).select("q", F.col("t.s").alias("table"))
-    texts = K.corpus_lines(spark, sf).where("length(letters) > 0").select("line_key", F.transform(F.split("letters", ""), lambda c: F.instr(F.lit(H.ALPHABET), c) - 1).alias("codes"))
-    texts = texts.select("line_key", F.filter("codes", lambda x: x >= 0).alias("codes"))
-    pairs = _readings(spark, sf).select("q", "sg", "frag").distinct().join(K.corpus_lines(spark, sf).select("sg", "frag", "line_key"), ["sg", "frag"]).select("q", "line_key")
-    return A.gapped_search(wide, texts, pairs, "q", "line_key")
+    return A.gapped_search(*_candidate_pairs(spark, sf), "q", "line_key")
 
 
 # ------------------------------------------------------------------ vectors

@@ -181,3 +181,47 @@ def test_llm_free_import():
     assert all("/llm/" in f for f in found), found
     code = "import sys; sys.modules['lacuna.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith(('p2_', 'p6_')) for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_ungapped_scores_against_brute_force():
+    rnd = np.random.default_rng(9)
+    for n, m in ((3, 8), (5, 5), (6, 4), (1, 1)):
+        t, c = rnd.normal(size=(n, 4)), rnd.integers(0, 4, m)
+        total, stretch = A.ungapped_scores(t, c)
+        assert total == pytest.approx([sum(t[i, c[o + i]] for i in range(n)) for o in range(max(0, m - n + 1))])
+        runs = [sum(t[i, c[o + i]] for i in range(a, b)) for o in range(-n + 1, m) for a in range(n) for b in range(a + 1, n + 1) if 0 <= o + a and o + b <= m]
+        assert stretch == pytest.approx(max(runs))
+
+
+def test_diagonal_scores_and_windows(spark):
+    from lacuna.operators import search as P
+
+    table = spark.createDataFrame([("q", i, s, v) for i, row in enumerate(({"a": 1.0, "b": -1.0}, {"a": -2.0, "b": 3.0})) for s, v in row.items()], "q string, i int, sym string, s double")
+    corpus = spark.createDataFrame([("d", p, c) for p, c in enumerate("abba")], "d string, pos int, sym string")
+    pos = spark.createDataFrame([("q", 2)], "q string, n int")
+    got = {r["off"]: r["score"] for r in Q.diagonal_scores(pos, corpus, table, "q", "d", "n").collect()}
+    assert got == {0: 4.0, 1: 2.0, 2: -3.0}
+    d = spark.createDataFrame([(1, "ab..cd ab......cd ab"), (2, None), (3, ""), (4, "abab" + "x" * 4 + "cd")], "k long, t string")
+    got = sorted((r["k"], r["p0"], r["p1"]) for r in P.ordered_window(d, "k", "t", ["ab", "cd"], 3, 8).collect())
+    assert got == [(1, 0, 4), (1, 7, 15), (4, 0, 8), (4, 2, 8)]
+    runs = spark.createDataFrame([("abba",), ("ab",), ("zzzz",)], "run string")
+    texts = spark.createDataFrame([("x", "abbabba"), ("y", None)], "doc string, t string")
+    assert sorted((r["doc"], r["pos"]) for r in P.contained(runs, texts, "run", "doc", "t", 3).collect()) == [("x", 0), ("x", 3)]
+
+
+def test_symbols_keep_barriers(spark):
+    from lacuna.operators import search as P
+
+    d = spark.createDataFrame([("f", 1, "אבגד", ".rr."), ("f", 0, "א###ם", ".##p.")], "f string, n int, t string, m string")
+    assert P.symbols(d, ["f"], "n", F.col("t"), F.col("m")).first()["symbols"] == "א|מא||ד|"
+
+
+def test_null_text_and_empty_tables(spark):
+    none = spark.createDataFrame([], "k string, t string")
+    assert Q.common_runs(none, none.toDF("d", "t"), "k", "d", "t", 4).count() == 0
+    assert S.letter_frequency(none, F.col("t")).count() == 0
+    assert S.letter_model(none, F.col("t"), "ab").count() == 0
+    assert S.spearman(spark.createDataFrame([], "k string, a long, b long"), "a", "b", "k").first()["n"] == 0
+    e = spark.createDataFrame([], "g string, s double")
+    assert C.empirical_p(e, e, ["g"], "s").count() == 0 and S.auc(e, F.lit(True), "s", ["g"]).count() == 0
+    assert R.nearest_by_ratio(spark.createDataFrame([], "q long, lq long"), spark.createDataFrame([], "c long, lc long"), "q", "lq", "lc", "c").count() == 0
