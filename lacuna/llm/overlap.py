@@ -42,12 +42,13 @@ def _build(keys, pdf):
 
 
 def _counts(codes, starts, lengths, sigma: int):
-    """Letter counts of each text, one row each; unknown letters in the last column."""
+    """Letter counts of each text, one row each. Beyond 64 letters several share a column, which can only hide differences."""
     import numpy as np
 
+    sigma = min(sigma, 64)
     rows = np.repeat(np.arange(len(lengths)), lengths)
     at = np.concatenate([codes[s : s + n] for s, n in zip(starts, lengths)]) if len(lengths) else np.zeros(0, dtype=np.int64)
-    flat = np.bincount(rows * sigma + at, minlength=len(lengths) * sigma)
+    flat = np.bincount(rows * sigma + at % sigma, minlength=len(lengths) * sigma)
     return flat.reshape(len(lengths), sigma).astype(np.int32)
 
 
