@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, least: int = 50_000) -> list:
     """Keys with more than `share` of all rows (and more than `least`): at most 1/share of them, whatever the input."""
-    n = df.groupBy(*keys).count()
     total = df.count()
+    if total <= least:
+        return []
     floor = max(least, int(total * share))
+    n = df.groupBy(*keys).count()
     return n.where(F.col("count") > floor).select(*keys).limit(int(1 / share) + 1).collect()
 
 
