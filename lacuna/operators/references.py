@@ -7,7 +7,8 @@ time axis is matched for them.
 
 Defined results: a null key refers to nothing; a parent row with a null loaded_at was never in force and isn't later than
 anything; one whose deleted_at isn't after loaded_at was never in force either; a reference without a time finds nothing in
-force ('missing' or 'deleted'). Repeated references are reported each.
+force ('missing' or 'deleted'). Repeated references are reported each. Other columns of the references stay; one named `reason` is
+replaced.
 """
 
 from __future__ import annotations
@@ -30,24 +31,24 @@ def _us(c: str):
 
 
 def time_runs(parents: DataFrame, keys: Sequence[str], start: str = "loaded_at", end: str = "deleted_at") -> DataFrame:
-    """(keys, first, runs): the earliest start, and the merged in-force spans [s, e) in microseconds, in order. Spans are
+    """(keys, _first, _runs): the earliest start, and the merged in-force spans [s, e) in microseconds, in order. Spans are
     merged within a day first and then across days, so a key with very many rows isn't sorted in one task."""
     keys = list(keys)
     p = parents.where(" and ".join(f"{k} is not null" for k in keys))
-    p = p.select(*keys, _us(start).alias("s"), F.coalesce(_us(end), F.when(F.col(end).isNull(), F.lit(_ALWAYS))).alias("e"))
-    p = p.groupBy(*keys, "s").agg(F.max("e").alias("e"))
-    p = p.withColumn("first", F.coalesce("s", F.lit(_NEVER))).withColumn("live", F.col("s").isNotNull() & (F.col("e") > F.col("s")))
-    p = p.withColumn("day", F.coalesce(F.floor(F.col("s") / _DAY_US), F.lit(0)))
+    p = p.select(*keys, _us(start).alias("_s"), F.coalesce(_us(end), F.when(F.col(end).isNull(), F.lit(_ALWAYS))).alias("_e"))
+    p = p.groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
+    p = p.withColumn("_first", F.coalesce("_s", F.lit(_NEVER))).withColumn("_live", F.col("_s").isNotNull() & (F.col("_e") > F.col("_s")))
+    p = p.withColumn("_day", F.coalesce(F.floor(F.col("_s") / _DAY_US), F.lit(0)))
 
     def merge(d: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("s", "e")
-        seen = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        d = d.withColumn("island", F.sum(F.when(seen.isNull() | (F.col("s") > seen), 1).otherwise(0)).over(w))
-        return d.groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
-
-    live = merge(merge(p.where("live"), [*keys, "day"]).drop("day"), keys)
-    runs = live.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
-    firsts = p.groupBy(*keys).agg(F.min("first").alias("first"))
+        w = Window.partitionBy(*by).orderBy("_s", "_e")
+        seen = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("_island", F.sum(F.when(seen.isNull() | (F.col("_s") > seen), 1).otherwise(0)).over(w))
+        return d.groupBy(*by, "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_island")
+
+    live = merge(merge(p.where("_live"), [*keys, "_day"]).drop("_day"), keys)
+    runs = live.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("_runs"))
+    firsts = p.groupBy(*keys).agg(F.min("_first").alias("_first"))
     return firsts.join(runs, keys, "left")
 
 
@@ -74,8 +75,8 @@ def as_of_known(refs: DataFrame, runs: DataFrame, key: str, groups: Sequence[str
 
 
 def _reason(known):
-    ok = F.coalesce(F.col("t") < F.try_element_at(F.filter("runs", lambda r: r["s"] <= F.col("t")), F.lit(-1))["e"], F.lit(False))
-    return F.when(~known, "missing").when(ok, None).when(F.coalesce(F.col("first") > F.col("t"), F.lit(False)), "late").otherwise("deleted")
+    ok = F.coalesce(F.col("_t") < F.try_element_at(F.filter("_runs", lambda r: r["s"] <= F.col("_t")), F.lit(-1))["e"], F.lit(False))
+    return F.when(~known, "missing").when(ok, None).when(F.coalesce(F.col("_first") > F.col("_t"), F.lit(False)), "late").otherwise("deleted")
 
 
 def orphans(
@@ -92,14 +93,14 @@ def orphans(
     key's rows start later) or 'deleted'. With an integer key the runs of consecutive keys are matched first, and only
     known keys go on to the time axis. `spread` names columns that tell rows of a hot key apart."""
     keys = list(keys)
-    r = refs.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("t", _us(at))
+    r = refs.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("_t", _us(at))
     state = time_runs(parents, keys, start, end)
     if integer_key:
         groups = [k for k in keys if k != integer_key]
         known = as_of_known(r, key_runs(parents, integer_key, groups), integer_key, groups)
-        state = known.where("known").join(state, keys, "left")
+        state = known.where("known").withColumnRenamed("known", "_known").join(state, keys, "left")
     else:
-        state = state.withColumn("known", F.lit(True))
+        state = state.withColumn("_known", F.lit(True))
     out = salted_join(r, state, keys, spread, "left")
-    out = out.withColumn("reason", _reason(F.coalesce(F.col("known"), F.lit(False))))
-    return out.where(F.col("reason").isNotNull()).drop("known", "first", "runs", "t")
+    out = out.withColumn("reason", _reason(F.coalesce(F.col("_known"), F.lit(False))))
+    return out.where(F.col("reason").isNotNull()).drop("_known", "_first", "_runs", "_t")

@@ -27,7 +27,7 @@ def test_reasons(spark):
 
 def test_touching_spans_are_one_run(spark):
     p = spark.createDataFrame([(1, day(0), day(2)), (1, day(2), day(40)), (1, day(50), None), (1, day(0), day(2))], "id long, loaded_at timestamp, deleted_at timestamp")
-    assert len(time_runs(p, ["id"]).first()["runs"]) == 2
+    assert len(time_runs(p, ["id"]).first()["_runs"]) == 2
 
 
 def test_key_runs(spark):
@@ -58,3 +58,10 @@ def test_distributed_rank(spark):
     for g in range(3):
         rows = sorted((r["x"], r["r"]) for r in out if r["g"] == g)
         assert [r for _, r in rows] == list(range(len(rows)))
+
+
+def test_clashing_columns_stay(spark):
+    p = spark.createDataFrame([(1, day(0), None, "x")], "day long, loaded_at timestamp, deleted_at timestamp, e string")
+    r = spark.createDataFrame([(1, 1, day(-1), "t", "f", "k"), (2, 1, day(1), "t", "f", "k")], "n int, day long, loaded_at timestamp, t string, first string, known string")
+    got = orphans(r, p, ["day"], "loaded_at", ["n"], integer_key="day").collect()
+    assert [(x["n"], x["reason"], x["t"], x["first"], x["known"]) for x in got] == [(1, "late", "t", "f", "k")]
