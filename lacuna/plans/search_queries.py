@@ -159,15 +159,23 @@ def _llr(spark, sf):
     return r, P.llr_table(reading, ["q", "sg", "frag", "n"], "i", q)
 
 
-def _candidate_pairs(spark, sf):
-    """Readings as tables over the alphabet, texts as codes, and the pairs of a reading and a line of its fragment."""
-    r, t = _llr(spark, sf)
+def _search_sides(spark, sf, t=None):
+    """Readings as tables over the alphabet, and all lines of the corpus as codes."""
+    if t is None:
+        _, t = _llr(spark, sf)
     wide = t.groupBy("q", "i").agg(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(H.ALPHABET), F.col("sym")).alias("k"), "s"))).alias("r"))
     wide = wide.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", F.col("r.s").alias("s")))).alias("t")).select("q", F.col("t.s").alias("table"))
     lines = K.corpus_lines(spark, sf).where("length(letters) > 0")
     texts = lines.select("line_key", F.filter(F.transform(F.split("letters", ""), lambda c: F.instr(F.lit(H.ALPHABET), c) - 1), lambda x: x >= 0).alias("codes"))
+    return wide, texts
+
+
+def _candidate_pairs(spark, sf):
+    """For audits: readings, texts, and the pairs of a reading and a line of its own fragment."""
+    r, t = _llr(spark, sf)
+    lines = K.corpus_lines(spark, sf).where("length(letters) > 0")
     pairs = r.select("q", "sg", "frag").distinct().join(lines.select("sg", "frag", "line_key"), ["sg", "frag"]).select("q", "line_key")
-    return wide, texts, pairs
+    return *_search_sides(spark, sf, t), pairs
 
 
 _LLR = f"""{_LINES}, {CORPUS}, fq AS (SELECT c AS sym, count(*) / sum(count(*)) OVER () AS q FROM (SELECT unnest(string_split(letters, '')) AS c FROM corpus) WHERE c <> '' GROUP BY c),
@@ -182,7 +190,7 @@ _LLR = f"""{_LINES}, {CORPUS}, fq AS (SELECT c AS sym, count(*) / sum(count(*))
 
 @query(f"WITH {_LLR} SELECT q, line_key, CAST(off AS BIGINT) AS off, round(score, 4) AS score FROM diag QUALIFY row_number() OVER (PARTITION BY q, line_key ORDER BY round(score, 4) DESC, off) = 1")
 def llr_diagonal(spark, sf):
-    """The best ungapped place of each held-out line in each line of the linked fragment."""
+    """An audit: the best ungapped place of each held-out line in each line of the linked fragment; `search_hits` searches all."""
     return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").where("off is not null").select("q", "line_key", "off", "score")
 
 
@@ -190,17 +198,34 @@ def llr_diagonal(spark, sf):
     f"WITH {_LLR}, pf AS (SELECT q, line_key, off, i, sum(s) OVER (PARTITION BY q, line_key, off ORDER BY i) AS p FROM cell), mn AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY q, line_key, off ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM pf) SELECT q, line_key, round(max(p - m), 4) AS best FROM mn GROUP BY q, line_key"
 )
 def kadane_diagonal(spark, sf):
-    """The best stretch on any diagonal: misread ends cost nothing."""
+    """An audit: the best stretch on any diagonal in the lines of the linked fragment (misread ends cost nothing); `stretch_hits`
+    searches all."""
     return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").select("q", "line_key", F.col("stretch").alias("best"))
 
 
-@query(f"WITH {_LLR}, t AS (SELECT q, line_key, round(max(score), 4) AS score FROM diag GROUP BY ALL) SELECT q, line_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, line_key) AS r FROM t) WHERE r <= 5")
+_HITS = f"WITH {_LLR}, t AS (SELECT q, line_key, round(max(score), 4) AS score FROM diag GROUP BY ALL) SELECT q, line_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, line_key) AS r FROM t) WHERE r <= 5"
+
+
+@query(_HITS)
 def search_hits(spark, sf):
-    """The five best lines for each reading."""
+    """The five best lines of the whole corpus for each reading, by the sum over all of it. The SQL looks only at the lines of
+    the linked fragment, as `fragment_hits` does, so the two differ."""
+    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "whole", 5).select("q", "line_key", "score", "rank")
+
+
+@query(_HITS)
+def fragment_hits(spark, sf):
+    """An audit: the five best lines of the linked fragment, where the answer is known to be."""
     d = llr_diagonal(spark, sf)
     return R.top_per_group(d, ["q"], [F.desc("score"), F.col("line_key")], 5).select("q", "line_key", "score", "rank")
 
 
+@query()
+def stretch_hits(spark, sf):
+    """The five lines of the whole corpus with the best stretch on a diagonal; `last` is the place of its last letter."""
+    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "stretch", 5).withColumnRenamed("off", "last")
+
+
 @query(f"WITH {T._LM}, {', '.join(T._lm_order(k) for k in range(4))}, l AS (SELECT line_key, substr('|||' || letters, i, 3) AS ctx, substr(letters, i, 1) AS letter FROM (SELECT line_key, letters, unnest(range(1, length(letters) + 1)) AS i FROM corpus)) SELECT line_key, round(avg(-ln(0.05 * p0.p + 0.15 * p1.p + 0.3 * p2.p + 0.5 * p3.p)), 6) AS surprisal FROM l JOIN p0 ON p0.letter = l.letter JOIN p1 ON p1.c = substr(ctx, 3, 1) AND p1.letter = l.letter JOIN p2 ON p2.c = substr(ctx, 2, 2) AND p2.letter = l.letter JOIN p3 ON p3.c = ctx AND p3.letter = l.letter GROUP BY line_key")
 def line_surprisal(spark, sf):
     """How unexpected each line's letters are to the letter model of the corpus."""
@@ -303,7 +328,13 @@ def aligned_bands(spark, sf):
 
 @query()
 def gapped_search(spark, sf):
-    """The best gapped local place of each held-out line in the lines of its fragment."""
+    """The five lines of the whole corpus with the best gapped local place for each held-out line."""
+    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "gapped", 5)
+
+
+@query()
+def fragment_gapped(spark, sf):
+    """An audit: the best gapped local place of each held-out line in each line of its fragment."""
     return A.gapped_search(*_candidate_pairs(spark, sf), "q", "line_key")
 
 

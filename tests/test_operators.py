@@ -225,3 +225,40 @@ def test_null_text_and_empty_tables(spark):
     e = spark.createDataFrame([], "g string, s double")
     assert C.empirical_p(e, e, ["g"], "s").count() == 0 and S.auc(e, F.lit(True), "s", ["g"]).count() == 0
     assert R.nearest_by_ratio(spark.createDataFrame([], "q long, lq long"), spark.createDataFrame([], "c long, lc long"), "q", "lq", "lc", "c").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["whole", "stretch", "gapped"])
+def test_best_texts_scores_every_reading_on_every_text(kind):
+    rng = np.random.default_rng(3)
+    tables = [rng.normal(-0.5, 2, (n, 4)) for n in (1, 2, 5, 7, 30)]
+    texts = [rng.integers(0, 4, m) for m in (1, 3, 6, 9, 14, 40, 41)] * 2
+
+    def score(t, c):
+        if kind == "gapped":
+            return float(np.max(A.gapped_scores(t, c, 4.0)))
+        total, stretch = A.ungapped_scores(t, c)
+        return stretch if kind == "stretch" else float(total.max()) if len(total) else None
+
+    for t, got in zip(tables, A.best_texts(tables, texts, kind, 5)):
+        every = [(-round(s, 4), i) for i, c in enumerate(texts) if (s := score(t, c)) is not None]
+        assert [(i, s) for i, _, s in got] == [(i, -s) for s, i in sorted(every)[:5]]
+
+
+def test_corpus_best_takes_candidates_from_the_whole_corpus(spark):
+    rng = np.random.default_rng(5)
+    texts = {f"l{i:03}": rng.integers(0, 4, int(m)).tolist() for i, m in enumerate(rng.integers(1, 90, 120))}
+    texts["z9"] = (texts["l007"] + [1, 2, 3]) * 2
+    tables = {f"q{i}": rng.normal(-0.5, 2, (n, 4)).tolist() for i, n in enumerate((1, 3, 12, 75, 400))}
+    tables["again"] = tables["q2"]
+    r = spark.createDataFrame(list(tables.items()), "q string, table array<array<double>>")
+    t = spark.createDataFrame(list(texts.items()), "line_key string, codes array<int>")
+    got = {}
+    for x in A.corpus_best(r, t, "q", "line_key", "whole", 5, block=900, group=2).collect():
+        got.setdefault(x["q"], []).append((x["rank"], x["line_key"], x["off"], x["score"]))
+    want = {}
+    for q, m in tables.items():
+        s = {k: np.round(A.ungapped_scores(m, c)[0], 4) for k, c in texts.items()}
+        best = sorted((-v.max(), k, int(v.argmax())) for k, v in s.items() if len(v))[:5]
+        if best:
+            want[q] = [(i, k, o, -v) for i, (v, k, o) in enumerate(best, 1)]
+    assert {q: sorted(h) for q, h in got.items()} == want and got["again"] and "q4" not in got and len(got["q3"]) == 5
