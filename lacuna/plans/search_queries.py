@@ -142,10 +142,11 @@ def pattern_e_value(spark, sf):
 
 # ------------------------------------------------------------------ scored search
 def _readings(spark, sf):
-    """Held-out lines as uncertain readings: (q, sg, frag, i, n, c) with 0.8 for the letter read and 0.2 for its neighbour."""
+    """Held-out lines as uncertain readings: (q, sg, frag, i, n, c) with 0.8 for the letter read and 0.2 for its neighbour.
+    Lines of any length, from one letter on, are readings; one without letters has nothing to search for."""
     d = transcribed(spark, sf).where("split = 'test'")
     d = d.select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("sg"), F.get(F.split("key", r"\|"), F.lit(1)).alias("frag"), H.consonants(H.fold(F.col("text"))).alias("t"))
-    d = d.where("length(t) between 4 and 60").withColumn("n", F.length("t"))
+    d = d.withColumn("n", F.length("t"))
     return d.select("q", "sg", "frag", "n", F.posexplode(F.split("t", "")).alias("i", "c")).where("c <> ''")
 
 

@@ -262,3 +262,13 @@ def test_corpus_best_takes_candidates_from_the_whole_corpus(spark):
         if best:
             want[q] = [(i, k, o, -v) for i, (v, k, o) in enumerate(best, 1)]
     assert {q: sorted(h) for q, h in got.items()} == want and got["again"] and "q4" not in got and len(got["q3"]) == 5
+
+
+def test_readings_of_any_length(spark, monkeypatch):
+    from lacuna.plans import search_queries
+
+    texts = {1: "א", 2: "אבג", 3: "אב" * 40, 4: " ", 5: "שלום"}
+    d = spark.createDataFrame([(i, "test", "4Q1|f1", i, "1", t, "." * len(t)) for i, t in texts.items()], "rec_id long, split string, key string, line int, label string, text string, marks string")
+    monkeypatch.setattr(search_queries, "transcribed", lambda spark, sf: d)
+    got = {r["q"]: (r["n"], r["letters"]) for r in search_queries._readings(spark, "").groupBy("q", "n").agg(F.count("*").alias("letters")).collect()}
+    assert got == {"1/4Q1|f1/1": (1, 1), "2/4Q1|f1/2": (3, 3), "3/4Q1|f1/3": (80, 80), "5/4Q1|f1/5": (4, 4)}
