@@ -311,9 +311,11 @@ def reading_rates(spark, sf):
 
 @query()
 def aligned_words(spark, sf):
-    """Words of each verse of a scroll aligned anew to the base words."""
-    w = K.words(spark, sf).where("ref is not null and mt <> '' and j is not null")
-    g = w.groupBy("sg", "ref").agg(F.array_sort(F.collect_list(F.struct("word_id", "scroll_word"))).alias("s"), F.array_sort(F.collect_list(F.struct("j", "mt"))).alias("b"))
+    """All words of each verse of a scroll, plus words too, aligned anew to its base words."""
+    w = K.words(spark, sf).where("ref is not null")
+    # plus words have no base word, and two words of a scroll can share one; collect_set leaves nulls out
+    base = F.when(F.expr("j is not null and mt <> ''"), F.struct("j", "mt"))
+    g = w.groupBy("sg", "ref").agg(F.array_sort(F.collect_list(F.struct("word_id", "scroll_word"))).alias("s"), F.array_sort(F.collect_set(base)).alias("b"))
     return A.aligned_words(g.select("sg", "ref", F.col("s.scroll_word").alias("s"), F.col("b.mt").alias("b")), ["sg", "ref"], "s", "b")
 
 

@@ -272,3 +272,13 @@ def test_readings_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(search_queries, "transcribed", lambda spark, sf: d)
     got = {r["q"]: (r["n"], r["letters"]) for r in search_queries._readings(spark, "").groupBy("q", "n").agg(F.count("*").alias("letters")).collect()}
     assert got == {"1/4Q1|f1/1": (1, 1), "2/4Q1|f1/2": (3, 3), "3/4Q1|f1/3": (80, 80), "5/4Q1|f1/5": (4, 4)}
+
+
+def test_aligned_words_keeps_plus_words(spark, monkeypatch):
+    from lacuna.plans import search_queries
+
+    rows = [(1, "1", "שלום", "שלום", 1), (2, "1", "אבד", None, None), (3, "1", "גדל", "גדל", 2), (4, "1", "לגדל", "גדל", 2), (5, "2", "אחר", "", None), (6, None, "אב", None, None)]
+    d = spark.createDataFrame([(i, "4Q1", r, s, m, j) for i, r, s, m, j in rows], "word_id long, sg string, ref string, scroll_word string, mt string, j int")
+    monkeypatch.setattr(search_queries.K, "words", lambda spark, sf: d)
+    got = sorted((r["ref"], r["i"], r["j"]) for r in search_queries.aligned_words(spark, "").collect())
+    assert len(got) == 5 and ("1", 0, 0) in got and ("1", 1, None) in got and ("2", 0, None) in got and sorted(j for _, _, j in got if j is not None) == [0, 1]
