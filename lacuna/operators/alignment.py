@@ -39,6 +39,40 @@ def semiglobal(a: str, b: str) -> tuple[int, int, int]:
     return int(cost[j]), int(row[j] % big), j
 
 
+def fewest_edits(a: str, texts: list[str], cells: int = 1 << 15):
+    """The edits of `semiglobal` of a to each text, for many texts at once: a step is a vector over texts of like lengths."""
+    import numpy as np
+
+    x = np.frombuffer(a.encode("utf-32-le"), "<u4")
+    out = np.zeros(len(texts), dtype=np.int64)
+    order, first = sorted(range(len(texts)), key=lambda i: len(texts[i])), 0
+    while first < len(order) and len(x):
+        last = first + 1
+        while last < len(order) and (last + 1 - first) * (len(texts[order[last]]) + 1) <= cells:
+            last += 1
+        part = order[first:last]
+        m = len(texts[part[-1]])
+        # letters that nothing equals fill up; to take one in costs as much as to leave a letter of a out
+        y = np.zeros((m, len(part)), dtype="<u4")
+        for k, i in enumerate(part):
+            y[: len(texts[i]), k] = np.frombuffer(texts[i].encode("utf-32-le"), "<u4")
+        step = np.arange(m + 1, dtype=np.int32)[:, None]
+        row = np.zeros((m + 1, len(part)), dtype=np.int32)
+        new = np.empty_like(row)
+        same = {c: (y != c).astype(np.int32) for c in set(x.tolist())}
+        for n, c in enumerate(x.tolist(), 1):
+            new[0] = n
+            np.add(row[:-1], same[c], out=new[1:])
+            np.add(row, 1, out=row)
+            np.minimum(new[1:], row[1:], out=new[1:])
+            new -= step
+            np.minimum.accumulate(new, axis=0, out=row)
+            row += step
+        out[part] = row.min(axis=0)
+        first = last
+    return out
+
+
 def align_words(scroll: list, base: list, gap: float = 1.0, skip: float = 0.6, unknown: float = 0.3) -> list[tuple[int | None, int | None]]:
     """Global alignment of words: (i, j) pairs, None for a gap. A null word is unreadable and fits any base word cheaply. Of
     equal costs a pair is taken before a word of the scroll alone, and that before a base word alone."""
@@ -420,3 +454,41 @@ def corpus_best(readings: DataFrame, texts: DataFrame, query: str, doc: str, kin
     names, kinds = schema.names, to_arrow_schema(schema)
     hits = top_per_group(d.mapInArrow(run, schema), ["_k"], [F.desc("score"), F.col(doc)], top)
     return hits.join(r.select("_k", F.explode("_qs").alias(query)), "_k").select(query, doc, "off", "score", "rank")
+
+
+def nearest_text(readings: DataFrame, texts: DataFrame, group: str, query: str, a: str, doc: str, b: str, block: int = 1000) -> DataFrame:
+    """(query, a, doc, edits): of all texts of a reading's groups the one in which it fits with the fewest edits, of equal ones the
+    first. readings(group, query, a), a query in several groups or one; texts(group, doc, b). Every pair is compared."""
+
+    def parts(df: DataFrame, key: str, name: str, what) -> DataFrame:
+        n = df.groupBy(group).agg((F.floor(F.count("*") / block) + 1).alias("_n"))
+        return df.join(n, group).groupBy(group, F.pmod(F.xxhash64(key), F.col("_n")).alias("_p")).agg(F.collect_list(what).alias(name)).drop("_p")
+
+    # equal readings are compared once
+    work = WorkDir(readings.sparkSession, "nearest")
+    ids = work.save(readings.where(F.length(a) > 0).select(group, query, F.col(a).alias("_a")), "readings")
+    q = parts(ids.select(group, "_a").distinct(), "_a", "_as", F.col("_a"))
+    t = parts(texts.where(F.length(b) > 0), doc, "_ts", F.struct(F.col(doc).alias("doc"), F.col(b).alias("b")))
+    d = q.join(t, group).select(group, "_as", "_ts")
+    schema = T.StructType([readings.schema[group], T.StructField("_a", T.StringType()), texts.schema[doc], *T._parse_datatype_string("edits int").fields])
+    names, kinds = schema.names, to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for x in range(batch.num_rows):
+                g, many, ts = (c[x].as_py() for c in batch.columns)
+                ts.sort(key=lambda t: t["doc"])
+                lines = [t["b"] for t in ts]
+                rows = []
+                for one in many:
+                    e = fewest_edits(one, lines)
+                    i = int(e.argmin())
+                    rows.append(dict(zip(names, (g, one, ts[i]["doc"], int(e[i])))))
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    n = 8 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = d.repartition(n).mapInArrow(run, schema)
+    best = top_per_group(best, [group, "_a"], [F.col("edits"), F.col(doc)], 1).drop("rank")
+    return top_per_group(ids.join(best, [group, "_a"]), [query], [F.col("edits"), F.col(doc)], 1).select(query, F.col("_a").alias(a), doc, "edits")

@@ -531,14 +531,9 @@ def group_sweep(spark, sf):
 
 @query()
 def prior_search(spark, sf):
-    """Held-out lines searched only in copies of their manuscript's composition: the best of the lines that have six letters
-    in a row in common with it."""
+    """Held-out lines searched only in copies of their manuscript's composition: the best of all the copies' lines."""
     copies = candidate_copies(spark, sf).select(siglum(F.col("ms")).alias("ms"), siglum(F.col("copy")).alias("sg")).distinct()
     q = transcribed(spark, sf).where("split = 'test'").select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("ms"), H.consonants(H.fold(F.col("text"))).alias("a"))
-    c = K.corpus_lines(spark, sf).select("sg", "line_key", F.col("letters").alias("b"))
-    q = q.where("length(a) >= 10").join(copies, "ms")
-    seeds = Q.windows_of(q, ["q", "sg", "a"], "a", 6).select("q", "sg", "a", "gram").distinct()
-    hit = seeds.join(Q.windows_of(c, ["sg", "line_key"], "b", 6).select("sg", "line_key", "gram"), ["sg", "gram"]).select("q", "a", "line_key").distinct()
-    d = hit.join(c, "line_key")
-    d = A.best_substring(d, "a", "b", ["q", "line_key", "a"]).withColumn("err", F.round(F.col("edits") / F.length("a"), 6))
-    return R.top_per_group(d, ["q"], [F.col("err"), F.col("line_key")], 1).select("q", "line_key", "err")
+    c = K.corpus_lines(spark, sf).where("sg is not null").select("sg", "line_key", F.col("letters").alias("b"))
+    d = A.nearest_text(q.join(copies, "ms").select("sg", "q", "a"), c, "sg", "q", "a", "line_key", "b")
+    return d.select("q", "line_key", F.round(F.col("edits") / F.length("a"), 6).alias("err"))

@@ -282,3 +282,28 @@ def test_aligned_words_keeps_plus_words(spark, monkeypatch):
     monkeypatch.setattr(search_queries.K, "words", lambda spark, sf: d)
     got = sorted((r["ref"], r["i"], r["j"]) for r in search_queries.aligned_words(spark, "").collect())
     assert len(got) == 5 and ("1", 0, 0) in got and ("1", 1, None) in got and ("2", 0, None) in got and sorted(j for _, _, j in got if j is not None) == [0, 1]
+
+
+def test_fewest_edits_is_semiglobal():
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("אבגד") for _ in range(n))
+    texts = [word(rng.randrange(0, 30)) for _ in range(60)]
+    for n in (0, 1, 2, 7, 20, 45):
+        a = word(n)
+        assert A.fewest_edits(a, texts, 200).tolist() == [A.semiglobal(a, t)[0] for t in texts]
+
+
+def test_prior_search_needs_no_common_run(spark, monkeypatch):
+    from lacuna.plans import search_queries
+
+    alphabet = H.ALPHABET
+    text = alphabet * 2
+    misread = "".join(alphabet[(alphabet.index(c) + 7) % 22] if i % 5 == 4 else c for i, c in enumerate(text))
+    lines = [(1, misread), (2, "אבג"), (3, ""), (4, text[:12])]
+    d = spark.createDataFrame([(i, "test", "4Q1|f1", i, "1", t, "." * len(t)) for i, t in lines], "rec_id long, split string, key string, line int, label string, text string, marks string")
+    c = spark.createDataFrame([("l1", "4Q1", "f", alphabet[::-1] * 2), ("l2", "4Q2", "f", text), ("l3", "4Q3", "f", misread)], "line_key string, sg string, frag string, letters string")
+    monkeypatch.setattr(search_queries, "transcribed", lambda spark, sf: d)
+    monkeypatch.setattr(search_queries, "candidate_copies", lambda spark, sf: spark.createDataFrame([("4Q1", "4Q1"), ("4Q1", "4Q2")], "ms string, copy string"))
+    monkeypatch.setattr(search_queries.K, "corpus_lines", lambda spark, sf: c)
+    got = {r["q"]: (r["line_key"], r["err"]) for r in search_queries.prior_search(spark, "").collect()}
+    assert got == {"1/4Q1|f1/1": ("l2", round(8 / 44, 6)), "2/4Q1|f1/2": ("l2", 0.0), "4/4Q1|f1/4": ("l2", 0.0)}
