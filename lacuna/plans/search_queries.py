@@ -408,9 +408,9 @@ def flattened_paths(spark, sf):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>|&[a-z]+;', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS plain FROM documents WHERE lang = 'fr' AND NOT regexp_matches(text, '[֑-ׇ־]')")
 def plain_texts(spark, sf):
-    """French documents without markup."""
-    d = table(spark, sf, "documents").where("lang = 'fr'").where(~F.col("text").rlike("[֑-ׇ־]"))
-    return d.select("doc_id", IO.plain_letters(F.col("text")).alias("plain"))
+    """All documents without markup, points and joining marks; a null text stays null. The SQL has only the French ones without
+    points, so it gives fewer rows."""
+    return table(spark, sf, "documents").select("doc_id", IO.plain_letters(F.col("text")).alias("plain"))
 
 
 @query("SELECT id, edition_id, name FROM text_fragments")

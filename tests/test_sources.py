@@ -59,3 +59,12 @@ def test_tensors(spark):
     d = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [])], "k string, v array<double>")
     back = IO.tensor_arrays(IO.tensor_rows(d, ["k"], "v"), ["k"]).select("k", F.col("values"))
     assert [tuple(r) for r in back.collect()] == [("a", [1.0, 2.0])]
+
+
+def test_plain_texts_of_all_documents(spark, tmp_path):
+    from lacuna.plans.search_queries import plain_texts
+
+    rows = [(1, "<b>un</b>&nbsp;mot", "fr"), (2, "בְּרֵאשִׁית־בָּרָא", "he"), (3, "<i>a</i>  word\n", None), (4, None, "en"), (5, "שָׁלוֹם <p>", "fr"), (6, " ", "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["plain"] for r in plain_texts(spark, str(tmp_path)).collect()}
+    assert got == {1: "un mot", 2: "בראשית ברא", 3: "a word", 4: None, 5: "שלום", 6: ""}
