@@ -307,3 +307,12 @@ def test_prior_search_needs_no_common_run(spark, monkeypatch):
     monkeypatch.setattr(search_queries.K, "corpus_lines", lambda spark, sf: c)
     got = {r["q"]: (r["line_key"], r["err"]) for r in search_queries.prior_search(spark, "").collect()}
     assert got == {"1/4Q1|f1/1": ("l2", round(8 / 44, 6)), "2/4Q1|f1/2": ("l2", 0.0), "4/4Q1|f1/4": ("l2", 0.0)}
+
+
+def test_e_values_of_all_records(spark, monkeypatch):
+    from lacuna.plans import statistics_queries
+
+    p = spark.createDataFrame([(f"n{i}", (i + 1) / 50, 49) for i in range(45)], "name string, p double, n_controls long")
+    monkeypatch.setattr(statistics_queries, "empirical_p", lambda spark, sf: p)
+    got = {r["name"]: round(r["E"], 6) for r in statistics_queries.e_values(spark, "").collect()}
+    assert got == {f"n{i}": round((i + 1) / 50 * 45, 6) for i in range(45)}
