@@ -11,15 +11,18 @@ from ..operators.references import orphans
 from ..session import WorkDir, table
 
 
-def _flat(spark: SparkSession, sf: str):
-    work = WorkDir(spark, "p1")
-    images = flatten_nested(table(spark, sf, "inventory_images"), "rec_id", ["text_fragments"])
-    pairs = flatten_nested(table(spark, sf, "pairs"), "rec_id", ["links", "lines"])
-    return images.written(work, "images"), pairs.written(work, "pairs")
+_FIELDS = {"inventory_images": ["text_fragments"], "pairs": ["links", "lines"]}
+
+
+def _flat(spark: SparkSession, sf: str, name: str, keep: list[str], keys_only: bool = False):
+    """The flat tables of one input table, only those asked for."""
+    d = flatten_nested(table(spark, sf, name), "rec_id", _FIELDS[name], keep, keys_only)
+    return d.written(WorkDir(spark, "p1"), name) if keys_only or len(keep) > 1 else d
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    images, pairs = _flat(spark, sf)
+    images = _flat(spark, sf, "inventory_images", ["text_fragments"], True)
+    pairs = _flat(spark, sf, "pairs", ["links", "lines"], True)
 
     def keys(flat, tag: str) -> DataFrame:
         return flat.table(tag).select(F.col("root_key").alias("rec_id"), F.lit(tag).alias("path"), "map_key", "pos")
@@ -29,7 +32,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """The child table of text fragments, with its parent's key and its scalar columns."""
-    images, _ = _flat(spark, sf)
+    images = _flat(spark, sf, "inventory_images", ["text_fragments"])
     return images.table("text_fragments").select(
         F.col("root_key").alias("rec_id"), "key", "parent_key", "pos", "edition", "edition_name", "text_fragment", "tf_name", "confirmed", "link", "preserved", "certain", "lines"
     )
@@ -37,18 +40,16 @@ def p1_fragments(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_etcbc(spark: SparkSession, sf: str) -> DataFrame:
     """Grandchildren: the parts of each etcbc, linked to their fragment or link."""
-    images, pairs = _flat(spark, sf)
     out = [
-        flat.table(tag).select(F.col("root_key").alias("rec_id"), F.lit(tag).alias("path"), "key", "parent_key", "pos", "value")
-        for flat, tag in ((images, "text_fragments.etcbc"), (pairs, "links.etcbc"))
+        _flat(spark, sf, name, [tag]).table(tag).select(F.col("root_key").alias("rec_id"), F.lit(tag).alias("path"), "key", "parent_key", "pos", "value")
+        for name, tag in (("inventory_images", "text_fragments.etcbc"), ("pairs", "links.etcbc"))
     ]
     return out[0].unionByName(out[1])
 
 
 def p1_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The child table of the map of lines: its key is kept as map_key."""
-    _, pairs = _flat(spark, sf)
-    return pairs.table("lines").select(F.col("root_key").alias("rec_id"), "map_key", "pos", "line", "text", "marks")
+    return _flat(spark, sf, "pairs", ["lines"]).table("lines").select(F.col("root_key").alias("rec_id"), "map_key", "pos", "line", "text", "marks")
 
 
 def _references(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,7 +70,8 @@ class WorkDir:
         at = self.place(name)
         w = df.write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at) if not partition_by else self.spark.read.parquet(at)
+        # the schema is given, as a table without rows has no file to take it from
+        return self.spark.read.schema(df.schema).parquet(at)
 
     def sorted_run(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
         """Saved in sorted buckets by the hash of the keys, so that joins on them need no shuffle of this side. df is to be
