@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, least: int = 50_000) -> list:
-    """Keys with more than `share` of all rows (and more than `least`): at most 1/share of them, whatever the input."""
-    total = df.count()
-    if total <= least:
-        return []
-    floor = max(least, int(total * share))
-    n = df.groupBy(*keys).count()
-    return n.where(F.col("count") > floor).select(*keys).limit(int(1 / share) + 1).collect()
+    """Keys with more than `share` of all rows (and more than `least`): at most 1/share of them, whatever the input. One job:
+    the total is a grouping set of its own, counted within tasks like the keys."""
+    keys = list(keys)
+    n = df.select(*keys).groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(F.count("*").alias("_n"), F.grouping_id().alias("_set"))
+    top = n.where((F.col("_set") > 0) | (F.col("_n") > least)).orderBy(F.desc("_set"), F.desc("_n")).limit(int(1 / share) + 2).collect()
+    total = sum(r["_n"] for r in top if r["_set"])
+    return [tuple(r[k] for k in keys) for r in top if not r["_set"] and r["_n"] > share * total]
 
 
 def salted_join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sigla import siglum
 from ..operators.nested import flatten_nested
-from ..operators.references import orphans
+from ..operators.references import judged
 from ..session import WorkDir, table
 
 
@@ -75,7 +75,8 @@ def _references(spark: SparkSession, sf: str) -> DataFrame:
     ).unionByName(rows(pairs, "pairs", etcbc))
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """All references that refer to something, with the reason if they find nothing in force."""
     refs = _references(spark, sf)
     span = ["loaded_at", "deleted_at"]
     ints = (
@@ -84,24 +85,21 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(table(spark, sf, "text_fragments").select(F.lit("text_fragment").alias("field"), "id", *span))
     )
     counts = table(spark, sf, "fragment_counts").select(siglum(F.col("scroll")).alias("siglum"), F.col("fragment").alias("label"), *span)
-    keep = ["tab", "rec_id", "pos", "field", "loaded_at", "reason"]
-    by_id = orphans(refs.where("field <> 'etcbc'").select("tab", "rec_id", "pos", "field", "id", "loaded_at"), ints, ["field", "id"], "loaded_at", ["tab", "rec_id", "pos"], integer_key="id")
-    by_name = orphans(refs.where("field = 'etcbc'").select("tab", "rec_id", "pos", "field", "siglum", "label", "loaded_at"), counts, ["siglum", "label"], "loaded_at", ["tab", "rec_id", "pos"])
+    apart = ["tab", "rec_id", "pos"]
+    keep = [*apart, "field", "loaded_at", "reason"]
+    by_id = judged(refs.where("field <> 'etcbc'").drop("siglum", "label"), ints, ["field", "id"], "loaded_at", apart, integer_key="id")
+    by_name = judged(refs.where("field = 'etcbc'").drop("id"), counts, ["siglum", "label"], "loaded_at", apart)
     return by_id.select(*keep).unionByName(by_name.select(*keep))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).select("tab", "rec_id", "pos", "field", "reason")
+    return _judged(spark, sf).where("reason is not null").select("tab", "rec_id", "pos", "field", "reason")
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     """References and orphans by table, month of delivery and field."""
-    month = F.date_format("loaded_at", "yyyy-MM").alias("month")
-    usable = F.col("id").isNotNull() | (F.col("siglum").isNotNull() & F.col("label").isNotNull())
-    total = _references(spark, sf).where(usable).groupBy("tab", month, "field").agg(F.count("*").alias("refs"))
-    bad = _orphans(spark, sf).groupBy("tab", month, "field").agg(*[F.count_if(F.col("reason") == r).alias(r) for r in ("missing", "late", "deleted")])
-    out = total.join(bad, (total.tab.eqNullSafe(bad.tab)) & total.month.eqNullSafe(bad.month) & total.field.eqNullSafe(bad.field), "left")
-    return out.select(total.tab, total.month, total.field, "refs", *[F.coalesce(bad[r], F.lit(0)).alias(r) for r in ("missing", "late", "deleted")])
+    by = ["tab", F.date_format("loaded_at", "yyyy-MM").alias("month"), "field"]
+    return _judged(spark, sf).groupBy(*by).agg(F.count("*").alias("refs"), *[F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in ("missing", "late", "deleted")])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_etcbc, p1_lines, p3_found, p3_report)}

@@ -1,8 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from lacuna.operators.references import key_runs, orphans, time_runs
+from lacuna.operators import references
+from lacuna.operators.references import judged, key_runs, orphans
 from lacuna.operators.skew import distributed_rank, salted_join
 
 T = datetime(2024, 1, 1)
@@ -25,9 +27,44 @@ def test_reasons(spark):
     assert same == got
 
 
-def test_touching_spans_are_one_run(spark):
-    p = spark.createDataFrame([(1, day(0), day(2)), (1, day(2), day(40)), (1, day(50), None), (1, day(0), day(2))], "id long, loaded_at timestamp, deleted_at timestamp")
-    assert len(time_runs(p, ["id"]).first()["_runs"]) == 2
+def test_runs_decide_what_is_missing(spark, monkeypatch):
+    p = spark.createDataFrame([(k, day(0), None) for k in (1, 2, 3, 7)], "id long, loaded_at timestamp, deleted_at timestamp")
+    r = spark.createDataFrame([(i, i, day(1)) for i in range(10)], "n int, id long, loaded_at timestamp")
+    missing = lambda: sorted(x["n"] for x in orphans(r, p, ["id"], "loaded_at", ["n"], integer_key="id").collect())
+    assert missing() == [0, 4, 5, 6, 8, 9]
+    # without runs nothing is known
+    monkeypatch.setattr(references, "key_runs", lambda parents, key, groups=(): key_runs(parents, key, groups).limit(0))
+    assert missing() == list(range(10))
+
+
+@pytest.mark.parametrize("integer_key", ["id", None])
+def test_hot_keys_and_blocks_are_split_without_a_change(spark, integer_key):
+    rnd = random.Random(5)
+    at = lambda: rnd.choice([None, *[day(rnd.uniform(0, 40)) for _ in range(9)]])
+    parents = [(g, k, at(), at()) for g in ("x", "y", None) for k in [*range(5), *range(9, 14), 5000, *[3] * 60]]
+    refs = [(i, rnd.choice(["x", "x", "y", None]), rnd.choice([3, 3, 3, 1, 2, 6, 9, 14, 5000, None]), at()) for i in range(400)]
+    p = spark.createDataFrame(parents, "g string, id long, loaded_at timestamp, deleted_at timestamp")
+    r = spark.createDataFrame(refs, "n int, g string, id long, loaded_at timestamp")
+
+    def reason(g, k, t):
+        own = [(s, e) for a, b, s, e in parents if (a, b) == (g, k)]
+        if not own:
+            return "missing"
+        if t is not None and any(s is not None and s <= t and (e is None or e > t) for s, e in own):
+            return None
+        return "late" if t is not None and all(s is not None and s > t for s, _ in own) else "deleted"
+
+    want = {n: reason(g, k, t) for n, g, k, t in refs if g is not None and k is not None}
+    for least in (5, 50_000):
+        got = {x["n"]: x["reason"] for x in judged(r, p, ["g", "id"], "loaded_at", ["n"], integer_key, least=least).collect()}
+        assert got == want
+
+
+def test_references_are_shuffled_once_and_joined_to_nothing(spark):
+    p = spark.createDataFrame([(1, day(0), None)], "id long, loaded_at timestamp, deleted_at timestamp")
+    r = spark.createDataFrame([(1, 1, day(1))], "n int, id long, loaded_at timestamp")
+    plan = judged(r, p, ["id"], "loaded_at", ["n"], integer_key="id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_key_runs(spark):
