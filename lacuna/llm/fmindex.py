@@ -47,6 +47,7 @@ class FMIndex:
 
     def __init__(self, texts: list[str]) -> None:
         letters = sorted(set().union(*map(set, texts))) if texts else []
+        self.letters = letters
         self.code = {c: i + 1 for i, c in enumerate(letters)}
         parts = [self.encode(t) for t in texts]
         self.length = np.array([len(p) for p in parts], dtype=np.int64)
@@ -84,15 +85,37 @@ class FMIndex:
         self.mark_rank = np.concatenate(([0], np.cumsum(mark)))
 
     def dumps(self) -> bytes:
-        return zlib.compress(pickle.dumps((self.code, self.length, self.start, self.text, self.bwt, self.marks, self.places), 5), 3)
+        """The transform, the samples and the lengths; the texts aren't kept beside them."""
+        return zlib.compress(pickle.dumps((self.letters, self.length, self.bwt, self.marks, self.places), 5), 3)
 
     @classmethod
     def loads(cls, raw: bytes) -> FMIndex:
         x = cls.__new__(cls)
-        x.code, x.length, x.start, x.text, x.bwt, x.marks, x.places = pickle.loads(zlib.decompress(raw))
+        x.letters, x.length, x.bwt, x.marks, x.places = pickle.loads(zlib.decompress(raw))
+        x.code = {c: i + 1 for i, c in enumerate(x.letters)}
+        x.start = np.concatenate(([0], np.cumsum(x.length + 1)))[:-1].astype(np.int64)
         x._prepare()
+        x.text = x._restored()
         return x
 
+    def _restored(self) -> np.ndarray:
+        """The texts out of the transform: all of them are walked back from their ends at once."""
+        text = np.zeros(len(self.bwt), dtype=self.bwt.dtype)
+        row = np.arange(len(self.length))  # suffixes that begin with a separator come first
+        at = self.locate(row) - 1
+        while len(row):
+            c = self.bwt[row]
+            live = c != 0
+            row, at, c = row[live], at[live], c[live].astype(np.int64)
+            text[at] = c
+            row, at = self.first[c] + self.rank(c, row), at - 1
+        return text
+
+    def decode(self, i: int) -> str:
+        """The text with number i."""
+        a = int(self.start[i])
+        return "".join([self.letters[c - 1] for c in self.text[a : a + int(self.length[i])].tolist()])
+
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How many of the first i letters of the transform are c."""
         out = np.empty(len(i), dtype=np.int64)

@@ -10,7 +10,7 @@ from ..operators.skew import salted_join, spread
 from ..session import WorkDir, default_tokenizer, table
 from .encode import encode_corpus
 from .mixture import mix, shares
-from .overlap import overlapping_rows
+from .overlap import Overlap
 from .readability import reading_levels
 from .spans import SharedSpans, chunks_of_texts, chunks_of_words, classes, with_members
 from .splits import deal, grouped, torn
@@ -99,14 +99,28 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("rec_id", "split", F.col("l.source").alias("source"), siglum(part(0)).alias("siglum"), part(1).alias("frag")).where("siglum is not null and frag is not null")
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+def _overlap(spark: SparkSession, sf: str) -> Overlap:
     rows = _links(spark, sf).withColumnRenamed("rec_id", "key")
     texts = table(spark, sf, "m9_restore_lines").select(siglum(F.col("scroll")).alias("siglum"), "frag", letters(F.col("text")).alias("letters"))
-    texts = texts.where("siglum is not null and frag is not null")
-    out = overlapping_rows(rows, texts, ["siglum", "frag"], WorkDir(spark, "p5"))
+    return Overlap(rows, texts.where("siglum is not null and frag is not null"), ["siglum", "frag"], WorkDir(spark, "p5"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = _overlap(spark, sf).pairs()
     return out.select(F.least("train_key", "eval_key").alias("rec_a"), F.greatest("train_key", "eval_key").alias("rec_b"))
 
 
+def p5_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct lines of val and test rows by split and the source of their links: how many match a line of a train row, the
+    pairs of matching lines, and how many letters stand in merged maximal matches."""
+    links = _links(spark, sf).where("split in ('val', 'test')").select("split", "source", "siglum", "frag").distinct()
+    d = salted_join(_overlap(spark, sf).spans(), links, ["siglum", "frag"], ["letters"], "inner")
+    d = d.groupBy("split", "source", "letters").agg(F.first("matches").alias("matches"), F.first("covered").alias("covered"))  # a text's are the same at all places
+    return d.groupBy("split", "source").agg(
+        F.count("*").alias("lines"), F.count_if(F.col("matches") > 0).alias("matched"), F.sum("matches").alias("pairs"), F.sum(F.length("letters")).alias("letters"), F.sum("covered").alias("covered")
+    )
+
+
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Val and test rows that overlap with a train row, and all of them, by split and the source of their complete links."""
     links = _links(spark, sf).where("split in ('val', 'test')").select("rec_id", "split", "source").distinct()
@@ -152,7 +166,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return src.join(d, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p4_found, p4_splits, p4_forest, p5_found, p5_report, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p4_found, p4_splits, p4_forest, p5_found, p5_report, p5_spans, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
 
 SIGLUM = "regexp_replace(upper(replace(regexp_replace({0}, '[\\s.^]', '', 'g'), '_', '-')), '-[0-9]+$', '')"
 PLATE = "regexp_replace(lower(trim({0})), '/(rec|vrs)$', '')"
