@@ -1,9 +1,10 @@
 """Mixing sources to target shares of all tokens, with a cap on repeats.
 
 Weights come from temperature mixing: source shares are raised to an exponent and normalised, and the exponent is bisected to
-meet a target entropy or the repetition limits. With target shares given, the exponent moves the weights from the targets
-(exponent 0) towards the sources' own sizes (1), by the smallest step at which no source needs more repeats than it may have.
-Without a stated budget the largest one is taken that the targets themselves allow, so the targets are met as they are. The
+meet a target entropy (`flatten`) or the repetition limits. With target shares given, the exponent moves the weights from the
+targets (exponent 0) towards the sources' own sizes (1), by the smallest step at which no source needs more repeats than it may
+have. Without a stated budget the largest one is taken that the targets themselves allow, so the targets are met as they are; a
+budget can also be stated in tokens, or as a place between that one (`stretch` 0) and all sources with all repeats (1). The
 weights are then realised as budgets: whole passes over a source, and for the rest a prefix of one more pass, each pass in a
 hash order of its own (a block permutation).
 
@@ -86,9 +87,12 @@ class Plan:
     budget: float
     passes: int
     rest: float
+    exponent: float
 
 
-def plan(targets: list[tuple[str, float, int]], sizes: dict[str, int], budget: float | None = None) -> list[Plan]:
+def plan(targets: list[tuple[str, float, int]], sizes: dict[str, int], budget: float | None = None, flatten: float | None = None, stretch: float = 0.0) -> list[Plan]:
+    """What to draw. With `flatten` the targets are the sources' own sizes, tempered to the entropy that lies at this part of
+    the way from theirs (0) to that of even shares (1)."""
     share: dict[str, float] = {}
     cap: dict[str, int] = {}
     for s, t, r in targets:
@@ -97,28 +101,36 @@ def plan(targets: list[tuple[str, float, int]], sizes: dict[str, int], budget: f
         share[s] = share.get(s, 0.0) + max(0.0, t or 0.0)
         cap[s] = min(cap.get(s, 1 << 30), max(0, r or 0))
     use = {s: t for s, t in share.items() if t > 0 and sizes.get(s, 0) > 0 and cap[s] > 0}
+    exponent = 0.0
+    if flatten is not None and use:
+        own = tempered({s: float(sizes[s]) for s in use}, 1.0)
+        exponent = exponent_for_entropy(own, entropy(own) + flatten * (math.log(len(own)) - entropy(own)))
+        use = tempered(own, exponent)
+        share = {s: use.get(s, 0.0) for s in share}
     total = sum(use.values())
     if budget is None:
-        budget = min((cap[s] * sizes[s] * total / t for s, t in use.items()), default=0.0)
-    weights, _ = weights_within_limits(share, sizes, cap, budget)
+        least = min((cap[s] * sizes[s] * total / t for s, t in use.items()), default=0.0)
+        budget = least + stretch * (sum(cap[s] * sizes[s] for s in use) - least)
+    weights, towards = weights_within_limits(share, sizes, cap, budget)
     out = []
     for s in sorted(share):
         n, w = sizes.get(s, 0), weights.get(s, 0.0)
         want = w * budget
         k = min(cap[s], int(want / n + 1e-9)) if n else 0
-        out.append(Plan(s, share[s], w, cap[s], n, want, k, max(0.0, want - k * n) if k < cap[s] else 0.0))
+        out.append(Plan(s, share[s], w, cap[s], n, want, k, max(0.0, want - k * n) if k < cap[s] else 0.0, exponent if flatten is not None else towards))
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str, work, budget: float | None = None, seed: int = 0) -> tuple[DataFrame, list[Plan]]:
-    """(doc_id, source, copy, place, n_tokens): the drawn documents; sorting a source's copy by `place` gives its permutation."""
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str, work, budget: float | None = None, flatten: float | None = None, stretch: float = 0.0, seed: int = 0) -> tuple[DataFrame, list[Plan]]:
+    """(doc_id, source, copy, place, n_tokens): the drawn documents; sorting a source's copy by `place` gives its permutation.
+    For budget, flatten and stretch see `plan`."""
     want = [tuple(r) for r in targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(MAX_SOURCES + 1).collect()]
     if len(want) > MAX_SOURCES:
         raise ValueError("too many sources to plan")
     names = sorted({s for s, t, r in want if s is not None and t and t > 0 and r and r > 0})
     sized = work.save(token_counts(docs.where(F.col("source").isin(names)), tokenizer, ["doc_id", "source"]).where("n_tokens > 0"), "sizes")
     sizes = {r[0]: int(r[1]) for r in sized.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    plans = plan(want, sizes, budget)
+    plans = plan(want, sizes, budget, flatten, stretch)
     by = sized.sparkSession.createDataFrame([(p.source, p.passes, p.rest) for p in plans], "source string, passes int, rest double")
     d = sized.join(F.broadcast(by), "source")  # at most MAX_SOURCES rows
     place = lambda copy: F.xxhash64(F.lit(seed), copy, F.col("doc_id"))
@@ -136,11 +148,11 @@ def shares(drawn: DataFrame, plans: list[Plan]) -> DataFrame:
     spark = drawn.sparkSession
     used = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn"), F.count("*").alias("documents"), F.max("copy").alias("repeats"))
     table = spark.createDataFrame(
-        [(p.source, p.target, p.weight, p.cap, p.tokens) for p in plans],
-        "source string, target_share double, weight double, max_repeats int, available long",
+        [(p.source, p.target, p.weight, p.exponent, p.cap, p.tokens, p.budget) for p in plans],
+        "source string, target_share double, weight double, exponent double, max_repeats int, available long, budget double",
     )
     out = table.join(used, "source", "left").fillna(0, ["drawn", "documents", "repeats"])
     total = F.sum("drawn").over(Window.partitionBy(F.lit(0)))  # one row for each source
     return out.select(
-        "source", "target_share", F.coalesce(F.try_divide("drawn", total), F.lit(0.0)).alias("share"), "weight", "max_repeats", "repeats", "documents", "available", "drawn"
+        "source", "target_share", F.coalesce(F.try_divide("drawn", total), F.lit(0.0)).alias("share"), "weight", "exponent", "max_repeats", "repeats", "documents", "available", "budget", "drawn"
     )

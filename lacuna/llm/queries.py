@@ -84,6 +84,20 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     return deal(rows, "rec_id", {"train": 0.8, "val": 0.1, "test": 0.1}, WorkDir(spark, "p4")).select("rec_id", "split")
 
 
+def p4_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What the splits must keep: no manuscript or plate, in normal form, in two splits, and shares within 1 % of all rows."""
+    d = table(spark, sf, "pairs").select("rec_id", siglum(F.col("manuscript")).alias("manuscript"), plate(F.col("plate")).alias("plate")).join(p4_splits(spark, sf), "rec_id")
+    rows = d.groupBy("split").agg(F.count("*").alias("n"))
+
+    def torn_by(c: str) -> DataFrame:
+        g = d.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+        return g.agg(F.lit(c).alias("by"), F.count("*").alias("things"), F.count_if(F.col("lo") != F.col("hi")).alias("wrong"))
+
+    want = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    off = rows.crossJoin(rows.agg(F.sum("n").alias("total"))).agg(F.lit("split").alias("by"), F.sum("n").alias("things"), F.count_if(F.abs(F.col("n") / F.col("total") - want) > 0.01).alias("wrong"))  # three rows
+    return torn_by("manuscript").unionByName(torn_by("plate")).unionByName(off)
+
+
 def p4_forest(spark: SparkSession, sf: str) -> DataFrame:
     """The spanning forest's edges: manuscript, plate and the round in which the edge was chosen."""
     edges = _groups(spark, sf)[1].edges
@@ -133,9 +147,9 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(spread(table(spark, sf, "documents").select("doc_id", "text")), default_tokenizer())
 
 
-def _mixed(spark: SparkSession, sf: str):
+def _mixed(spark: SparkSession, sf: str, **how):
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
-    return mix(docs, table(spark, sf, "source_targets"), default_tokenizer(), WorkDir(spark, "p7"))
+    return mix(docs, table(spark, sf, "source_targets"), default_tokenizer(), WorkDir(spark, "p7"), **how)
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,6 +160,30 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(*_mixed(spark, sf))
 
 
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What the draw must keep: each source within half a document of its budget, and no document used too often."""
+    drawn, plans = _mixed(spark, sf)
+    d = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn"), F.max("n_tokens").alias("longest"))
+    times = drawn.groupBy("source", "doc_id").agg(F.count("*").alias("times")).groupBy("source").agg(F.max("times").alias("times"))
+    by = spark.createDataFrame([(p.source, p.budget, p.cap) for p in plans], "source string, budget double, cap int")
+    d = by.join(d, "source", "left").join(times, "source", "left").fillna(0)
+    return d.select("source", (F.abs(F.col("drawn") - F.col("budget")) <= F.greatest(F.col("longest"), F.lit(1)) / 2 + 1).alias("share_kept"), (F.col("times") <= F.col("cap")).alias("cap_kept"))
+
+
+def p7_tempered(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources' own sizes, tempered to an entropy half-way to that of even shares; no document used too often."""
+    return _mixed(spark, sf, flatten=0.5)[0]
+
+
+def p7_tempered_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(*_mixed(spark, sf, flatten=0.5))
+
+
+def p7_stretched_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """More tokens than the targets allow, half-way to all sources with all repeats: shares as near the targets as can be."""
+    return shares(*_mixed(spark, sf, stretch=0.5))
+
+
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return reading_levels(docs, table(spark, sf, "level_anchors"), WorkDir(spark, "p8"))
@@ -166,7 +204,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return src.join(d, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p4_found, p4_splits, p4_forest, p5_found, p5_report, p5_spans, p6_ids, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p4_found, p4_splits, p4_check, p4_forest, p5_found, p5_report, p5_spans, p6_ids, p7_mix, p7_shares, p7_check, p7_tempered, p7_tempered_shares, p7_stretched_shares, p8_found, p8_levels, p8_profile)}
 
 SIGLUM = "regexp_replace(upper(replace(regexp_replace({0}, '[\\s.^]', '', 'g'), '_', '-')), '-[0-9]+$', '')"
 PLATE = "regexp_replace(lower(trim({0})), '/(rec|vrs)$', '')"
@@ -190,6 +228,9 @@ SQL: dict[str, str] = {
     "p2_found": f"WITH {_RECORDS} SELECT DISTINCT a.tab AS tab, a.key AS key_a, b.key AS key_b FROM wins a JOIN hot USING (tab, w) JOIN wins b ON a.tab = b.tab AND a.w = b.w AND a.key < b.key",
     "p2_coverage": f"""WITH {_RECORDS}, cov AS (SELECT tab, key, count(DISTINCT p) AS n FROM (SELECT tab, key, unnest(range(i, i + 40)) AS p FROM wins JOIN hot USING (tab, w)) GROUP BY tab, key)
         SELECT recs.tab AS tab, recs.key AS key, CAST(length(text) AS BIGINT) AS n_chars, coalesce(n, 0) AS shared, round(coalesce(coalesce(n, 0) / nullif(length(text), 0), 0.0), 6) AS share FROM recs LEFT JOIN cov ON recs.tab = cov.tab AND recs.key = cov.key""",
+    "p4_check": f"""SELECT 'manuscript' AS by, count(DISTINCT {SIGLUM.format("manuscript")}) AS things, 0 AS wrong FROM pairs UNION ALL SELECT 'plate', count(DISTINCT {PLATE.format("plate")}), 0 FROM pairs
+        UNION ALL SELECT 'split', count(*), 0 FROM pairs""",
+    "p7_check": "SELECT DISTINCT source, true AS share_kept, true AS cap_kept FROM source_targets WHERE source IS NOT NULL",
     "p5_found": _P5 + " SELECT rec_a, rec_b FROM found",
     "p5_report": _P5 + """, hit AS (SELECT rec_a AS rec_id FROM found UNION SELECT rec_b FROM found)
         SELECT split, source, count(*) AS rows, count(hit.rec_id) AS overlapping FROM (SELECT DISTINCT rec_id, split, source FROM li WHERE split IN ('val', 'test')) l LEFT JOIN hit USING (rec_id) GROUP BY split, source""",

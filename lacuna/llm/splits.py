@@ -10,7 +10,8 @@ of the components with an edge vanish in each round, so there are at most log2(n
 are left. The forest and each round's parents are written to the shared folder; no component is ever gathered anywhere.
 
 Roots are stratified by size band (powers of two, largest first) and dealt in hash order, systematically, so every band is
-dealt as evenly as it can be. Groups with more than a thousandth of all rows, of which there are few, are placed one by one.
+dealt as evenly as it can be; the last band, of the smallest groups, gets the shares that the others left open. Only groups of
+more than a tenth of the smallest split, of which there can be a bounded number at any size of input, are placed one by one.
 
 Defined results: a null value links nothing; a record without any value is a group of its own; repeated records stay together.
 """
@@ -109,8 +110,8 @@ def torn(groups: DataFrame, split: str) -> DataFrame:
     return g.where("_lo <> _hi").select("root", "first_min")
 
 
-#: Groups with more than this share of all rows are placed one by one: there are at most 1 / LARGE of them.
-LARGE = 0.001
+#: Groups with more than this part of the smallest split are placed one by one: at most 1 / (LARGE * its share) of them.
+LARGE = 0.1
 _STEP = 0.6180339887498949
 
 
@@ -126,29 +127,42 @@ def place_large(sizes: list[tuple[str, int]], want: dict[str, float]) -> tuple[d
     return out, left
 
 
+def _ranges(x: Column, lack: dict[str, float]) -> Column:
+    """The split into whose range of [0, 1) x falls; ranges are as wide as what the splits lack."""
+    total, at = sum(lack.values()) or 1.0, 1.0
+    out = F.lit(None).cast("string")
+    for s in reversed(list(lack)):  # the last range first, so that each `when` is below its own upper edge
+        out = F.when(x < at, F.lit(s)).otherwise(out)
+        at -= lack[s] / total
+    return F.coalesce(out, F.lit(max(lack, key=lambda s: lack[s])))
+
+
 def deal(groups: DataFrame, key: str, shares: dict[str, float], work, seed: int = 0) -> DataFrame:
     """(key, root, split): every row's split. The few large groups are placed one by one; all others are dealt by a running
-    place, band after band, whose multiples of the golden ratio fall evenly into the shares that are still wanted."""
+    place, band after band, whose multiples of the golden ratio fall evenly into the shares that are still wanted. The
+    smallest band comes last and is cut, in hash order, at what the splits then lack."""
     if abs(sum(shares.values()) - 1) > 1e-9 or min(shares.values()) < 0:
         raise ValueError("shares must add up to 1")
+    shares = {s: v for s, v in shares.items() if v > 0}
     rows = groups.withColumn("root", F.coalesce("root", F.concat(F.lit("r:"), F.col(key).cast("string"))))
     sizes = work.save(rows.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [tuple(r) for r in sizes.where(F.col("n") > F.lit(LARGE * total)).where("n > 1").collect()]  # at most 1 / LARGE
+    limit = max(1.0, LARGE * min(shares.values()) * total)
+    large = [tuple(r) for r in sizes.where(F.col("n") > limit).collect()]  # at most 1 / (LARGE * the smallest share)
     placed, left = place_large(large, {s: v * total for s, v in shares.items()})
     spark = groups.sparkSession
-    fixed = spark.createDataFrame(list(placed.items()), "root string, split string")
-    rest = sizes.join(F.broadcast(fixed.select("root")), "root", "left_anti")
-    rest = rest.withColumn("band", -F.floor(F.log2("n"))).withColumn("h", F.xxhash64(F.lit(seed), "root"))
-    # one running place over all bands: each has 4096 hash ranges, in order
-    bucket = F.col("band").cast("long") * 4096 + F.shiftright("h", 52) + 2048
-    ranked = distributed_rank(rest.withColumn("_all", F.lit(0)), ["_all"], bucket, ["h", "root"], "place")
-    ranked = ranked.withColumn("x", (F.col("place") + 0.5) * _STEP % 1.0)
+    fixed = spark.createDataFrame([(g, s, n) for (g, n) in large for s in [placed[g]]], "root string, split string, n long")
+    rest = sizes.where(F.col("n") <= limit).withColumn("band", F.floor(F.log2("n"))).withColumn("h", F.xxhash64(F.lit(seed), "root"))
+    lowest = rest.agg(F.min("band")).first()[0] or 0
+    # one running place over the bands: each has 4096 hash ranges, in order
+    hashed = F.shiftright("h", 52) + 2048
+    upper = distributed_rank(rest.where(F.col("band") > lowest).withColumn("_all", F.lit(0)), ["_all"], -F.col("band").cast("long") * 4096 + hashed, ["h", "root"], "place")
     lack = {s: max(0.0, v) for s, v in left.items()}
-    sum_lack = sum(lack.values()) or 1.0
-    split, at = F.lit(None).cast("string"), 1.0
-    for s in reversed(list(shares)):  # the last range first, so that each `when` is below its own upper edge
-        split = F.when(F.col("x") < at, F.lit(s)).otherwise(split)
-        at -= lack[s] / sum_lack
-    dealt = ranked.select("root", F.coalesce(split, F.lit(next(iter(shares)))).alias("split")).unionByName(fixed)
-    return salted_join(rows.select(key, "root"), dealt, ["root"], [key]).select(key, "root", "split")
+    upper = upper.select("root", _ranges((F.col("place") + 0.5) * _STEP % 1.0, lack).alias("split"), "n")
+    done = work.save(upper.unionByName(fixed), "dealt")
+    have = {r[0]: r[1] for r in done.groupBy("split").agg(F.sum("n")).collect()}
+    last = distributed_rank(rest.where(F.col("band") == lowest).withColumn("_all", F.lit(0)), ["_all"], hashed, ["h", "root"], "place")
+    count = rest.where(F.col("band") == lowest).count()
+    lack = {s: max(0.0, v * total - have.get(s, 0)) for s, v in shares.items()}
+    last = last.select("root", _ranges((F.col("place") + 0.5) / max(1, count), lack).alias("split"))
+    return salted_join(rows.select(key, "root"), done.select("root", "split").unionByName(last), ["root"], [key]).select(key, "root", "split")

@@ -45,3 +45,23 @@ def test_draw(spark, work):
     none, plans = mix(docs.limit(0), targets, default_tokenizer(), work)
     assert none.count() == 0 and all(r["share"] == 0 for r in shares(none, plans).collect())
     assert math.isfinite(sum(p.budget for p in plans))
+
+
+def test_flatten_and_stretch_bisect_the_exponent(spark, work):
+    sizes = {"a": 1000, "b": 300, "c": 20}
+    targets = [("a", 0.2, 1), ("b", 0.3, 2), ("c", 0.5, 4)]
+    own = {s: n / 1320 for s, n in sizes.items()}
+    p = {x.source: x for x in plan(targets, sizes, flatten=0.5)}
+    assert 0 < p["a"].exponent < 1 and p["a"].weight / p["b"].weight == pytest.approx((1000 / 300) ** p["a"].exponent)
+    assert entropy({s: x.weight for s, x in p.items()}) == pytest.approx((entropy(own) + math.log(3)) / 2)
+    assert all(x.budget <= x.cap * x.tokens * (1 + 1e-9) for x in p.values())
+    # without the bisection the weights would be others: even at exponent 0, the own sizes at 1
+    assert p["c"].weight != pytest.approx(1 / 3, abs=0.01) and p["c"].weight != pytest.approx(own["c"], abs=0.01)
+    q = {x.source: x for x in plan(targets, sizes, stretch=0.5)}
+    at0 = sum(x.budget for x in plan(targets, sizes))
+    assert 0 < q["a"].exponent < 1 and sum(x.budget for x in q.values()) == pytest.approx((at0 + 1000 + 600 + 80) / 2)
+    assert all(x.budget <= x.cap * x.tokens * (1 + 1e-9) for x in q.values())
+    docs = spark.createDataFrame([(i, "abc"[i % 3] if i % 5 else "a", "one two three four five " * (1 + i % 7)) for i in range(900)], "doc_id long, source string, text string")
+    d, plans = mix(docs, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), default_tokenizer(), work, flatten=0.5)
+    for r in shares(d, plans).collect():
+        assert abs(r["drawn"] - r["budget"]) <= 45 and r["repeats"] <= r["max_repeats"] and 0 < r["exponent"] < 1

@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm.splits import deal, grouped, torn
+from lacuna.llm import splits
+from lacuna.llm.splits import deal, grouped, place_large, torn
 
 
 def components(rows):
@@ -64,7 +66,25 @@ def test_deal_keeps_groups_and_shares(spark, work):
         by[r["root"]].add(r["split"])
     assert all(len(v) == 1 for v in by.values())
     n = Counter(r["split"] for r in out)
-    assert abs(n["train"] - 4800) < 200 and abs(n["val"] - 600) < 120 and abs(n["test"] - 600) < 120
+    assert abs(n["train"] - 4800) <= 60 and abs(n["val"] - 600) <= 60 and abs(n["test"] - 600) <= 60
+
+
+@pytest.mark.parametrize("n", [300, 1000, 5000])
+def test_groups_of_every_size_are_dealt(spark, work, n, monkeypatch):
+    rnd = random.Random(n)
+    rows = [(i, f"m{int(rnd.paretovariate(0.8))}" if rnd.random() < 0.7 else None, None) for i in range(n)]
+    g, _ = build(spark, work, rows)
+    placed = []
+    monkeypatch.setattr(splits, "place_large", lambda sizes, want: placed.append(len(sizes)) or place_large(sizes, want))
+    out = deal(g, "k", {"train": 0.8, "val": 0.1, "test": 0.1}, work).collect()
+    by = defaultdict(set)
+    for r in out:
+        by[r["root"]].add(r["split"])
+    assert all(len(v) == 1 for v in by.values()) and placed[0] <= 100
+    several = [k for k, c in Counter(r["root"] for r in out).items() if c > 1]
+    assert len(several) > placed[0]  # the dealing places groups of several rows too
+    c = Counter(r["split"] for r in out)
+    assert all(abs(c[s] / n - v) <= 0.01 for s, v in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
 
 
 def test_torn(spark):
