@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sigla import letters, plate, siglum
 from ..operators.skew import salted_join, spread
 from ..session import WorkDir, default_tokenizer, table
-from .encode import encode_corpus
+from .encode import encode_corpus, token_counts
 from .mixture import mix, shares
 from .overlap import Overlap
 from .readability import reading_levels
@@ -163,7 +163,9 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 def p7_check(spark: SparkSession, sf: str) -> DataFrame:
     """What the draw must keep: each source within half a document of its budget, and no document used too often."""
     drawn, plans = _mixed(spark, sf)
-    d = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn"), F.max("n_tokens").alias("longest"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    longest = token_counts(docs, default_tokenizer(), ["doc_id", "source"]).groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    d = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn")).join(longest, "source", "right")
     times = drawn.groupBy("source", "doc_id").agg(F.count("*").alias("times")).groupBy("source").agg(F.max("times").alias("times"))
     by = spark.createDataFrame([(p.source, p.budget, p.cap) for p in plans], "source string, budget double, cap int")
     d = by.join(d, "source", "left").join(times, "source", "left").fillna(0)
