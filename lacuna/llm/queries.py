@@ -12,54 +12,43 @@ from .encode import encode_corpus, token_counts
 from .mixture import mix, shares
 from .overlap import Overlap
 from .readability import reading_levels
-from .spans import SharedSpans, chunks_of_texts, chunks_of_words, classes, with_members
+from .spans import FingerprintIndex, SharedSpans, chunks_of_texts, chunks_of_words, classes, with_members
 from .splits import deal, grouped, torn
 
 
 def _records(spark: SparkSession, sf: str):
-    """Restored lines as (tab, key, batch, text), and the words of scrolls as (tab, key, batch, word, word_id)."""
+    """Restored lines as (tab, key, batch, text), and the words of scrolls as (tab, key, batch, word, word_id). Batches are years:
+    of a line's first delivery, of a word's last one."""
     last = lambda c: F.max_by(c, F.struct("loaded_at", c))
+    year = lambda c: F.coalesce(F.year(c), F.lit(0)).alias("batch")
     lines = table(spark, sf, "m9_restore_lines").where("line_key is not null and text is not null").groupBy(F.col("line_key").alias("key"))
-    lines = lines.agg(last("text").alias("text"), _half_year_of_first().alias("batch")).withColumn("tab", F.lit("m9_restore_lines"))
+    lines = lines.agg(last("text").alias("text"), year(F.min("loaded_at"))).withColumn("tab", F.lit("m9_restore_lines"))
     words = table(spark, sf, "m9_variants").select(siglum(F.col("scroll")).alias("key"), "word_id", F.col("scroll_word").alias("word"), "loaded_at")
     words = words.where("key is not null and key <> '' and word_id is not null and word is not null").groupBy("key", "word_id")
-    words = words.agg(last("word").alias("word"), F.min("loaded_at").alias("loaded_at"))
+    words = words.agg(last("word").alias("word"), year(F.max("loaded_at"))).withColumn("tab", F.lit("m9_variants"))
     return lines, words
 
 
-def _half_year_of_first():
-    """The batch of a record: the half-year of its first delivery."""
-    return F.coalesce(F.year(F.min("loaded_at")) * 2 + F.floor((F.month(F.min("loaded_at")) - 1) / 6), F.lit(0)).cast("int")
-
-
 def _spans(spark: SparkSession, sf: str):
     work = WorkDir(spark, "p2")
     lines, words = _records(spark, sf)
     lines = work.save(classes(work.save(lines, "lines")), "classes")
     reps = lines.where("key = rep").select("tab", "key", F.col("first").alias("batch"), "text")
-    words = work.save(words, "words")
-    first = words.groupBy("key").agg(_half_year_of_first().alias("batch"))
-    words = salted_join(words.drop("loaded_at"), first, ["key"], ["word_id"], "inner").withColumn("tab", F.lit("m9_variants"))
     chunks = chunks_of_texts(reps).unionByName(chunks_of_words(words, "word_id"))
-    return SharedSpans(chunks, work), lines, words
-
-
-_PAIR = "tab string, key_a string, key_b string"
+    index = FingerprintIndex(spark, work.place("index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return SharedSpans(chunks, work, index), lines, words
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     spans, lines, _ = _spans(spark, sf)
-    pairs = spans.pairs()
     members = lines.where("copies > 1 and length(text) >= 40").select("tab", "rep", "key")
-    return with_members(spark.createDataFrame([], _PAIR) if pairs is None else pairs, members)
+    return with_members(spans.pairs(), members)
 
 
 def p2_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """How much of each line and scroll stands elsewhere too, in characters and as a share."""
     spans, lines, words = _spans(spark, sf)
     covered = spans.covered()
-    if covered is None:
-        covered = spark.createDataFrame([], "tab string, key string, covered long")
     n = words.groupBy("tab", "key").agg((F.sum(F.length("word") + 1) - 1).alias("n_chars"))
     of_lines = lines.join(covered.withColumnRenamed("key", "rep"), ["tab", "rep"], "left")
     shared = F.when((F.col("copies") > 1) & (F.length("text") >= 40), F.length("text")).otherwise(F.coalesce("covered", F.lit(0)))

@@ -1,18 +1,22 @@
 """Long spans that stand verbatim in more than one record, found incrementally.
 
 A log-structured fingerprint index: a batch of new records becomes a sorted, immutable run of (hash, record, context), bucketed by
-hash in the shared folder. A batch is merge-joined with itself and with each historical run (whose side needs no shuffle), and
-when a level has `FANOUT` runs they are merged into one of the next level, so a record is rewritten log(batches) times in all.
+hash in a folder. A batch is merge-joined with itself and with each historical run (whose side needs no shuffle), and when a level
+has `FANOUT` runs they are merged into one of the next level, so a record is rewritten log(batches) times in all. A manifest names
+the runs, the batches that are in them and the matches found so far; `FingerprintIndex.open` takes it up in a later session, and a
+batch that is there already isn't added again.
 
 Fingerprints are hashes of `SEED` characters, and of the seeds that begin in a window of `WINDOW` characters the one with the
 least hash is kept (the first of equals). Equal windows keep equal seeds, so records that share a window share a kept seed,
 while only about one place in nine is stored. Each is stored with the characters around it that a window with this seed can
-have, so a match is verified on the text itself, in the join: some window of `WINDOW` characters around the seed is equal.
+have, so a match is verified on the text itself, in the join: seed and characters on both sides are equal over `WINDOW` characters
+or more. A seed that very many places have (a stock phrase, which may be shorter than a window) isn't joined by its hash alone:
+its places are spread by the hashes of their windows, so only those that share a whole window meet.
 
 Records with the same text are one class with one representative in the index; members are added to the pairs at the end.
 Records can be of any length: texts are cut into chunks that overlap by a window, and texts that are given word by word are
-joined in chunks of words, so no task holds a whole record. How much of a record is shared is counted without pairs, from
-hashes (96 bits) of all windows: those with more than one record, and the union of their places.
+joined in chunks of words, so no task holds a whole record; a chunk belongs to the batch in which its last word came. How much
+of a record is shared is counted from the verified matches: the union of the stretches around their seeds.
 
 Hashing runs in Arrow batches with NumPy: measured on four million windows, the JVM's higher-order functions took 2.3
 microseconds for each, NumPy a tenth of that.
@@ -23,12 +27,17 @@ deliveries of a record the last one's text counts; null words are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import distributed_rank, running_total, salted_join
 
 WINDOW, SEED, FANOUT = 40, 24, 4
+#: Places of a seed in a run, beyond which it is joined by its windows.
+HOT = 1000
 #: Characters before a seed that a window with it can have, and so after it.
 SIDE = WINDOW - SEED
 #: Characters and words in a chunk; words around it that complete its windows (each has a blank at least).
@@ -68,7 +77,7 @@ def chunks_of_words(words: DataFrame, order: str) -> DataFrame:
 
     own, chunk = F.col("own"), F.col("chunk")
     g = d.groupBy("tab", "key", "chunk").agg(
-        F.first("batch").alias("batch"),  # the same for all words of a record
+        F.max("batch").alias("batch"),
         part(own == chunk).alias("core"),
         part(own > chunk).alias("halo"),
         part(own < chunk).alias("pre"),
@@ -107,7 +116,8 @@ def _hashes(codes, size: int):
 
 
 def seeds(chunks: DataFrame) -> DataFrame:
-    """(tab, h, key, left, context): the kept seeds, each with up to SIDE characters on either side, `left` of them before."""
+    """(tab, h, key, at, left, context): the kept seeds, their places in the record, each with up to SIDE characters on either
+    side, `left` of them before."""
 
     def run(batches):
         import numpy as np
@@ -122,7 +132,7 @@ def seeds(chunks: DataFrame) -> DataFrame:
             if len(codes) < WINDOW:
                 return None
             h = _hashes(codes, SEED)
-            left, starts = b.column("left").to_numpy(zero_copy_only=False).astype(np.int64), b.column("starts").to_numpy(zero_copy_only=False).astype(np.int64)
+            left, starts, base = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "starts", "base"))
             row = np.repeat(np.arange(len(bodies)), starts)
             w = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts) + (at + left)[row]
             kept, owner = [], []
@@ -139,8 +149,8 @@ def seeds(chunks: DataFrame) -> DataFrame:
             context = [text[i:j] for i, j in zip(lo.tolist(), hi.tolist())]
             take = pa.array(o)
             return pa.RecordBatch.from_arrays(
-                [b.column("tab").take(take), pa.array(h[p].astype(np.int64)), b.column("key").take(take), pa.array((p - lo).astype(np.int32)), pa.array(context, pa.string())],
-                names=["tab", "h", "key", "left", "context"],
+                [b.column("tab").take(take), pa.array(h[p].astype(np.int64)), b.column("key").take(take), pa.array((base - left - at)[o] + p), pa.array((p - lo).astype(np.int32)), pa.array(context, pa.string())],
+                names=["tab", "h", "key", "at", "left", "context"],
             )
 
         for b in batches:
@@ -149,105 +159,186 @@ def seeds(chunks: DataFrame) -> DataFrame:
                 if got is not None and got.num_rows:
                     yield got
 
-    d = chunks.where("starts > 0").select("tab", "key", "body", "left", "starts")
-    return d.mapInArrow(run, "tab string, h long, key string, left int, context string")
-
-
-def fingerprints(chunks: DataFrame) -> DataFrame:
-    """(tab, key, chunk, at, h, h2): two hashes of every window, and its place in the record."""
+    d = chunks.where("starts > 0").select("tab", "key", "base", "body", "left", "starts")
+    return d.mapInArrow(run, "tab string, h long, key string, at long, left int, context string")
 
-    def one(i: Column) -> Column:
-        w = F.substring(F.col("body"), F.col("left") + i + 1, F.lit(WINDOW))
-        return F.struct((F.col("base") + i).alias("at"), F.xxhash64(w).alias("h"), F.hash(w).alias("h2"))
 
-    d = chunks.where("starts > 0")
-    return d.select("tab", "key", "chunk", F.inline(F.transform(F.sequence(F.lit(0), F.col("starts") - 1), one)))
+_RUN = "tab string, h long, key string, left int, context string, ats array<bigint>"
+_MATCH = "tab string, key_a string, key_b string, before int, after int, ats_a array<bigint>, ats_b array<bigint>"
 
 
 class FingerprintIndex:
-    """Sorted runs of kept seeds by level. `add` matches a batch against all that is there and then keeps it."""
-
-    def __init__(self, work, buckets: int, fanout: int = FANOUT) -> None:
-        self.work = work
-        self.buckets = buckets
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = [[]]
-
+    """Sorted runs of kept seeds by level, in a folder. `add` matches a batch against all that is there and then keeps it."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = FANOUT, hot: int = HOT) -> None:
+        self.spark, self.path = spark, path
+        self.state: dict = {"buckets": buckets, "fanout": fanout, "hot": hot, "levels": [[]], "batches": [], "matches": [], "version": 0}
+        self._tables: dict[str, str] = {}
+
+    # ------------------------------------------------------------ folder
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, buckets: int = 8, fanout: int = FANOUT, hot: int = HOT) -> FingerprintIndex:
+        """The index in a folder with its runs, or a new one."""
+        out = cls(spark, path, buckets, fanout, hot)
+        fs, jvm_path = out._fs()
+        found = fs.globStatus(jvm_path(f"{path}/manifest-*.json")) if fs.exists(jvm_path(path)) else []
+        names = sorted(str(f.getPath()) for f in found)
+        if names:
+            out.state = json.loads(spark.read.text(names[-1], wholetext=True).first()[0])
+        return out
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        make = jvm.org.apache.hadoop.fs.Path
+        return make(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), make
+
+    def _commit(self) -> None:
+        """A new manifest; it is renamed into place, so a reader finds the old state or the new one."""
+        self.state["version"] += 1
+        fs, make = self._fs()
+        name = f"manifest-{self.state['version']:08d}.json"
+        out = fs.create(make(f"{self.path}/_{name}"), True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        if not fs.rename(make(f"{self.path}/_{name}"), make(f"{self.path}/{name}")):
+            raise RuntimeError(f"{name} is there already: another writer is at work")
+
+    def _bucketed(self, at: str) -> DataFrame:
+        if at not in self._tables:
+            tab = f"lacuna_{uuid.uuid4().hex[:12]}"
+            self.spark.sql(f"CREATE TABLE {tab} ({_RUN.replace(',', ', ')}) USING parquet CLUSTERED BY (tab, h) SORTED BY (tab, h) INTO {self.state['buckets']} BUCKETS LOCATION '{at}'")
+            self._tables[at] = tab
+        return self.spark.table(self._tables[at])
+
+    def _write_run(self, kept: DataFrame) -> dict:
+        """A run from rows that are hashed by (tab, h) into as many partitions as there are buckets: its folder, and that of
+        its hot seeds if it has any."""
+        at = f"{self.path}/run-{uuid.uuid4().hex[:12]}"
+        tab = f"lacuna_{uuid.uuid4().hex[:12]}"
+        kept.write.mode("overwrite").option("path", at).bucketBy(self.state["buckets"], "tab", "h").sortBy("tab", "h").saveAsTable(tab)
+        self._tables[at] = tab
+        n = self.spark.table(tab).groupBy("tab", "h").count()
+        run = {"at": at, "hot": None}
+        if (n.agg(F.max("count")).first()[0] or 0) > self.state["hot"]:
+            run["hot"] = f"{at}-hot"
+            n.where(F.col("count") > self.state["hot"]).select("tab", "h").write.mode("overwrite").parquet(run["hot"])
+        return run
+
+    def close(self) -> None:
+        """Takes the runs' tables from the session; the files stay."""
+        for t in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._tables = {}
+
+    # ------------------------------------------------------------ batches
     @property
-    def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def add(self, kept: DataFrame) -> DataFrame:
-        """(tab, key_a, key_b), key_a < key_b: pairs of records, one of them new, that share a window around a seed."""
-        # a record that repeats itself needs each seed once for each context
-        d = kept.repartition(self.buckets, "tab", "h").dropDuplicates(["tab", "h", "key", "left", "context"])
-        new = self.work.sorted_run(d, "run", ["tab", "h"], self.buckets)
-        found = self._match(new, new, True)
+    def runs(self) -> list[dict]:
+        return [r for level in self.state["levels"] for r in level]
+
+    def add(self, kept: DataFrame, batch: str) -> None:
+        """Keeps a batch of seeds and the matches of its records with each other and with all that is there."""
+        if batch in self.state["batches"]:
+            return
+        # a record that repeats itself needs each seed once for each context, with all its places (in a million characters)
+        d = kept.repartition(self.state["buckets"], "tab", "h").groupBy("tab", "h", "key", "left", "context", F.floor(F.col("at") / 1_000_000)).agg(F.collect_list("at").alias("ats"))
+        new = self._write_run(d.select("tab", "h", "key", "left", "context", "ats"))
+        found = self._match(new, new)
         for old in self.runs:
-            found = found.unionByName(self._match(old, new, False))
-        self.levels[0].append(new)
+            found = found.unionByName(self._match(old, new))
+        at = f"{self.path}/matches-{uuid.uuid4().hex[:12]}"
+        found.write.mode("overwrite").parquet(at)
+        self.state["levels"][0].append(new)
+        self.state["matches"].append(at)
+        self.state["batches"].append(batch)
         self._compact()
-        return found
-
-    def _match(self, old: DataFrame, new: DataFrame, same: bool) -> DataFrame:
-        a = old.select("tab", "h", *[F.col(c).alias(f"{c}_a") for c in ("key", "left", "context")])
-        b = new.select("tab", "h", *[F.col(c).alias(f"{c}_b") for c in ("key", "left", "context")])
-        j = a.hint("merge").join(b, ["tab", "h"])
-        j = j.where(F.col("key_a") < F.col("key_b") if same else F.col("key_a") != F.col("key_b"))
-
-        def equal(d: Column) -> Column:  # the window that begins d characters before the seed
-            wa, wb = (F.substring(F.col(f"context_{s}"), F.col(f"left_{s}") - d + 1, F.lit(WINDOW)) for s in "ab")
-            return (d <= F.col("left_a")) & (d <= F.col("left_b")) & (F.length(wa) == WINDOW) & (wa == wb)
-
-        j = j.where(F.exists(F.sequence(F.lit(0), F.lit(SIDE)), equal))
-        return j.select("tab", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+        self._commit()
+
+    def matches(self) -> DataFrame:
+        """(tab, key_a, key_b, before, after, ats_a, ats_b), key_a <> key_b: seeds that stand at ats_a and at ats_b, and how far
+        the records agree on either side of them."""
+        paths = self.state["matches"]
+        return self.spark.read.schema(_MATCH).parquet(*paths) if paths else self.spark.createDataFrame([], _MATCH)
+
+    def _match(self, old: dict, new: dict) -> DataFrame:
+        a, b = self._bucketed(old["at"]), self._bucketed(new["at"])
+        hot = [self.spark.read.parquet(r["hot"]) for r in (old, new) if r["hot"]]
+        if not hot:
+            return self._verified(a, b, ["tab", "h"], old is new)
+        some = hot[0].unionByName(hot[-1]).distinct()
+        cold = self._verified(a.join(some, ["tab", "h"], "left_anti"), b.join(some, ["tab", "h"], "left_anti"), ["tab", "h"], old is new)
+
+        def by_window(d: DataFrame) -> DataFrame:
+            # a window with the seed begins up to SIDE characters before it
+            inside = F.sequence(F.greatest(F.lit(0), F.lit(WINDOW) - F.length("context") + F.col("left")), F.col("left"))
+            w = F.explode(F.transform(inside, lambda x: F.xxhash64(F.substring("context", F.col("left") - x + 1, F.lit(WINDOW)), x)))
+            return d.join(some, ["tab", "h"], "left_semi").where(F.length("context") >= WINDOW).withColumn("w", w).repartition("tab", "h", "w")
+
+        return cold.unionByName(self._verified(by_window(a), by_window(b), ["tab", "h", "w"], old is new).distinct())
+
+    def _verified(self, a: DataFrame, b: DataFrame, on: list[str], same: bool) -> DataFrame:
+        cols = ("key", "left", "context", "ats")
+        a, b = (d.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in cols]) for d, x in ((a, "a"), (b, "b")))
+        j = a.hint("merge").join(b, on).where(F.col("key_a") < F.col("key_b") if same else F.col("key_a") != F.col("key_b"))
+        part = lambda x, at, n: F.substring(F.col(f"context_{x}"), F.col(f"left_{x}") + 1 + at, n)
+        j = j.where(part("a", F.lit(0), F.lit(SEED)) == part("b", F.lit(0), F.lit(SEED)))
+
+        def agree(most: Column, at) -> Column:  # the characters that are equal from the seed on, as a step that isn't breaks all later ones
+            return F.size(F.filter(F.sequence(F.lit(0), most), lambda k: part("a", at(k), k) == part("b", at(k), k))) - 1
+
+        before = agree(F.least("left_a", "left_b"), lambda k: -k)
+        after = agree(F.least(F.length("context_a") - F.col("left_a"), F.length("context_b") - F.col("left_b")) - SEED, lambda k: F.lit(SEED))
+        j = j.select("tab", "key_a", "key_b", before.alias("before"), after.alias("after"), "ats_a", "ats_b")
+        return j.where(F.col("before") + F.col("after") >= SIDE)
 
     def _compact(self) -> None:
-        k = 0
-        while k < len(self.levels):
-            if len(self.levels[k]) >= self.fanout:
-                merged = self.levels[k][0]
-                for r in self.levels[k][1:]:
-                    merged = merged.unionByName(r)
-                run = self.work.sorted_run(merged.repartition(self.buckets, "tab", "h"), "compacted", ["tab", "h"], self.buckets)
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k] = []
-                self.levels[k + 1].append(run)
+        k, levels = 0, self.state["levels"]
+        while k < len(levels):
+            if len(levels[k]) >= self.state["fanout"]:
+                merged = self._bucketed(levels[k][0]["at"])
+                for r in levels[k][1:]:
+                    merged = merged.unionByName(self._bucketed(r["at"]))
+                run = self._write_run(merged.repartition(self.state["buckets"], "tab", "h"))
+                if k + 1 == len(levels):
+                    levels.append([])
+                levels[k] = []
+                levels[k + 1].append(run)
             k += 1
 
 
 class SharedSpans:
-    """Records of one or more tables, indexed batch by batch."""
-
-    def __init__(self, chunks: DataFrame, work, buckets: int | None = None, fanout: int = FANOUT) -> None:
-        spark = work.spark
-        self.work = work
-        self.chunks = work.save(chunks, "chunks")
-        self.index = FingerprintIndex(work, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-        self.matches: DataFrame | None = None
-        for (b,) in sorted(tuple(r) for r in self.chunks.select("batch").distinct().collect()):  # as many as periods of delivery
-            found = work.save(self.index.add(seeds(self.chunks.where(F.col("batch") == b))), "matches")
-            self.matches = found if self.matches is None else self.matches.unionByName(found)
-
-    def pairs(self) -> DataFrame | None:
+    """Records of one or more tables, added to an index batch by batch."""
+
+    def __init__(self, chunks: DataFrame, work, index: FingerprintIndex) -> None:
+        self.index = index
+        chunks = work.save(chunks, "chunks")
+        for (b,) in sorted(tuple(r) for r in chunks.select("batch").distinct().collect()):  # as many as periods of delivery
+            index.add(seeds(chunks.where(F.col("batch") == b)), str(b))
+
+    def pairs(self) -> DataFrame:
         """(tab, key_a, key_b), key_a < key_b: records that share a span."""
-        return None if self.matches is None else self.matches.distinct()
-
-    def covered(self) -> DataFrame | None:
-        """(tab, key, covered): the characters of each record that stand in a window which another record has too."""
-        if self.matches is None:
-            return None
-        every = fingerprints(self.chunks)
-        g = every.groupBy("tab", "h", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-        hit = every.join(g.select("tab", "h", "h2"), ["tab", "h", "h2"], "left_semi").select("tab", "key", "chunk", "at")
-        within = Window.partitionBy("tab", "key", "chunk").orderBy("at")
-        gain = F.least(F.lit(WINDOW), F.coalesce(F.lead("at").over(within) - F.col("at"), F.lit(0)))  # the last one's comes below
-        parts = hit.withColumn("gain", gain).groupBy("tab", "key", "chunk").agg(F.sum("gain").alias("gain"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-        # one row for each chunk is left: its last window ends where the next chunk's first begins, at most
-        across = Window.partitionBy("tab", "key").orderBy("chunk")
-        last = F.least(F.lit(WINDOW), F.coalesce(F.lead("lo").over(across) - F.col("hi"), F.lit(WINDOW)))
-        return parts.withColumn("gain", F.col("gain") + last).groupBy("tab", "key").agg(F.sum("gain").alias("covered"))
+        m = self.index.matches()
+        return m.select("tab", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+
+    def covered(self) -> DataFrame:
+        """(tab, key, covered): the characters of each record that stand in a window which another record has too. All matches
+        of a place hold its seed, so the longest on either side are their union; then the places' stretches are merged."""
+        m = self.index.matches()
+        side = lambda x: m.select("tab", F.col(f"key_{x}").alias("key"), F.explode(f"ats_{x}").alias("at"), "before", "after")
+        d = side("a").unionByName(side("b")).groupBy("tab", "key", "at").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+        d = d.select("tab", "key", (F.col("at") - F.col("before")).alias("s"), (F.col("at") + SEED + F.col("after")).alias("e"))
+        # stretches are shorter than two windows: within parts of a record they are merged, and the parts' edges after that
+        d = d.withColumn("part", F.floor(F.col("s") / 65_536))
+        w = Window.partitionBy("tab", "key", "part").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+        gain = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(w), F.lit(0))))
+        parts = d.withColumn("gain", gain).groupBy("tab", "key", "part").agg(F.sum("gain").alias("gain"), F.min("s").alias("lo"), F.max("e").alias("hi"))
+        # what runs over into the next part is counted there; what the next part's first stretches hold of it is taken off
+        edge = d.select("tab", "key", (F.col("part") - 1).alias("part"), F.col("s").alias("s2"), F.col("e").alias("e2")).where("s2 < (part + 1) * 65536 + 80")
+        edge = edge.join(parts.where("hi > (part + 1) * 65536").select("tab", "key", "part", "hi"), ["tab", "key", "part"]).where("s2 < hi")
+        v = Window.partitionBy("tab", "key", "part").orderBy("s2", "e2").rowsBetween(Window.unboundedPreceding, -1)
+        twice = F.greatest(F.lit(0), F.least("e2", "hi") - F.greatest("s2", F.coalesce(F.max("e2").over(v), F.lit(0))))
+        over = edge.withColumn("twice", twice).groupBy("tab", "key", "part").agg(F.sum("twice").alias("twice"))
+        both = parts.join(over, ["tab", "key", "part"], "left")
+        return both.groupBy("tab", "key").agg(F.sum(F.col("gain") - F.coalesce("twice", F.lit(0))).alias("covered"))
 
 
 def classes(records: DataFrame) -> DataFrame:
