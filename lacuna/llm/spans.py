@@ -115,9 +115,12 @@ def _hashes(codes, size: int):
         return h ^ (h >> np.uint64(32))
 
 
+_RUN = "tab string, h long, key string, left int, context string, ats array<bigint>"
+
+
 def seeds(chunks: DataFrame) -> DataFrame:
-    """(tab, h, key, at, left, context): the kept seeds, their places in the record, each with up to SIDE characters on either
-    side, `left` of them before."""
+    """(tab, h, key, left, context, ats): the kept seeds, each with up to SIDE characters on either side, `left` of them before,
+    and its places in the record. Places with the same context that are in chunks read together are one row."""
 
     def run(batches):
         import numpy as np
@@ -147,11 +150,24 @@ def seeds(chunks: DataFrame) -> DataFrame:
             p, o = np.concatenate(kept), np.concatenate(owner)
             lo, hi = np.maximum(at[o], p - SIDE), np.minimum((at + size)[o], p + SEED + SIDE)
             context = [text[i:j] for i, j in zip(lo.tolist(), hi.tolist())]
+            place, before, hp = (base - left - at)[o] + p, (p - lo).astype(np.int32), h[p].astype(np.int64)
+            ends = np.arange(1, len(p) + 1)
+            who = b.column("key").dictionary_encode().indices.to_numpy(zero_copy_only=False)[o]
+            order = np.lexsort((hp, who))
+            again = (who[order][1:] == who[order][:-1]) & (hp[order][1:] == hp[order][:-1])
+            if again.any():  # a record that repeats itself
+                first: dict = {}
+                many = set(order[1:][again].tolist()) | set(order[:-1][again].tolist())
+                lists = [[] for _ in range(len(p))]
+                for i in range(len(p)):
+                    k = first.setdefault((who[i], hp[i], before[i], context[i]), i) if i in many else i
+                    lists[k].append(place[i])
+                keep = np.array([i for i, x in enumerate(lists) if x])
+                ends, place = np.cumsum([len(lists[i]) for i in keep]), np.array([v for x in lists for v in x], dtype=np.int64)
+                o, hp, before, context = o[keep], hp[keep], before[keep], [context[i] for i in keep]
             take = pa.array(o)
-            return pa.RecordBatch.from_arrays(
-                [b.column("tab").take(take), pa.array(h[p].astype(np.int64)), b.column("key").take(take), pa.array((base - left - at)[o] + p), pa.array((p - lo).astype(np.int32)), pa.array(context, pa.string())],
-                names=["tab", "h", "key", "at", "left", "context"],
-            )
+            ats = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(place))
+            return pa.RecordBatch.from_arrays([b.column("tab").take(take), pa.array(hp), b.column("key").take(take), pa.array(before), pa.array(context, pa.string()), ats], names=["tab", "h", "key", "left", "context", "ats"])
 
         for b in batches:
             for x in range(0, b.num_rows, 2000):
@@ -160,10 +176,9 @@ def seeds(chunks: DataFrame) -> DataFrame:
                     yield got
 
     d = chunks.where("starts > 0").select("tab", "key", "base", "body", "left", "starts")
-    return d.mapInArrow(run, "tab string, h long, key string, at long, left int, context string")
+    return d.mapInArrow(run, _RUN)
 
 
-_RUN = "tab string, h long, key string, left int, context string, ats array<bigint>"
 _MATCH = "tab string, key_a string, key_b string, before int, after int, ats_a array<bigint>, ats_b array<bigint>"
 
 
@@ -239,9 +254,7 @@ class FingerprintIndex:
         """Keeps a batch of seeds and the matches of its records with each other and with all that is there."""
         if batch in self.state["batches"]:
             return
-        # a record that repeats itself needs each seed once for each context, with all its places (in a million characters)
-        d = kept.repartition(self.state["buckets"], "tab", "h").groupBy("tab", "h", "key", "left", "context", F.floor(F.col("at") / 1_000_000)).agg(F.collect_list("at").alias("ats"))
-        new = self._write_run(d.select("tab", "h", "key", "left", "context", "ats"))
+        new = self._write_run(kept.repartition(self.state["buckets"], "tab", "h"))
         found = self._match(new, new)
         for old in self.runs:
             found = found.unionByName(self._match(old, new))
@@ -271,7 +284,10 @@ class FingerprintIndex:
             # a window with the seed begins up to SIDE characters before it
             inside = F.sequence(F.greatest(F.lit(0), F.lit(WINDOW) - F.length("context") + F.col("left")), F.col("left"))
             w = F.explode(F.transform(inside, lambda x: F.xxhash64(F.substring("context", F.col("left") - x + 1, F.lit(WINDOW)), x)))
-            return d.join(some, ["tab", "h"], "left_semi").where(F.length("context") >= WINDOW).withColumn("w", w).repartition("tab", "h", "w")
+            d = d.join(some, ["tab", "h"], "left_semi").where(F.length("context") >= WINDOW).withColumn("w", w)
+            # a record that repeats itself needs each window once, with its places (in a million characters)
+            part = F.floor(F.get("ats", F.lit(0)) / 1_000_000)
+            return d.groupBy("tab", "h", "w", "key", "left", "context", part).agg(F.flatten(F.collect_list("ats")).alias("ats")).repartition("tab", "h", "w")
 
         return cold.unionByName(self._verified(by_window(a), by_window(b), ["tab", "h", "w"], old is new).distinct())
 
@@ -280,7 +296,10 @@ class FingerprintIndex:
         a, b = (d.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in cols]) for d, x in ((a, "a"), (b, "b")))
         j = a.hint("merge").join(b, on).where(F.col("key_a") < F.col("key_b") if same else F.col("key_a") != F.col("key_b"))
         part = lambda x, at, n: F.substring(F.col(f"context_{x}"), F.col(f"left_{x}") + 1 + at, n)
-        j = j.where(part("a", F.lit(0), F.lit(SEED)) == part("b", F.lit(0), F.lit(SEED)))
+        # one side or the other agrees over half its length at least, or there is no window; only then is each character compared
+        near = SIDE // 2
+        half = lambda at: (F.length(part("a", at, F.lit(SEED + near))) == SEED + near) & (part("a", at, F.lit(SEED + near)) == part("b", at, F.lit(SEED + near)))
+        j = j.where(((F.least("left_a", "left_b") >= near) & half(F.lit(-near))) | half(F.lit(0)))
 
         def agree(most: Column, at) -> Column:  # the characters that are equal from the seed on, as a step that isn't breaks all later ones
             return F.size(F.filter(F.sequence(F.lit(0), most), lambda k: part("a", at(k), k) == part("b", at(k), k))) - 1
