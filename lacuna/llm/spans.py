@@ -274,6 +274,12 @@ class FingerprintIndex:
 
     def _match(self, old: dict, new: dict) -> DataFrame:
         a, b = self._bucketed(old["at"]), self._bucketed(new["at"])
+        # most seeds stand in one record only: each side is first cut down, by hashes alone, to the seeds that can match
+        if old is new:
+            again = a.groupBy("tab", "h").count().where("count > 1").select("tab", "h").hint("shuffle_hash")
+            a = b = a.join(again, ["tab", "h"], "left_semi").repartition(self.state["buckets"], "tab", "h")
+        else:
+            a, b = (x.join(y.select("tab", "h").distinct().hint("shuffle_hash"), ["tab", "h"], "left_semi") for x, y in ((a, b), (b, a)))
         hot = [self.spark.read.parquet(r["hot"]) for r in (old, new) if r["hot"]]
         if not hot:
             return self._verified(a, b, ["tab", "h"], old is new)
