@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,40 +74,57 @@ def fewest_edits(a: str, texts: list[str], cells: int = 1 << 15):
     return out
 
 
-def align_words(scroll: list, base: list, gap: float = 1.0, skip: float = 0.6, unknown: float = 0.3) -> list[tuple[int | None, int | None]]:
-    """Global alignment of words: (i, j) pairs, None for a gap. A null word is unreadable and fits any base word cheaply. Of
-    equal costs a pair is taken before a word of the scroll alone, and that before a base word alone."""
+#: Costs of a word alignment in millionths: a scroll word alone, a base word alone, an unreadable word with any, and the most
+#: that two different words cost together. Whole numbers, so that equal costs are equal.
+WORD_GAP, WORD_SKIP, WORD_UNKNOWN, WORD_MOST = 1_000_000, 600_000, 300_000, 1_200_000
+_FOLD = str.maketrans("ךםןףץ", "כמנפצ")
+_BARE = str.maketrans("ךםןףץ", "כמנפצ", "ויא")
+
+
+@lru_cache(maxsize=1 << 16)
+def word_cost(scroll: str, base: str) -> int:
+    """0 for words that differ by spelling letters only, else by edits per letter of the longer one."""
+    if scroll.translate(_BARE) == base.translate(_BARE):
+        return 0
+    return min(WORD_MOST, round(1_600_000 * edits(scroll.translate(_FOLD), base.translate(_FOLD)) / max(len(scroll), len(base), 1)))
+
+
+def align_words(verses: Sequence[tuple[Sequence[str | None], Sequence[str]]]) -> list[list[tuple[int | None, int | None]]]:
+    """Global alignments of many verses at once: for each (i, j) pairs of a scroll word and a base word, None for a gap. A null
+    scroll word is unreadable. Of equal costs a pair comes before a scroll word alone, and that before a base word alone.
+
+    A step takes one scroll word of all verses: its costs as a pair or alone are vectors over the base words, and base words
+    left alone after it are a running minimum of the costs less their price. The path is read off the costs."""
     import numpy as np
 
-    n, m = len(scroll), len(base)
-    fold = str.maketrans("ךםןףץ", "כמנפצ", "")
-    plain = lambda w: w.translate(fold)
-    bare = lambda w: "".join(c for c in plain(w) if c not in "ויא")
-    fb, ob = [plain(w) for w in base], [bare(w) for w in base]
-    cost = np.zeros((n + 1, m + 1))
-    took = np.zeros((n + 1, m + 1), dtype=np.int8)
-    cost[:, 0], cost[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * skip
-    took[1:, 0], took[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        w = scroll[i - 1]
-        fw, ow = (None, None) if w is None else (plain(w), bare(w))
-        for j in range(1, m + 1):
-            if w is None:
-                s = unknown
-            elif ow == ob[j - 1]:
-                s = 0.0
+    rows, cols = max((len(s) for s, _ in verses), default=0), max((len(b) for _, b in verses), default=0)
+    pair = np.full((len(verses), rows, cols), WORD_MOST, dtype=np.int64)
+    for v, (s, b) in enumerate(verses):
+        for i, w in enumerate(s):
+            pair[v, i, : len(b)] = [WORD_UNKNOWN if w is None else word_cost(w, x) for x in b]
+    alone = np.arange(cols + 1, dtype=np.int64) * WORD_SKIP
+    cost = np.empty((len(verses), rows + 1, cols + 1), dtype=np.int64)
+    cost[:, 0] = alone
+    for i in range(rows):
+        best = cost[:, i] + WORD_GAP
+        np.minimum(best[:, 1:], cost[:, i, :-1] + pair[:, i], out=best[:, 1:])
+        cost[:, i + 1] = np.minimum.accumulate(best - alone, axis=1) + alone
+    out = []
+    for v, (s, b) in enumerate(verses):
+        at, i, j = [], len(s), len(b)
+        while i or j:
+            here = cost[v, i, j]
+            if i and j and here == cost[v, i - 1, j - 1] + pair[v, i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                at.append((i, j))
+            elif i and here == cost[v, i - 1, j] + WORD_GAP:
+                i -= 1
+                at.append((i, None))
             else:
-                s = min(1.2, 1.6 * edits(fw, fb[j - 1]) / max(len(w), len(base[j - 1]), 1))
-            options = (cost[i - 1, j - 1] + s, cost[i - 1, j] + gap, cost[i, j - 1] + skip)
-            k = min(range(3), key=options.__getitem__)
-            cost[i, j], took[i, j] = options[k], k
-    out: list[tuple[int | None, int | None]] = []
-    i, j = n, m
-    while i or j:
-        k = took[i, j]
-        i, j = i - (k != 2), j - (k != 1)
-        out.append((None if k == 2 else i, None if k == 1 else j))
-    return out[::-1]
+                j -= 1
+                at.append((None, j))
+        out.append(at[::-1])
+    return out
 
 
 def edits(a: str, b: str) -> int:
@@ -118,203 +136,147 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def align_bands(bands: Sequence[dict], lines: Sequence[dict], pitch: float, width: float, skip_band: float = 1.0, skip_line: float = 1.2) -> list[tuple[int, int, float]]:
-    """(band, line, misfit): bands of a picture against lines of a text, in order. A pair costs how far the band's width is
-    from the text's, and how far its distance to the last matched band is from the difference of their line numbers. One best
-    state is kept for each pair of places, the first of equals, as the distance cost looks back to it."""
-    import math
-
-    m, n = len(bands), len(lines)
-
-    def misfit(i: int, j: int) -> float:
-        want = width * pitch * max(len(lines[j]["label"]), 1)
-        return abs(math.log(max(bands[i]["x1"] - bands[i]["x0"], 1) / want))
-
-    def spacing(i: int, j: int, last) -> float:
-        if last is None or lines[j]["num"] is None or lines[last[1]]["num"] is None:
-            return 0.0
-        return 1.5 * abs((bands[i]["y"] - bands[last[0]]["y"]) / pitch - (lines[j]["num"] - lines[last[1]]["num"]))
-
-    state: list[list] = [[None] * (n + 1) for _ in range(m + 1)]
-    state[0][0] = (0.0, None, None)  # cost, last pair, state before
-
-    def offer(i: int, j: int, cost: float, last, before) -> None:
-        if state[i][j] is None or cost < state[i][j][0]:
-            state[i][j] = (cost, last, before)
-
-    for i in range(m + 1):
-        for j in range(n + 1):
-            here = state[i][j]
-            if here is None:
-                continue
-            cost, last, _ = here
-            if i < m and j < n:
-                offer(i + 1, j + 1, cost + misfit(i, j) + spacing(i, j, last), (i, j), here)
-            if i < m:
-                offer(i + 1, j, cost + (0.4 if bands[i]["strength"] < 0.35 else skip_band), last, here)
-            if j < n:
-                offer(i, j + 1, cost + (0.3 if lines[j]["letters"] <= 2 else skip_line), last, here)
-    out: list[tuple[int, int, float]] = []
-    here = state[m][n]
-    while here is not None:
-        before = here[2]
-        if before is not None and here[1] != before[1]:
-            i, j = here[1]
-            out.append((i, j, misfit(i, j)))
-        here = before
-    return out[::-1]
-
-
-def ctc_align(logp, target: Sequence[int]) -> list[list[int]] | None:
-    """Frames of each target symbol on the best path (0 is the blank); None if no path is long enough."""
-    import numpy as np
+def align_bands(pictures: Sequence[dict], width: float) -> list[list[tuple[int, int, float]]]:
+    """(band, line, misfit) of many pictures at once, each with `bands` (y, x0, x1, strength), `lines` (label, letters, num) and
+    `pitch`. A pair costs how far the band's width is from the text's, and how far its distance to the last matched band is from
+    the difference of their line numbers; a band or a line may be left out at a price. One best state is kept for each pair of
+    places, of equal ones a pair before a band left out before a line left out, as the distance cost looks back to it.
 
-    logp = np.asarray(logp, dtype=float)
-    steps, states = logp.shape[0], 2 * len(target) + 1
-    symbol = np.zeros(states, dtype=int)
-    symbol[1::2] = target
-    # a blank may be skipped between different symbols
-    jump = np.zeros(states, dtype=bool)
-    jump[3::2] = symbol[3::2] != symbol[1:-2:2]
-    never = -1e9
-    score = np.full(states, never)
-    score[:2] = logp[0, symbol[:2]]
-    came = np.zeros((steps, states), dtype=np.int8)
-    for t in range(1, steps):
-        one = np.concatenate(([never], score[:-1]))
-        two = np.concatenate(([never, never], score[:-2]))[:states]
-        options = np.stack([score, one, np.where(jump, two, never)])
-        came[t] = options.argmax(axis=0)
-        score = options.max(axis=0) + logp[t, symbol]
-    s = states - 1
-    if states > 1 and score[-1] < score[-2]:
-        s -= 1
-    if score[s] <= never / 2:
-        return None
-    frames: list[list[int]] = [[] for _ in target]
-    for t in range(steps - 1, -1, -1):
-        if s % 2:
-            frames[s // 2].append(t)
-        s -= int(came[t, s])
-    return [f[::-1] for f in frames]
-
-
-def gapped_scores(table, codes, gap: float = 4.0):
-    """Best local score of a reading at each start in a text, with single steps left out on either side at a price. table is
-    (positions x symbols); codes are the text's symbols."""
+    All states whose places have the same sum are one step, for all pictures: they follow from the two steps before."""
     import numpy as np
 
-    never = -1e9
-    text = np.asarray(codes, dtype=np.int64)[::-1]
-
-    def later(a, k: int):
-        return np.concatenate((np.full(min(k, len(a)), never), a[: max(0, len(a) - k)]))
-
-    best = one = two = np.full(len(text), never)
-    for row in np.asarray(table, dtype=float)[::-1]:
-        start = np.maximum.reduce([np.zeros(len(text)), later(one, 1), later(one, 2) - gap, later(two, 1) - gap])
-        now = row[text] + start
-        best = np.maximum(best, now)
-        one, two = now, one
-    return best[::-1]
+    count = len(pictures)
+    m, n = max((len(p["bands"]) for p in pictures), default=0), max((len(p["lines"]) for p in pictures), default=0)
+    y, num = np.zeros((count, m + 1)), np.full((count, n + 1), np.nan)
+    misfit, no_band, no_line = np.zeros((count, m + 1, n + 1)), np.ones((count, m + 1)), np.full((count, n + 1), 1.2)
+    pitch = np.array([float(p["pitch"]) for p in pictures])
+    for k, p in enumerate(pictures):
+        bands, lines = p["bands"], p["lines"]
+        y[k, : len(bands)] = [b["y"] for b in bands]
+        no_band[k, : len(bands)] = [0.4 if b["strength"] < 0.35 else 1.0 for b in bands]
+        num[k, : len(lines)] = [np.nan if x["num"] is None else x["num"] for x in lines]
+        no_line[k, : len(lines)] = [0.3 if x["letters"] <= 2 else 1.2 for x in lines]
+        wide = np.array([max(b["x1"] - b["x0"], 1) for b in bands], dtype=float)
+        want = np.array([max(len(x["label"]), 1) for x in lines], dtype=float) * width * pitch[k]
+        misfit[k, : len(bands), : len(lines)] = np.abs(np.log(wide[:, None] / want[None, :]))
+    cost = np.full((count, m + 1, n + 1), np.inf)
+    cost[:, 0, 0] = 0.0
+    band_of, line_of = np.full((count, m + 1, n + 1), -1), np.full((count, m + 1, n + 1), -1)
+    step = np.zeros((count, m + 1, n + 1), dtype=np.int8)
+    every = np.arange(count)[:, None]
+    for total in range(1, m + n + 1):
+        i = np.arange(max(0, total - n), min(m, total) + 1)
+        j = total - i
+        a, b = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        last_band, last_line = band_of[:, a, b], line_of[:, a, b]
+        apart = (y[every, a] - y[every, last_band]) / pitch[:, None] - (num[every, b] - num[every, last_line])
+        far = np.where((last_band >= 0) & ~np.isnan(apart), 1.5 * np.abs(apart), 0.0)
+        offers = np.stack([
+            np.where((i > 0) & (j > 0), cost[:, a, b] + (misfit[:, a, b] + far), np.inf),
+            np.where(i > 0, cost[:, a, j] + no_band[every, a], np.inf),
+            np.where(j > 0, cost[:, i, b] + no_line[every, b], np.inf),
+        ])
+        took = offers.argmin(axis=0)
+        cost[:, i, j], step[:, i, j] = offers.min(axis=0), took
+        band_of[:, i, j] = np.where(took == 0, a, np.where(took == 1, band_of[:, a, j], band_of[:, i, b]))
+        line_of[:, i, j] = np.where(took == 0, b, np.where(took == 1, line_of[:, a, j], line_of[:, i, b]))
+    out = []
+    for k, p in enumerate(pictures):
+        i, j, found = len(p["bands"]), len(p["lines"]), []
+        while i or j:
+            took = step[k, i, j]
+            i, j = i - (took != 2), j - (took != 1)
+            if took == 0:
+                found.append((i, j, float(misfit[k, i, j])))
+        out.append(found[::-1])
+    return out
 
 
-def ungapped_scores(table, codes):
-    """(scores, stretch) of a reading on a text: the sum of symbol scores at every place at which all of it lies in the text,
-    and the best stretch of consecutive positions on any diagonal, also on those that leave the text."""
-    import numpy as np
+def forced_frames(logps: Sequence, targets: Sequence[Sequence[int]]) -> list[list[list[int]] | None]:
+    """Frames of each target symbol on the best path of each line (0 is the blank), for many lines at once; None if no path is
+    long enough. Of equal paths the one that stays, then the one that comes from a blank.
 
-    t, c = np.asarray(table, dtype=float), np.asarray(codes, dtype=np.int64)
-    n, m = len(t), len(c)
-    cells = t[:, c]
-    # diagonals o = pos - i from -(n - 1) to m - 1, one row of cells at a time
-    run, best = np.zeros(n + m - 1), np.full(n + m - 1, -np.inf)
-    total = np.zeros(max(0, m - n + 1))
-    for i in range(n):
-        here = slice(n - 1 - i, n - 1 - i + m)
-        run[here] = np.maximum(run[here], 0.0) + cells[i]
-        best[here] = np.maximum(best[here], run[here])
-        if len(total):
-            total += cells[i, i : i + len(total)]
-    return total, float(best.max())
-
-
-def joined_codes(texts, symbols: int, pad: int):
-    """(codes, starts, lengths): texts one after another, with two barriers (the code `symbols`) after each and `pad` more at
-    the end. Two, as a gapped alignment can step over one."""
+    Two vectors for each line: the best score so far of paths that rest on a blank after k symbols, and of those that are in
+    symbol k. A frame takes both of all lines one step on."""
     import numpy as np
 
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths + 2)[:-1]))
-    codes = np.full(int((lengths + 2).sum()) + pad, symbols, dtype=np.int64)
-    for at, t in zip(starts, texts):
-        codes[at : at + len(t)] = t
-    return codes, starts, lengths
+    count, most = len(targets), max((len(t) for t in targets), default=0)
+    never = -1e18
+    frames = [len(x) for x in logps]
+    wide = max((np.asarray(x).shape[1] for x in logps if len(x)), default=1)
+    wide = max([wide, 1, *(max(t) + 1 for t in targets if len(t))])
+    logps = [_padded(x, wide) for x in logps]
+    sym = np.zeros((count, most + 1), dtype=np.int64)
+    for k, t in enumerate(targets):
+        sym[k, 1 : len(t) + 1] = t
+    differs = np.zeros((count, most + 1), dtype=bool)
+    differs[:, 2:] = sym[:, 2:] != sym[:, 1:-1]
+    rest, inside = np.full((count, most + 1), never), np.full((count, most + 1), never)
+    from_symbol, entered = [], []  # of each frame: whether the blank comes from its symbol; 0 stays, 1 from the blank, 2 from the symbol before
+    ends = {}
+    for t in range(max(frames, default=0)):
+        live = np.array([t < f for f in frames])
+        now = np.stack([x[min(t, len(x) - 1)] for x in logps])
+        blank, letter = now[:, :1], np.take_along_axis(now, sym, axis=1)
+        if t == 0:
+            new_rest, new_inside = np.full_like(rest, never), np.full_like(inside, never)
+            new_rest[:, 0] = blank[:, 0]
+            new_inside[:, 1:2] = letter[:, 1:2]
+            from_symbol.append(None)
+            entered.append(None)
+        else:
+            over = inside > rest
+            new_rest = np.where(over, inside, rest) + blank
+            before_rest, before_in = np.roll(rest, 1, axis=1), np.where(differs, np.roll(inside, 1, axis=1), never)
+            before_rest[:, 0] = never
+            choice = np.stack([inside, before_rest, before_in])
+            how = choice.argmax(axis=0)
+            new_inside = choice.max(axis=0) + letter
+            new_inside[:, 0] = never
+            from_symbol.append(over)
+            entered.append(how)
+        rest, inside = np.where(live[:, None], new_rest, rest), np.where(live[:, None], new_inside, inside)
+        for k in np.flatnonzero(live):
+            if t + 1 == frames[k]:
+                n = len(targets[k])
+                ends[k] = (rest[k, n], inside[k, n])
+    out: list[list[list[int]] | None] = []
+    for k, target in enumerate(targets):
+        n = len(target)
+        if k not in ends or max(ends[k]) <= never / 2:
+            out.append(None)
+            continue
+        found: list[list[int]] = [[] for _ in target]
+        on_symbol = n > 0 and ends[k][0] < ends[k][1]
+        for t in range(frames[k] - 1, -1, -1):
+            if on_symbol:
+                found[n - 1].append(t)
+                if t:
+                    how = entered[t][k, n]
+                    n -= how > 0
+                    on_symbol = how != 1
+            elif t:
+                on_symbol = bool(from_symbol[t][k, n])
+        out.append([f[::-1] for f in found])
+    return out
 
 
-def placed_scores(table, codes, size: int, kind: str, gap: float = 4.0, triples=None):
-    """A reading's score at each of the first `size` places of codes from `joined_codes`, far below zero where it can't stand.
-    kind: 'whole', the sum over all of it from there on; 'stretch', the best stretch of a diagonal that ends there; 'gapped',
-    the best local score that begins there. triples: codes, three in a number, for 'whole'."""
+def _padded(x, wide: int):
+    """Frames with `wide` columns; symbols that a line's frames don't have can't be read. One frame at least."""
     import numpy as np
 
-    t = np.column_stack([np.asarray(table, dtype=float), np.full(len(table), -1e9)])
-    k, n = t.shape[1], len(t)
-    out = np.zeros(size) if kind == "whole" else np.full(size, -np.inf)
-    if kind == "whole":
-        t = np.concatenate([t, np.zeros((-n % 3, k))])
-        three = [((a[:, None, None] + b[:, None]) + c).ravel() for a, b, c in zip(t[::3], t[1::3], t[2::3])]
-        step = 1 << 16
-        got = np.empty(step)
-        for a in range(0, size, step):
-            here = out[a : a + step]
-            for i, x in enumerate(three):
-                np.take(x, triples[a + 3 * i : a + 3 * i + len(here)], out=got[: len(here)], mode="clip")
-                here += got[: len(here)]
-        return out
-    one, two = np.full(size, -1e9), np.full(size, -1e9)
-    free = np.empty(size)
-    for row in t if kind == "stretch" else t[::-1]:
-        free[:] = 0.0
-        if kind == "stretch":
-            np.maximum(one[:-1], 0.0, out=free[1:])
-        else:
-            np.maximum(free[:-1], one[1:], out=free[:-1])
-            np.maximum(free[:-2], one[2:] - gap, out=free[:-2])
-            np.maximum(free[:-1], two[1:] - gap, out=free[:-1])
-        free += np.take(row, codes[:size], mode="clip")
-        np.maximum(out, free, out=out)
-        one, two, free = free, one, two
-    return out
+    x = np.asarray(x, dtype=float) if len(x) else np.zeros((1, wide))
+    return np.concatenate([x, np.full((len(x), wide - x.shape[1]), -1e18)], axis=1)
 
 
-def best_texts(tables, texts, kind: str, top: int, gap: float = 4.0):
-    """For each reading [(text, off, score)]: the `top` texts in which it scores best, to four decimals; of equal texts and
-    places the first. Every reading is scored at every place of every text."""
+def greedy_symbols(logp) -> list[int]:
+    """The likeliest symbol of each frame, repeats as one, blanks (0) dropped."""
     import numpy as np
 
-    if not len(tables) or not len(texts):
-        return [[] for _ in tables]
-    symbols = len(tables[0][0])
-    pad = max(len(t) for t in tables) + 3
-    codes, starts, lengths = joined_codes(texts, symbols, pad)
-    size, b = len(codes) - pad, symbols + 1
-    triples = (codes[:-2] * b + codes[1:-1]) * b + codes[2:] if kind == "whole" else None
-    # the slower kernels keep several rows of scores: pieces of whole texts that fit the cache
-    cuts = [0] if kind == "whole" else np.searchsorted(starts, np.arange(0, size, 1 << 14)).tolist()
-    cuts = sorted({c for c in cuts if c < len(starts)}) + [len(starts)]
-    ends = np.append(starts, size)
-    out = []
-    for table in tables:
-        parts = [placed_scores(table, codes[ends[i] :], int(ends[j] - ends[i]), kind, gap, triples) for i, j in zip(cuts, cuts[1:])]
-        s = parts[0] if len(parts) == 1 else np.concatenate(parts)
-        most = np.round(np.maximum.reduceat(s, starts), 4)
-        good = np.flatnonzero(most > -1e8)
-        if len(good) > top:
-            good = good[most[good] >= np.partition(most[good], -top)[-top]]
-        good = good[np.lexsort((good, -most[good]))][:top]
-        out.append([(int(x), int(np.round(s[starts[x] : starts[x] + lengths[x]], 4).argmax()), float(most[x])) for x in good])
-    return out
+    best = np.asarray(logp, dtype=float).argmax(axis=1) if len(logp) else np.zeros(0, dtype=int)
+    new = np.ones(len(best), dtype=bool)
+    new[1:] = best[1:] != best[:-1]
+    return [int(x) for x in best[new] if x]
 
 
 # ---------------------------------------------------------------- on DataFrames
@@ -334,126 +296,58 @@ def best_substring(pairs: DataFrame, a: str, b: str, keep: Sequence[str]) -> Dat
     return fan_out(pairs.select(*keep, F.col(a).alias("_a"), F.col(b).alias("_b"))).mapInArrow(run, schema)
 
 
-def aligned_words(groups: DataFrame, keep: Sequence[str], scroll: str, base: str) -> DataFrame:
-    """(keep..., i, j): `align_words` of two arrays of words in each row (a verse, so of bounded length)."""
-    schema = T.StructType([*[groups.schema[k] for k in keep], *T._parse_datatype_string("i int, j int").fields])
+#: Rows whose kernels run together.
+TOGETHER = 256
 
-    def run(frames):
-        import pandas as pd
 
-        for d in frames:
-            rows = []
-            for r in d.itertuples(index=False):
-                s, b = r[len(keep)], r[len(keep) + 1]
-                if s is None or b is None:
-                    continue
-                rows += [(*r[: len(keep)], i, j) for i, j in align_words(list(s), list(b))]
-            out = pd.DataFrame(rows, columns=[*keep, "i", "j"])
-            yield out.astype({"i": "Int32", "j": "Int32"})
+def _in_batches(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], out: str, kernel) -> DataFrame:
+    """(keep..., out columns): kernel(rows of inputs as dicts) gives a list of tuples for each row; rows with a null input have
+    none."""
+    schema = T.StructType([*[df.schema[k] for k in keep], *T._parse_datatype_string(out).fields])
+    kinds = to_arrow_schema(schema)
 
-    return groups.select(*keep, scroll, base).mapInPandas(run, schema)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for x in range(0, batch.num_rows, TOGETHER):
+                rows = [r for r in batch.slice(x, TOGETHER).to_pylist() if all(r[c] is not None for c in inputs)]
+                got = [(*(r[k] for k in keep), *one) for r, many in zip(rows, kernel(rows)) for one in many]
+                cols = list(zip(*got)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)  # by place, as names may clash
+
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
+
+
+def aligned_words(groups: DataFrame, keep: Sequence[str], scroll: str, base: str) -> DataFrame:
+    """(keep..., i, j): `align_words` of two arrays of words in each row (a verse, so of bounded length). Null arrays give nothing."""
+    return _in_batches(groups, keep, [scroll, base], "i int, j int", lambda rows: align_words([(r[scroll], r[base]) for r in rows]))
 
 
 def aligned_bands(df: DataFrame, keep: Sequence[str], bands: str, lines: str, pitch: str, width: float) -> DataFrame:
-    """(keep..., band, line, misfit): `align_bands` of each row's array of bands and array of lines."""
-    schema = T.StructType([*[df.schema[k] for k in keep], *T._parse_datatype_string("band int, line int, misfit double").fields])
+    """(keep..., band, line, misfit): `align_bands` of each row's array of bands and array of lines; a pitch of 0 gives nothing."""
 
-    def run(batches):
-        import pyarrow as pa
+    def kernel(rows):
+        some = [r for r in rows if r[pitch]]
+        done = iter(align_bands([{"bands": r[bands], "lines": r[lines], "pitch": r[pitch]} for r in some], width))
+        return [[(i, j, round(c, 6)) for i, j, c in next(done)] if r[pitch] else [] for r in rows]
 
-        for t in batches:
-            rows = []
-            for r in t.to_pylist():
-                if r[bands] and r[lines] and r[pitch]:
-                    rows += [{**{k: r[k] for k in keep}, "band": i, "line": j, "misfit": round(c, 6)} for i, j, c in align_bands(r[bands], r[lines], r[pitch], width)]
-            arrow = pa.schema([*[t.schema.field(k) for k in keep], ("band", pa.int32()), ("line", pa.int32()), ("misfit", pa.float64())])
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return df.select(*keep, bands, lines, pitch).mapInArrow(run, schema)
-
-
-def gapped_search(readings: DataFrame, texts: DataFrame, pairs: DataFrame, query: str, doc: str, gap: float = 4.0) -> DataFrame:
-    """(query, doc, off, score): the best gapped local score of each candidate pair. readings(query, table: array of arrays over
-    symbols), texts(doc, codes: array of symbols), pairs(query, doc) from a prefilter."""
-    d = fan_out(pairs.join(readings, query).join(texts, doc).select(query, doc, "table", "codes"))
-    schema = T.StructType([d.schema[query], d.schema[doc], *T._parse_datatype_string("off int, score double").fields])
-
-    def run(frames):
-        import numpy as np
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for q, x, table, codes in f.itertuples(index=False):
-                if len(table) and len(codes):
-                    s = gapped_scores(np.vstack(list(table)), codes, gap)
-                    i = int(s.argmax())
-                    rows.append((q, x, i, round(float(s[i]), 6)))
-            yield pd.DataFrame(rows, columns=[query, doc, "off", "score"]).astype({"off": "int32", "score": "float64"})
-
-    return d.mapInPandas(run, schema)
-
-
-def ungapped_search(readings: DataFrame, texts: DataFrame, pairs: DataFrame, query: str, doc: str) -> DataFrame:
-    """(query, doc, off, score, stretch) of each candidate pair: the best place of the whole reading (null if the text is
-    shorter; of scores equal to four decimals the first), and the best stretch. Inputs as for `gapped_search`."""
-    d = fan_out(pairs.join(readings, query).join(texts, doc).select(query, doc, "table", "codes"))
-    schema = T.StructType([d.schema[query], d.schema[doc], *T._parse_datatype_string("off long, score double, stretch double").fields])
-
-    def run(frames):
-        import numpy as np
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for q, x, table, codes in f.itertuples(index=False):
-                if not len(table) or not len(codes):
-                    continue
-                s, stretch = ungapped_scores(np.vstack(list(table)), codes)
-                s = np.round(s, 4)
-                i = int(s.argmax()) if len(s) else None
-                rows.append((q, x, i, None if i is None else float(s[i]), round(stretch, 4)))
-            out = pd.DataFrame(rows, columns=[query, doc, "off", "score", "stretch"])
-            yield out.astype({"off": "Int64", "score": "Float64", "stretch": "float64"})
-
-    return d.mapInPandas(run, schema)
-
-
-def corpus_best(readings: DataFrame, texts: DataFrame, query: str, doc: str, kind: str, top: int, gap: float = 4.0, block: int = 1_000_000, group: int = 500) -> DataFrame:
-    """(query, doc, off, score, rank): the `top` texts for each reading among all texts, by `best_texts` of groups of readings
-    on blocks of about `block` symbols; nothing is left out beforehand. Equal readings are scored once. Inputs as for
-    `gapped_search`, texts not empty."""
-    spark = readings.sparkSession
-    work = WorkDir(spark, "search")
-    r = work.save(readings.where(F.size("table") > 0).groupBy("table").agg(F.min(query).alias("_k"), F.collect_list(query).alias("_qs")), "readings")
-    t = work.save(texts.where(F.size("codes") > 0).select(doc, F.col("codes").cast("array<tinyint>").alias("codes")), "texts")
-    blocks = -(-(t.agg(F.sum(F.size("codes"))).first()[0] or 1) // block)
-    groups = max(-(-r.count() // group), -(-4 * spark.sparkContext.defaultParallelism // blocks))
-    tg = t.groupBy(F.pmod(F.xxhash64(doc), F.lit(blocks)).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(doc, "codes"))).alias("_t"))
-    rg = r.groupBy(F.pmod(F.xxhash64("_k"), F.lit(groups)).alias("_g")).agg(F.collect_list(F.struct("_k", "table")).alias("_r"))
-    d = tg.crossJoin(rg).select("_t", "_r").repartition(blocks * groups)
-    schema = T.StructType([T.StructField("_k", readings.schema[query].dataType), texts.schema[doc], *T._parse_datatype_string("off long, score double").fields])
-
-    def arrays(lists):
-        """The parts of an Arrow array of lists as numpy arrays."""
-        at, values = lists.offsets.to_numpy(), lists.values
-        values = arrays(values) if hasattr(values, "offsets") else values.to_numpy()
-        return [values[a:b] for a, b in zip(at, at[1:])]
+    return _in_batches(df, keep, [bands, lines, pitch], "band int, line int, misfit double", kernel)
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for x in range(batch.num_rows):
-                t, r = (pa.concat_arrays([c[x].values]) for c in batch.columns)
-                docs, keys = t.field(0).to_pylist(), r.field(0).to_pylist()
-                hits = best_texts(arrays(r.field(1)), arrays(t.field(1)), kind, top, gap)
-                rows = [(k, docs[i], off, s) for k, h in zip(keys, hits) for i, off, s in h]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], schema=kinds)
+def forced(df: DataFrame, keep: Sequence[str], logp: str, target: str) -> DataFrame:
+    """(keep..., symbol, first, last): the frames of each target symbol, by its place in the target, by `forced_frames`; nothing where no path is long enough."""
 
-    names, kinds = schema.names, to_arrow_schema(schema)
-    hits = top_per_group(d.mapInArrow(run, schema), ["_k"], [F.desc("score"), F.col(doc)], top)
-    return hits.join(r.select("_k", F.explode("_qs").alias(query)), "_k").select(query, doc, "off", "score", "rank")
+    def kernel(rows):
+        done = forced_frames([r[logp] for r in rows], [r[target] for r in rows])
+        return [[(k, f[0], f[-1]) for k, f in enumerate(one or [])] for one in done]
+
+    return _in_batches(df, keep, [logp, target], "symbol int, first int, last int", kernel)
+
+
+def decoded(df: DataFrame, keep: Sequence[str], logp: str) -> DataFrame:
+    """(keep..., symbols): the greedy reading of each row's frames."""
+    return _in_batches(df, keep, [logp], "symbols array<int>", lambda rows: [[(greedy_symbols(r[logp]),)] for r in rows])
 
 
 def nearest_text(readings: DataFrame, texts: DataFrame, group: str, query: str, a: str, doc: str, b: str, block: int = 1000) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.hebrew import fold, signs
 from .sequences import windows_of
 from .skew import distributed_rank
 
-EPSILON, BARRIER_SCORE = 0.02, -20.0
+EPSILON = 0.02
 
 
 def symbols(lines: DataFrame, group: Sequence[str], order: str, text: Column, marks: Column, barrier: str = "|") -> DataFrame:
@@ -38,23 +38,45 @@ def contained(queries: DataFrame, corpus: DataFrame, run: str, doc: str, text: s
     return hit.where(F.substring("_t", F.col("pos") + 1, F.length(run)) == F.col(run)).drop("_g", "_t")
 
 
-def ordered_window(df: DataFrame, key: str, text: str, words: Sequence[str], lo: int, hi: int) -> DataFrame:
-    """(key, p0, p1, ...): every place of the first word from which each next word begins lo to hi characters after the one
-    before it; of several such places the first counts, without going back."""
+#: A letter of a pattern that may be any one.
+ANY = "[^ |]"
+
+
+def pattern_classes(pattern: str) -> list[str]:
+    """The letters of a pattern as classes: `?` is any letter, `[..]` one of those inside; the rest stands for itself."""
     import re
 
-    parts = F.split(F.col(text), re.escape(words[0]))
-    n = len(words[0])
-    d = df.where(F.col(text).contains(words[0])).select(key, F.col(text).alias("_t"), F.posexplode(F.transform(parts, lambda p: F.length(p))).alias("_k", "_len"))
-    w = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("p0", F.sum("_len").over(w) + F.col("_k") * n).where(F.col("p0") < F.length("_t")).select(key, "_t", F.col("p0").cast("long").alias("p0"))
-    d = d.where(F.substring("_t", (F.col("p0") + 1).cast("int"), F.lit(n)) == words[0])
-    for i, x in enumerate(words[1:], 1):
-        at = F.instr(F.substring("_t", (F.col(f"p{i - 1}") + lo + 1).cast("int"), F.lit(hi - lo + len(x))), x)
-        d = d.withColumn("_a", at).where("_a > 0").withColumn(f"p{i}", F.col(f"p{i - 1}") + lo + F.col("_a") - 1).drop("_a")
+    return [ANY if x == "?" else x if x.startswith("[") else re.escape(x) for x in re.findall(r"\[[^\]]+\]|.", pattern)]
+
+
+def ordered_window(df: DataFrame, key: str, text: str, patterns: Sequence[str], lo: int, hi: int) -> DataFrame:
+    """(key, p0, p1, ...): every place of the first pattern, overlapping ones too, from which each next pattern begins lo to hi
+    characters after the one before it; of several such places the first counts, without going back. Patterns have `?` and
+    `[..]` for letters that aren't sure."""
+    first = "".join(pattern_classes(patterns[0]))
+    size = len(pattern_classes(patterns[0]))
+    t = F.col(text)
+    d = df.where(t.rlike(first)).select(key, t.alias("_t"), F.explode(F.sequence(F.lit(0), F.floor(F.length(t) / 1024).cast("int"))).alias("_c"))
+    # places are looked for in pieces of a text, as substrings of long texts are slow
+    d = d.withColumn("_b", F.substring("_t", F.col("_c") * 1024 + 1, F.lit(1024 + size - 1))).where(F.col("_b").rlike(first))
+    at = F.filter(F.sequence(F.lit(0), F.length("_b") - size), lambda i: F.substring("_b", i + 1, F.lit(size)).rlike(f"^{first}$"))
+    d = d.where(F.length("_b") >= size).select(key, "_t", F.explode(at).alias("_i"), "_c").select(key, "_t", (F.col("_c") * 1024 + F.col("_i")).cast("long").alias("p0"))
+    for i, x in enumerate(patterns[1:], 1):
+        one = pattern_classes(x)
+        part = F.substring("_t", (F.col(f"p{i - 1}") + lo + 1).cast("int"), F.lit(hi - lo + len(one)))
+        d = d.withColumn("_a", F.regexp_instr(part, F.lit("".join(one)))).where("_a > 0").withColumn(f"p{i}", F.col(f"p{i - 1}") + lo + F.col("_a") - 1).drop("_a")
     return d.drop("_t")
 
 
+def log_expected(pattern: Column, shares: dict[str, float], letters: Column, least: float = 1e-6) -> Column:
+    """ln of how often a pattern is expected by chance among so many letters: each letter has its share, a class the sum of its
+    letters', and `?` is sure."""
+    part = lambda x: F.when(x == "?", F.lit(1.0)).otherwise(F.aggregate(F.filter(F.split(x, ""), lambda c: ~c.isin("", "[", "]")), F.lit(0.0), lambda s, c: s + F.coalesce(F.get(known, c), F.lit(least))))
+    known = F.create_map(*[F.lit(v) for kv in (shares or {"": 0.0}).items() for v in kv])
+    parts = F.regexp_extract_all(pattern, F.lit(r"(\[[^\]]+\]|.)"), 1)
+    return F.log(letters.cast("double")) + F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.log(F.least(F.lit(1.0), part(x))))
+
+
 def llr_table(reading: DataFrame, keys: Sequence[str], index: str, background: DataFrame, eps: float = EPSILON) -> DataFrame:
     """(keys, index, sym, s): ln((P + eps) / sum q (P + eps)) for every symbol of background(sym, q), given reading(keys,
     index, sym, p). Probabilities of a position are scaled to sum 1."""
@@ -71,7 +93,8 @@ def llr_table(reading: DataFrame, keys: Sequence[str], index: str, background: D
 
 
 def surprisal(df: DataFrame, key: str, text: Column, model: DataFrame, barrier: str = "|") -> DataFrame:
-    """(key, surprisal): mean of -ln p of the letters of a text under a letter model (ctx, letter, p)."""
+    """(key, surprisal): mean of -ln p of the letters of a text under a letter model (ctx, letter, p) of all contexts. A letter
+    that the model doesn't know isn't counted."""
     padded = F.concat(F.lit(barrier * 3), text)
     grams = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, F.lit(4)))
     g = df.where(F.length(text) > 0).select(key, F.explode(grams).alias("_g")).groupBy(key, "_g").agg(F.count("*").alias("_n"))
@@ -80,6 +103,26 @@ def surprisal(df: DataFrame, key: str, text: Column, model: DataFrame, barrier:
     return j.groupBy(key).agg((F.sum(-F.log("p") * F.col("_n")) / F.sum("_n")).alias("surprisal"))
 
 
+def chance_table(reading: DataFrame, keys: Sequence[str], index: str, alphabet: str, eps: float = EPSILON) -> DataFrame:
+    """(keys, index, sym, s): P + eps of each symbol, which a letter model is compared with place by place (see `corpus`)."""
+    k = [*keys, index]
+    r = reading.groupBy(*k, "sym").agg(F.sum("p").alias("p"))
+    r = r.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*k)))
+    full = r.select(*k).distinct().withColumn("sym", F.explode(F.split(F.lit(alphabet), ""))).where("sym <> ''").join(r, [*k, "sym"], "left")
+    return full.select(*k, "sym", (F.coalesce("p", F.lit(0.0)) + eps).alias("s"))
+
+
+def context_rows(model: DataFrame, alphabet: str, barrier: str = "|") -> list[list[float]]:
+    """The letter model of all contexts as rows by context code, as the corpus search takes it: 24**3 rows, most of them used."""
+    n = len(alphabet)
+    code = {c: i for i, c in enumerate(alphabet)} | {barrier: n}
+    out = [[1.0 / n] * n for _ in range((n + 2) ** 3)]
+    for r in model.select("ctx", "letter", "p").collect():  # 23**3 contexts of 22 letters
+        a, b, c = (code[x] for x in r["ctx"])
+        out[(a * (n + 2) + b) * (n + 2) + c][code[r["letter"]]] = r["p"]
+    return out
+
+
 def clear_best(df: DataFrame, group: Sequence[str], key: str, err: str, most: float, margin: float) -> DataFrame:
     """(group, key, err, second): the best row of each group if its error is at most `most` and the next best one's is at
     least `margin` more (1 if there is none)."""

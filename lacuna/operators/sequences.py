@@ -48,25 +48,6 @@ def common_runs(queries: DataFrame, targets: DataFrame, qkey: str, tkey: str, te
     return g.select(qkey, tkey, "q_start", (F.col("q_start") + F.col("_diag")).alias("t_start"), (F.col("_n") + size - 1).alias("length"))
 
 
-def diagonal_scores(positions: DataFrame, corpus: DataFrame, table: DataFrame, query: str, doc: str, length: str) -> DataFrame:
-    """(query, doc, off, score): the sum over a reading's positions i of table(query, i, symbol at off + i), for all offsets at
-    which the whole reading lies in the document. positions(query, i, length) gives the reading's places, table(query, i,
-    sym, s) the scores of symbols and corpus(doc, pos, sym) the text."""
-    j = table.join(corpus, "sym").select(query, doc, (F.col("pos") - F.col("i")).alias("off"), "s")
-    ends = corpus.groupBy(doc).agg(F.max("pos").alias("_end"))
-    n = positions.groupBy(query).agg(F.max(length).alias("_n"))
-    g = j.groupBy(query, doc, "off").agg(F.sum("s").alias("score"))
-    return g.join(n, query).join(ends, doc).where((F.col("off") >= 0) & (F.col("off") + F.col("_n") - 1 <= F.col("_end"))).drop("_n", "_end")
-
-
-def best_stretch(scores: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
-    """(group, best): the largest sum of consecutive values: prefix sums less their running minimum."""
-    w = Window.partitionBy(*group).orderBy(order)
-    d = scores.withColumn("_p", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_m", F.least(F.lit(0.0), F.coalesce(F.min("_p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    return d.groupBy(*group).agg(F.max(F.col("_p") - F.col("_m")).alias("best"))
-
-
 def chain_lines(scores: DataFrame, group: Sequence[str], line: str, pos: str, score: str, lines: int, lo: int = 15, hi: int = 140) -> DataFrame:
     """(group, pos, score): the score of a chain of lines that starts at each position. Each line starts lo to hi positions
     after the one before it and adds max(score, 0), so a line may be skipped; a line past the end adds 0. Lines are numbered
@@ -81,18 +62,29 @@ def chain_lines(scores: DataFrame, group: Sequence[str], line: str, pos: str, sc
 
 
 def suppressed(df: DataFrame, query: str, key: str, pos: str, score: str, apart: int = 50, top: int = 200, keep: int = 5) -> DataFrame:
-    """Of each query's best `top` rows, the best that are at least `apart` positions from every better one kept; at most
-    `keep`, with `rank`. Greedy, so a small fold over at most `top` rows of each query; it stays in the JVM."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), pos)
+    """Of each query's best `top` rows, the best that are at least `apart` positions from every better one kept of the same key;
+    at most `keep`, with `rank`. Of equal scores the lesser key and position come first. Greedy, so a small fold over at most
+    `top` rows of each query; it stays in the JVM."""
+    w = Window.partitionBy(query).orderBy(F.desc(score), key, pos)
     d = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     item = F.struct(F.col("_r"), F.col(pos).cast("long").alias("p"), F.col(score).cast("double").alias("s"), F.col(key).cast("string").alias("k"))
     g = d.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("a"))
     none = F.slice(F.col("a"), 1, 0)
-    fold = F.aggregate("a", none, lambda acc, x: F.when((F.size(acc) < keep) & ~F.exists(acc, lambda y: F.abs(y["p"] - x["p"]) < apart), F.array_append(acc, x)).otherwise(acc))
+    near = lambda x: lambda y: y["k"].eqNullSafe(x["k"]) & (F.abs(y["p"] - x["p"]) < apart)
+    fold = F.aggregate("a", none, lambda acc, x: F.when((F.size(acc) < keep) & ~F.exists(acc, near(x)), F.array_append(acc, x)).otherwise(acc))
     out = g.select(query, F.posexplode(fold).alias("_i", "x"))
     return out.select(query, (F.col("_i") + 1).alias("rank"), F.col("x.k").alias(key), F.col("x.p").alias(pos), F.col("x.s").alias(score))
 
 
+def spaced_peaks(peaks: DataFrame, group: Sequence[str], order: str, value: str, apart: float) -> DataFrame:
+    """Of peaks the highest ones that are at least `apart` from every higher one kept (ties: the first). A group's peaks are
+    folded in the order of their height; they are local maxima, so at most half of the group's rows."""
+    item = F.struct((-F.col(value)).alias("h"), F.col(order).alias("o"), F.col(value).alias("v"))
+    g = peaks.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    fold = F.aggregate("a", F.slice(F.col("a"), 1, 0), lambda acc, x: F.when(~F.exists(acc, lambda y: F.abs(y["o"] - x["o"]) < apart), F.array_append(acc, x)).otherwise(acc))
+    return g.select(*group, F.explode(fold).alias("x")).select(*group, F.col("x.o").alias(order), F.col("x.v").alias(value))
+
+
 def local_peaks(df: DataFrame, group: Sequence[str], order: str, value: str, share: float = 0.2) -> DataFrame:
     """Rows at least as large as the one before, larger than the next and above `share` of the group's maximum."""
     w = Window.partitionBy(*group).orderBy(order)
@@ -110,3 +102,12 @@ def autocorrelation(df: DataFrame, group: Sequence[str], order: str, value: str,
     s = a.join(b, [*g, "_to"]).groupBy(*g, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("s"))
     zero = s.where("lag = 0").select(*g, F.col("s").alias("_z"))
     return s.join(zero, g).select(*g, "lag", F.try_divide("s", "_z").alias("ac"))
+
+
+def first_period(ac: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, lag, ac): the highest correlation after the lag at which it first falls below 0 (ties: the least lag), given
+    ac(group, lag, ac). Groups whose correlation doesn't fall below 0 have none."""
+    g = list(group)
+    cross = ac.where("ac < 0").groupBy(*g).agg(F.min("lag").alias("_c"))
+    late = ac.join(cross, g).where(F.col("lag") > F.col("_c"))
+    return late.groupBy(*g).agg(F.max_by("lag", F.struct("ac", -F.col("lag"))).alias("lag"), F.max("ac").alias("ac"))

@@ -100,9 +100,9 @@ def letter_frequency(df: DataFrame, text: Column, group: Sequence[str] = ()) ->
 LM_WEIGHTS, LM_ALPHA = (0.05, 0.15, 0.3, 0.5), 0.1
 
 
-def letter_model(df: DataFrame, text: Column, alphabet: str, barrier: str = "|") -> DataFrame:
+def letter_model(df: DataFrame, text: Column, alphabet: str, barrier: str = "|", unseen: bool = False) -> DataFrame:
     """(ctx, letter, p): a letter model of order 3, each order smoothed by LM_ALPHA and mixed by LM_WEIGHTS, for the contexts
-    seen. `text` has a barrier wherever something is missing; a context reaches over it, a target can't be it.
+    seen, or with `unseen` for all contexts of letters and barriers. `text` has a barrier wherever something is missing; a context reaches over it, a target can't be it.
 
     Every text begins with three barriers. Grams are counted within tasks; the counts are bounded by the alphabet."""
     v = len(alphabet)
@@ -120,11 +120,17 @@ def letter_model(df: DataFrame, text: Column, alphabet: str, barrier: str = "|")
         full = t.select("c", "t", letters).join(n, ["c", "letter"], "left")
         return full.select(F.col("c").alias(f"c{k}"), "letter", ((F.coalesce("n", F.lit(0)) + LM_ALPHA) / (F.col("t") + v * LM_ALPHA)).alias(name))
 
-    out = g.select("ctx").distinct().select("ctx", letters)
+    if unseen:
+        every = F.array(*[F.lit(c) for c in [*alphabet, barrier]])
+        three = df.sparkSession.range(1).select(F.explode(every).alias("a"), F.lit(every).alias("e")).select("a", F.explode("e").alias("b"), "e").select(F.concat("a", "b").alias("ab"), F.explode("e").alias("c"))
+        out = three.select(F.concat("ab", "c").alias("ctx"), letters)
+    else:
+        out = g.select("ctx").distinct().select("ctx", letters)
     out = out.select("ctx", "letter", *[(F.substring("ctx", 4 - k, k) if k else F.lit("")).alias(f"c{k}") for k in range(4)])
     for k in range(4):
-        out = out.join(F.broadcast(order(k, f"p{k}")), [f"c{k}", "letter"])  # at most 23**k contexts for Hebrew
-    return out.select("ctx", "letter", sum((F.col(f"p{k}") * w for k, w in enumerate(LM_WEIGHTS)), F.lit(0.0)).alias("p"))
+        out = out.join(F.broadcast(order(k, f"p{k}")), [f"c{k}", "letter"], "left")  # at most 23**k contexts for Hebrew
+    # a context that isn't there has nothing but what each letter is given
+    return out.select("ctx", "letter", sum((F.coalesce(F.col(f"p{k}"), F.lit(1.0 / v)) * w for k, w in enumerate(LM_WEIGHTS)), F.lit(0.0)).alias("p"))
 
 
 def histogram(df: DataFrame, value: str, edges: Sequence[float], group: Sequence[str] = ()) -> DataFrame:

@@ -377,9 +377,9 @@ def link_confirmed(spark, sf):
 
 
 def corpus_lines(spark, sf) -> DataFrame:
-    """Distinct restored lines as (line_key, sg, frag, letters): folded letters without blanks."""
-    d = table(spark, sf, "m9_restore_lines").where("text is not null").groupBy("line_key").agg(F.max_by(F.struct("scroll", "frag", "text"), F.struct("loaded_at", "text")).alias("r"))
-    return d.select("line_key", siglum(F.col("r.scroll")).alias("sg"), F.col("r.frag").alias("frag"), H.consonants(H.fold(F.col("r.text"))).alias("letters"))
+    """Distinct restored lines as (line_key, sg, frag, line, letters): folded letters without blanks."""
+    d = table(spark, sf, "m9_restore_lines").where("text is not null").groupBy("line_key").agg(F.max_by(F.struct("scroll", "frag", "line", "text"), F.struct("loaded_at", "text")).alias("r"))
+    return d.select("line_key", siglum(F.col("r.scroll")).alias("sg"), F.col("r.frag").alias("frag"), F.col("r.line").alias("line"), H.consonants(H.fold(F.col("r.text"))).alias("letters"))
 
 
 CORPUS = f"corpus AS (SELECT line_key, {SG('scroll')} AS sg, frag, regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g') AS letters FROM (SELECT * FROM m9_restore_lines WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_key ORDER BY loaded_at DESC, text DESC) = 1))"

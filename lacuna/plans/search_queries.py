@@ -14,6 +14,7 @@ from ..operators import search as P
 from ..operators import sequences as Q
 from ..operators import statistics as S
 from ..operators import vectors as V
+from ..operators.corpus import Corpus, best_in_corpus, readings_of, scores_by_document, search
 from ..session import WorkDir, table
 from ..sources import files as IO
 from ..streaming import incremental as I
@@ -141,90 +142,119 @@ def pattern_e_value(spark, sf):
 
 
 # ------------------------------------------------------------------ scored search
-def _readings(spark, sf):
-    """Held-out lines as uncertain readings: (q, sg, frag, i, n, c) with 0.8 for the letter read and 0.2 for its neighbour.
-    Lines of any length, from one letter on, are readings; one without letters has nothing to search for."""
+def corpus(spark, sf, **options) -> Corpus:
+    """The restored lines as one sequence of symbols for each scroll."""
+    d = K.corpus_lines(spark, sf).withColumn("no", L.line_number(F.col("line")))
+    return Corpus.build(d, "sg", "frag", ["no", "line"], F.col("line_key"), F.col("letters"), **options)
+
+
+_ALPHABET = H.ALPHABET
+_PLACES = f"""cl AS (SELECT line_key, {SG('scroll')} AS doc, coalesce(frag, '?' || line_key) AS frag, line, CASE WHEN regexp_matches(line, '^[0-9]') THEN CAST(regexp_extract(line, '^([0-9]+)', 1) AS INTEGER) END AS no, regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g') AS letters FROM (SELECT * FROM m9_restore_lines WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_key ORDER BY loaded_at DESC, text DESC) = 1) WHERE scroll IS NOT NULL),
+ cs AS (SELECT *, letters || CASE WHEN lead(1) OVER (PARTITION BY doc, frag ORDER BY no NULLS FIRST, line NULLS FIRST, line_key) IS NULL THEN '|' ELSE '' END AS symbols FROM cl),
+ cp AS (SELECT doc, line_key AS ref, coalesce(sum(length(symbols)) OVER (PARTITION BY doc ORDER BY frag, no NULLS FIRST, line NULLS FIRST, line_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, symbols FROM cs)"""
+
+
+@query(f"WITH {_PLACES} SELECT doc, ref, CAST(start AS BIGINT) AS start, symbols FROM cp")
+def corpus_places(spark, sf):
+    """Where each line stands in its scroll, with the barriers that close fragments."""
+    return corpus(spark, sf).lines.select("doc", "ref", F.col("start").cast("long").alias("start"), "symbols")
+
+
+def _rows_read(spark, sf):
+    """Held-out fragments as uncertain readings: (q, line, n, i, c), the letters of each line. Lines of any length, from one
+    letter on, are read; one without letters has nothing to search for."""
     d = transcribed(spark, sf).where("split = 'test'")
-    d = d.select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("sg"), F.get(F.split("key", r"\|"), F.lit(1)).alias("frag"), H.consonants(H.fold(F.col("text"))).alias("t"))
-    d = d.withColumn("n", F.length("t"))
-    return d.select("q", "sg", "frag", "n", F.posexplode(F.split("t", "")).alias("i", "c")).where("c <> ''")
-
-
-def _llr(spark, sf):
-    r = _readings(spark, sf)
-    at = F.instr(F.lit(H.ALPHABET), F.col("c"))
-    probs = F.array(F.struct(F.col("c").alias("sym"), F.lit(0.8).alias("p")), F.struct(F.substring(F.lit(H.ALPHABET), at % 22 + 1, F.lit(1)).alias("sym"), F.lit(0.2).alias("p")))
-    reading = r.select("q", "sg", "frag", "n", "i", F.inline(probs))
-    seen = S.letter_frequency(K.corpus_lines(spark, sf), F.col("letters")).select(F.col("letter").alias("sym"), F.col("share").alias("q"))
-    q = spark.createDataFrame([(x,) for x in H.ALPHABET], "sym string").join(seen, "sym", "left").fillna(0.0)
-    return r, P.llr_table(reading, ["q", "sg", "frag", "n"], "i", q)
-
-
-def _search_sides(spark, sf, t=None):
-    """Readings as tables over the alphabet, and all lines of the corpus as codes."""
-    if t is None:
-        _, t = _llr(spark, sf)
-    wide = t.groupBy("q", "i").agg(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(H.ALPHABET), F.col("sym")).alias("k"), "s"))).alias("r"))
-    wide = wide.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", F.col("r.s").alias("s")))).alias("t")).select("q", F.col("t.s").alias("table"))
-    lines = K.corpus_lines(spark, sf).where("length(letters) > 0")
-    texts = lines.select("line_key", F.filter(F.transform(F.split("letters", ""), lambda c: F.instr(F.lit(H.ALPHABET), c) - 1), lambda x: x >= 0).alias("codes"))
-    return wide, texts
-
-
-def _candidate_pairs(spark, sf):
-    """For audits: readings, texts, and the pairs of a reading and a line of its own fragment."""
-    r, t = _llr(spark, sf)
-    lines = K.corpus_lines(spark, sf).where("length(letters) > 0")
-    pairs = r.select("q", "sg", "frag").distinct().join(lines.select("sg", "frag", "line_key"), ["sg", "frag"]).select("q", "line_key")
-    return *_search_sides(spark, sf, t), pairs
-
-
-_LLR = f"""{_LINES}, {CORPUS}, fq AS (SELECT c AS sym, count(*) / sum(count(*)) OVER () AS q FROM (SELECT unnest(string_split(letters, '')) AS c FROM corpus) WHERE c <> '' GROUP BY c),
- rd AS (SELECT CAST(rec_id AS VARCHAR) || '/' || k || '/' || CAST(line AS VARCHAR) AS q, {SG("string_split(k, '|')[1]")} AS sg, string_split(k, '|')[2] AS frag, regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g') AS t FROM ln JOIN (SELECT rec_id FROM pairs WHERE split = 'test') USING (rec_id)),
- ps AS (SELECT q, sg, frag, length(t) AS n, i - 1 AS i, substr(t, i, 1) AS c FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM rd WHERE length(t) BETWEEN 4 AND 60)),
- tb AS (SELECT ps.*, fq.sym AS sym, CASE WHEN fq.sym = c THEN 0.8 WHEN fq.sym = substr('אבגדהוזחטיכלמנסעפצקרשת', instr('אבגדהוזחטיכלמנסעפצקרשת', c) % 22 + 1, 1) THEN 0.2 ELSE 0 END AS p, fq.q AS bg FROM ps CROSS JOIN fq),
- sc AS (SELECT *, ln((p + 0.02) / sum(bg * (p + 0.02)) OVER (PARTITION BY q, i)) AS s FROM tb),
- dl AS (SELECT line_key, sg, frag, i - 1 AS pos, substr(letters, i, 1) AS sym, length(letters) AS m FROM (SELECT *, unnest(range(1, length(letters) + 1)) AS i FROM corpus)),
- cell AS (SELECT q, line_key, pos - i AS off, i, s, n, m FROM sc JOIN dl USING (sg, frag, sym)),
- diag AS (SELECT q, line_key, off, sum(s) AS score FROM cell WHERE off >= 0 AND off + n <= m GROUP BY ALL)"""
-
-
-@query(f"WITH {_LLR} SELECT q, line_key, CAST(off AS BIGINT) AS off, round(score, 4) AS score FROM diag QUALIFY row_number() OVER (PARTITION BY q, line_key ORDER BY round(score, 4) DESC, off) = 1")
+    d = d.select(F.concat_ws("/", F.col("rec_id").cast("string"), "key").alias("q"), "key", "line", H.consonants(H.fold(F.col("text"))).alias("t"))
+    return d.select("q", "key", "line", F.length("t").alias("n"), F.posexplode(F.split("t", "")).alias("i", "c")).where("c <> ''")
+
+
+def _probabilities(rows, *keep: str):
+    """0.8 for the letter read and 0.2 for its neighbour in the alphabet."""
+    at = F.instr(F.lit(_ALPHABET), F.col("c"))
+    two = F.array(F.struct(F.col("c").alias("sym"), F.lit(0.8).alias("p")), F.struct(F.substring(F.lit(_ALPHABET), at % 22 + 1, F.lit(1)).alias("sym"), F.lit(0.2).alias("p")))
+    return rows.select(*keep, F.inline(two))
+
+
+def _background(spark, sf):
+    seen = S.letter_frequency(K.corpus_lines(spark, sf).where("sg is not null"), F.col("letters")).select(F.col("letter").alias("sym"), F.col("share").alias("q"))
+    return spark.createDataFrame([(x,) for x in _ALPHABET], "sym string").join(seen, "sym", "left").fillna(0.0)
+
+
+def _readings(spark, sf, rows=None):
+    """(q, tables): each held-out fragment's lines as log-likelihood ratios over the alphabet."""
+    rows = _rows_read(spark, sf) if rows is None else rows
+    t = P.llr_table(_probabilities(rows, "q", "line", "i"), ["q", "line"], "i", _background(spark, sf))
+    return readings_of(t, "q", "line", "i")
+
+
+def _by_line(rows):
+    """Each line as a reading of its own."""
+    return rows.withColumn("q", F.concat_ws("/", "q", F.col("line").cast("string"))).withColumn("line", F.lit(0))
+
+
+_READ = f"""fq AS (SELECT sym, coalesce(n, 0) / sum(n) OVER () AS q FROM (SELECT unnest(string_split('{_ALPHABET}', '')) AS sym) LEFT JOIN (SELECT c AS sym, count(*) AS n FROM (SELECT unnest(string_split(letters, '')) AS c FROM cl) WHERE c <> '' GROUP BY c) USING (sym)),
+ rd AS (SELECT CAST(rec_id AS VARCHAR) || '/' || k AS q, line, regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g') AS t FROM ln JOIN (SELECT rec_id FROM pairs WHERE split = 'test') USING (rec_id)),
+ ps AS (SELECT q, line, length(t) AS n, i - 1 AS i, substr(t, i, 1) AS c FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM rd WHERE length(t) > 0)),
+ tb AS (SELECT ps.*, instr('{_ALPHABET}', fq.sym) AS k, CASE WHEN fq.sym = c THEN 0.8 WHEN fq.sym = substr('{_ALPHABET}', instr('{_ALPHABET}', c) % 22 + 1, 1) THEN 0.2 ELSE 0 END AS p, fq.q AS bg FROM ps CROSS JOIN fq),
+ sc AS (SELECT *, ln((p + 0.02) / sum(bg * (p + 0.02)) OVER (PARTITION BY q, line, i)) AS s FROM tb),
+ rt AS MATERIALIZED (SELECT q, line, n, list(s ORDER BY i, k) AS tbl FROM (SELECT q, line, n, i, k, s FROM sc UNION ALL SELECT q, line, n, i, 23, -20.0 FROM ps) GROUP BY ALL),
+ dt AS (SELECT doc, string_agg(symbols, '' ORDER BY start, length(symbols)) AS t FROM cp GROUP BY doc),
+ dc AS MATERIALIZED (SELECT doc, length(t) AS m, list_transform(string_split(t, ''), lambda c: instr('{_ALPHABET}|', c)) AS codes FROM dt)"""
+_SEARCH = f"{_LINES}, {_PLACES}, {_READ}"
+_WHOLE = "ds AS (SELECT q, line, doc, pos, list_sum(list_transform(range(0, n), lambda i: tbl[i * 23 + codes[pos + i + 1]])) AS s FROM (SELECT rt.*, dc.*, unnest(range(0, m - n + 1)) AS pos FROM rt CROSS JOIN dc WHERE m >= n))"
+_BEST_PLACE = "SELECT q || '/' || CAST(line AS VARCHAR) AS q, doc, CAST(pos AS BIGINT) AS pos, round(s, 4) AS score FROM ds WHERE round(s, 4) > 0 QUALIFY row_number() OVER (PARTITION BY q, line ORDER BY round(s, 4) DESC, doc, pos) = 1"
+
+
+def _best_place(spark, sf, kind: str):
+    return best_in_corpus(_readings(spark, sf, _by_line(_rows_read(spark, sf))), corpus(spark, sf), "q", kind, 1)
+
+
+@query(f"WITH {_SEARCH}, {_WHOLE} {_BEST_PLACE}")
 def llr_diagonal(spark, sf):
-    """An audit: the best ungapped place of each held-out line in each line of the linked fragment; `search_hits` searches all."""
-    return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").where("off is not null").select("q", "line_key", "off", "score")
+    """The best ungapped place of each held-out line in the whole corpus, by the sum over all of it."""
+    return _best_place(spark, sf, "whole")
 
 
 @query(
-    f"WITH {_LLR}, pf AS (SELECT q, line_key, off, i, sum(s) OVER (PARTITION BY q, line_key, off ORDER BY i) AS p FROM cell), mn AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY q, line_key, off ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM pf) SELECT q, line_key, round(max(p - m), 4) AS best FROM mn GROUP BY q, line_key"
+    f"WITH {_SEARCH}, ds AS (SELECT q, line, doc, pos, list_reduce(list_transform(range(0, least(n, m - pos)), lambda i: [tbl[i * 23 + codes[pos + i + 1]], tbl[i * 23 + codes[pos + i + 1]]]), lambda a, b: [greatest(a[1], 0) + b[1], greatest(a[2], greatest(a[1], 0) + b[1])])[2] AS s FROM (SELECT rt.*, dc.*, unnest(range(0, m)) AS pos FROM rt CROSS JOIN dc)) {_BEST_PLACE}"
 )
 def kadane_diagonal(spark, sf):
-    """An audit: the best stretch on any diagonal in the lines of the linked fragment (misread ends cost nothing); `stretch_hits`
-    searches all."""
-    return A.ungapped_search(*_candidate_pairs(spark, sf), "q", "line_key").select("q", "line_key", F.col("stretch").alias("best"))
+    """The place in the whole corpus from which a held-out line has the best stretch; misread ends cost nothing."""
+    return _best_place(spark, sf, "stretch")
 
 
-_HITS = f"WITH {_LLR}, t AS (SELECT q, line_key, round(max(score), 4) AS score FROM diag GROUP BY ALL) SELECT q, line_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, line_key) AS r FROM t) WHERE r <= 5"
+@query()
+def gapped_search(spark, sf):
+    """The place in the whole corpus at which the best gapped local alignment of each held-out line begins."""
+    return _best_place(spark, sf, "gapped")
 
 
-@query(_HITS)
-def search_hits(spark, sf):
-    """The five best lines of the whole corpus for each reading, by the sum over all of it. The SQL looks only at the lines of
-    the linked fragment, as `fragment_hits` does, so the two differ."""
-    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "whole", 5).select("q", "line_key", "score", "rank")
+@query()
+def background_model(spark, sf):
+    """The best place of each held-out line by what its letters add to what the letter model of the corpus expects there."""
+    m = S.letter_model(K.corpus_lines(spark, sf).where("sg is not null"), F.col("letters"), _ALPHABET, unseen=True)
+    t = P.chance_table(_probabilities(_by_line(_rows_read(spark, sf)), "q", "line", "i"), ["q", "line"], "i", _ALPHABET)
+    return best_in_corpus(readings_of(t, "q", "line", "i"), corpus(spark, sf), "q", "whole", 1, P.context_rows(m, _ALPHABET))
 
 
-@query(_HITS)
-def fragment_hits(spark, sf):
-    """An audit: the five best lines of the linked fragment, where the answer is known to be."""
-    d = llr_diagonal(spark, sf)
-    return R.top_per_group(d, ["q"], [F.desc("score"), F.col("line_key")], 5).select("q", "line_key", "score", "rank")
+_CHAINED = """ks AS (SELECT q, line, row_number() OVER (PARTITION BY q ORDER BY line DESC) AS r, count(*) OVER (PARTITION BY q) AS k FROM rt),
+ pl AS (SELECT doc, unnest(range(0, m)) AS pos FROM dc),
+ sr AS MATERIALIZED (SELECT q, r, k, doc, pos, greatest(s, 0) AS s FROM ds JOIN ks USING (q, line) WHERE s > 0),
+ ch AS (SELECT q, k, CAST(1 AS BIGINT) AS r, doc, pos, coalesce(s, 0) AS t FROM (SELECT DISTINCT q, k FROM ks) CROSS JOIN pl LEFT JOIN (SELECT q, doc, pos, s FROM sr WHERE r = 1) USING (q, doc, pos)
+  UNION ALL SELECT q, k, r, doc, pos, t + coalesce(s, 0) FROM (SELECT q, k, r + 1 AS r, doc, pos, coalesce(max(t) OVER (PARTITION BY q, doc ORDER BY pos RANGE BETWEEN 15 FOLLOWING AND 140 FOLLOWING), 0) AS t FROM ch WHERE r < k) LEFT JOIN (SELECT q, r, doc, pos, s FROM sr) USING (q, r, doc, pos)),
+ tp AS MATERIALIZED (SELECT q, doc, pos, round(t, 4) AS score, row_number() OVER (PARTITION BY q ORDER BY round(t, 4) DESC, doc, pos) AS o FROM ch WHERE r = k AND round(t, 4) > 0 QUALIFY o <= 200),
+ nm AS (SELECT q, CAST(0 AS BIGINT) AS o, CAST([] AS STRUCT(doc VARCHAR, pos BIGINT, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT q FROM tp)
+  UNION ALL SELECT nm.q, tp.o, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda y: y.doc = tp.doc AND abs(y.pos - tp.pos) < 50)) = 0 THEN list_append(kept, {'doc': tp.doc, 'pos': tp.pos, 'score': tp.score}) ELSE kept END FROM nm JOIN tp ON tp.q = nm.q AND tp.o = nm.o + 1),
+ hs AS (SELECT q, r, kept[r].doc AS doc, kept[r].pos AS pos, kept[r].score AS score FROM (SELECT q, kept, unnest(range(1, len(kept) + 1)) AS r FROM (SELECT q, arg_max(kept, o) AS kept FROM nm GROUP BY q)))"""
 
 
-@query()
-def stretch_hits(spark, sf):
-    """The five lines of the whole corpus with the best stretch on a diagonal; `last` is the place of its last letter."""
-    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "stretch", 5).withColumnRenamed("off", "last")
+@query(
+    f"WITH RECURSIVE {_SEARCH}, {_WHOLE}, {_CHAINED} SELECT q, CAST(r AS INTEGER) AS rank, score, hs.doc AS doc, ref, pos FROM hs JOIN cp ON cp.doc = hs.doc AND pos >= start AND pos < start + length(symbols)"
+)
+def search_hits(spark, sf):
+    """The five best places of each held-out fragment in the whole corpus, its lines chained 15 to 140 letters apart; a place
+    within 50 of a better one is left out."""
+    return search(_readings(spark, sf), corpus(spark, sf), "q")
 
 
 @query(f"WITH {T._LM}, {', '.join(T._lm_order(k) for k in range(4))}, l AS (SELECT line_key, substr('|||' || letters, i, 3) AS ctx, substr(letters, i, 1) AS letter FROM (SELECT line_key, letters, unnest(range(1, length(letters) + 1)) AS i FROM corpus)) SELECT line_key, round(avg(-ln(0.05 * p0.p + 0.15 * p1.p + 0.3 * p2.p + 0.5 * p3.p)), 6) AS surprisal FROM l JOIN p0 ON p0.letter = l.letter JOIN p1 ON p1.c = substr(ctx, 3, 1) AND p1.letter = l.letter JOIN p2 ON p2.c = substr(ctx, 2, 2) AND p2.letter = l.letter JOIN p3 ON p3.c = ctx AND p3.letter = l.letter GROUP BY line_key")
@@ -253,7 +283,7 @@ def _chain(spark, sf):
 @query()
 def suppressed_hits(spark, sf):
     """The best five places of each scroll that are 50 words apart."""
-    return Q.suppressed(_chain(spark, sf).withColumn("k", F.col("pos").cast("string")), "sg", "k", "pos", "score").select("sg", "rank", "pos", "score")
+    return Q.suppressed(_chain(spark, sf).withColumn("k", F.lit("")), "sg", "k", "pos", "score").select("sg", "rank", "pos", "score")
 
 
 @query(
@@ -329,18 +359,6 @@ def aligned_bands(spark, sf):
     return A.aligned_bands(g, ["rec_id", "key"], "bands", "lines", "pitch", 0.5)
 
 
-@query()
-def gapped_search(spark, sf):
-    """The five lines of the whole corpus with the best gapped local place for each held-out line."""
-    return A.corpus_best(*_search_sides(spark, sf), "q", "line_key", "gapped", 5)
-
-
-@query()
-def fragment_gapped(spark, sf):
-    """An audit: the best gapped local place of each held-out line in each line of its fragment."""
-    return A.gapped_search(*_candidate_pairs(spark, sf), "q", "line_key")
-
-
 # ------------------------------------------------------------------ vectors
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").withColumn("plate", F.col("vec_id") % 7)

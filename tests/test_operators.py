@@ -124,33 +124,6 @@ def test_semiglobal_against_the_recurrence():
         assert A.semiglobal(a, b) == slow(a, b)
 
 
-def test_word_alignment():
-    assert A.align_words(["שלום", None, "גדל"], ["שלם", "אב", "גדל", "בן"]) == [(0, 0), (1, 1), (2, 2), (None, 3)]
-    assert A.align_words([], ["א"]) == [(None, 0)] and A.align_words(["א"], []) == [(0, None)]
-
-
-def test_band_alignment_skips_a_weak_band():
-    bands = [dict(y=0, x0=0, x1=100, strength=0.9), dict(y=20, x0=0, x1=5, strength=0.1), dict(y=40, x0=0, x1=100, strength=0.9)]
-    lines = [dict(label="x" * 10, letters=10, num=1), dict(label="x" * 10, letters=10, num=2)]
-    assert [(i, j) for i, j, _ in A.align_bands(bands, lines, 40.0, 0.25)] == [(0, 0), (2, 1)]
-
-
-def test_ctc_alignment():
-    p = np.full((5, 3), 0.05)
-    for t, k in enumerate((1, 1, 0, 2, 2)):
-        p[t, k] = 0.9
-    assert A.ctc_align(np.log(p), [1, 2]) == [[0, 1], [3, 4]]
-    assert A.ctc_align(np.log(p[:1]), [1, 1, 2]) is None
-
-
-def test_gapped_scores_find_a_missing_letter():
-    text = [0, 1, 2, 3, 0]
-    table = np.full((2, 4), -5.0)
-    table[0, 1], table[1, 3] = 6.0, 6.0
-    s = A.gapped_scores(table, text, 4.0)
-    assert int(s.argmax()) == 1 and s.max() == pytest.approx(8.0)
-
-
 def test_neighbours_leave_the_group_out(spark):
     rnd = np.random.default_rng(8)
     m = rnd.normal(size=(90, 6))
@@ -183,24 +156,9 @@ def test_llm_free_import():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
-def test_ungapped_scores_against_brute_force():
-    rnd = np.random.default_rng(9)
-    for n, m in ((3, 8), (5, 5), (6, 4), (1, 1)):
-        t, c = rnd.normal(size=(n, 4)), rnd.integers(0, 4, m)
-        total, stretch = A.ungapped_scores(t, c)
-        assert total == pytest.approx([sum(t[i, c[o + i]] for i in range(n)) for o in range(max(0, m - n + 1))])
-        runs = [sum(t[i, c[o + i]] for i in range(a, b)) for o in range(-n + 1, m) for a in range(n) for b in range(a + 1, n + 1) if 0 <= o + a and o + b <= m]
-        assert stretch == pytest.approx(max(runs))
-
-
-def test_diagonal_scores_and_windows(spark):
+def test_windows(spark):
     from lacuna.operators import search as P
 
-    table = spark.createDataFrame([("q", i, s, v) for i, row in enumerate(({"a": 1.0, "b": -1.0}, {"a": -2.0, "b": 3.0})) for s, v in row.items()], "q string, i int, sym string, s double")
-    corpus = spark.createDataFrame([("d", p, c) for p, c in enumerate("abba")], "d string, pos int, sym string")
-    pos = spark.createDataFrame([("q", 2)], "q string, n int")
-    got = {r["off"]: r["score"] for r in Q.diagonal_scores(pos, corpus, table, "q", "d", "n").collect()}
-    assert got == {0: 4.0, 1: 2.0, 2: -3.0}
     d = spark.createDataFrame([(1, "ab..cd ab......cd ab"), (2, None), (3, ""), (4, "abab" + "x" * 4 + "cd")], "k long, t string")
     got = sorted((r["k"], r["p0"], r["p1"]) for r in P.ordered_window(d, "k", "t", ["ab", "cd"], 3, 8).collect())
     assert got == [(1, 0, 4), (1, 7, 15), (4, 0, 8), (4, 2, 8)]
@@ -227,53 +185,6 @@ def test_null_text_and_empty_tables(spark):
     assert R.nearest_by_ratio(spark.createDataFrame([], "q long, lq long"), spark.createDataFrame([], "c long, lc long"), "q", "lq", "lc", "c").count() == 0
 
 
-@pytest.mark.parametrize("kind", ["whole", "stretch", "gapped"])
-def test_best_texts_scores_every_reading_on_every_text(kind):
-    rng = np.random.default_rng(3)
-    tables = [rng.normal(-0.5, 2, (n, 4)) for n in (1, 2, 5, 7, 30)]
-    texts = [rng.integers(0, 4, m) for m in (1, 3, 6, 9, 14, 40, 41)] * 2
-
-    def score(t, c):
-        if kind == "gapped":
-            return float(np.max(A.gapped_scores(t, c, 4.0)))
-        total, stretch = A.ungapped_scores(t, c)
-        return stretch if kind == "stretch" else float(total.max()) if len(total) else None
-
-    for t, got in zip(tables, A.best_texts(tables, texts, kind, 5)):
-        every = [(-round(s, 4), i) for i, c in enumerate(texts) if (s := score(t, c)) is not None]
-        assert [(i, s) for i, _, s in got] == [(i, -s) for s, i in sorted(every)[:5]]
-
-
-def test_corpus_best_takes_candidates_from_the_whole_corpus(spark):
-    rng = np.random.default_rng(5)
-    texts = {f"l{i:03}": rng.integers(0, 4, int(m)).tolist() for i, m in enumerate(rng.integers(1, 90, 120))}
-    texts["z9"] = (texts["l007"] + [1, 2, 3]) * 2
-    tables = {f"q{i}": rng.normal(-0.5, 2, (n, 4)).tolist() for i, n in enumerate((1, 3, 12, 75, 400))}
-    tables["again"] = tables["q2"]
-    r = spark.createDataFrame(list(tables.items()), "q string, table array<array<double>>")
-    t = spark.createDataFrame(list(texts.items()), "line_key string, codes array<int>")
-    got = {}
-    for x in A.corpus_best(r, t, "q", "line_key", "whole", 5, block=900, group=2).collect():
-        got.setdefault(x["q"], []).append((x["rank"], x["line_key"], x["off"], x["score"]))
-    want = {}
-    for q, m in tables.items():
-        s = {k: np.round(A.ungapped_scores(m, c)[0], 4) for k, c in texts.items()}
-        best = sorted((-v.max(), k, int(v.argmax())) for k, v in s.items() if len(v))[:5]
-        if best:
-            want[q] = [(i, k, o, -v) for i, (v, k, o) in enumerate(best, 1)]
-    assert {q: sorted(h) for q, h in got.items()} == want and got["again"] and "q4" not in got and len(got["q3"]) == 5
-
-
-def test_readings_of_any_length(spark, monkeypatch):
-    from lacuna.plans import search_queries
-
-    texts = {1: "א", 2: "אבג", 3: "אב" * 40, 4: " ", 5: "שלום"}
-    d = spark.createDataFrame([(i, "test", "4Q1|f1", i, "1", t, "." * len(t)) for i, t in texts.items()], "rec_id long, split string, key string, line int, label string, text string, marks string")
-    monkeypatch.setattr(search_queries, "transcribed", lambda spark, sf: d)
-    got = {r["q"]: (r["n"], r["letters"]) for r in search_queries._readings(spark, "").groupBy("q", "n").agg(F.count("*").alias("letters")).collect()}
-    assert got == {"1/4Q1|f1/1": (1, 1), "2/4Q1|f1/2": (3, 3), "3/4Q1|f1/3": (80, 80), "5/4Q1|f1/5": (4, 4)}
-
-
 def test_aligned_words_keeps_plus_words(spark, monkeypatch):
     from lacuna.plans import search_queries
 
@@ -293,22 +204,6 @@ def test_fewest_edits_is_semiglobal():
         assert A.fewest_edits(a, texts, 200).tolist() == [A.semiglobal(a, t)[0] for t in texts]
 
 
-def test_prior_search_needs_no_common_run(spark, monkeypatch):
-    from lacuna.plans import search_queries
-
-    alphabet = H.ALPHABET
-    text = alphabet * 2
-    misread = "".join(alphabet[(alphabet.index(c) + 7) % 22] if i % 5 == 4 else c for i, c in enumerate(text))
-    lines = [(1, misread), (2, "אבג"), (3, ""), (4, text[:12])]
-    d = spark.createDataFrame([(i, "test", "4Q1|f1", i, "1", t, "." * len(t)) for i, t in lines], "rec_id long, split string, key string, line int, label string, text string, marks string")
-    c = spark.createDataFrame([("l1", "4Q1", "f", alphabet[::-1] * 2), ("l2", "4Q2", "f", text), ("l3", "4Q3", "f", misread)], "line_key string, sg string, frag string, letters string")
-    monkeypatch.setattr(search_queries, "transcribed", lambda spark, sf: d)
-    monkeypatch.setattr(search_queries, "candidate_copies", lambda spark, sf: spark.createDataFrame([("4Q1", "4Q1"), ("4Q1", "4Q2")], "ms string, copy string"))
-    monkeypatch.setattr(search_queries.K, "corpus_lines", lambda spark, sf: c)
-    got = {r["q"]: (r["line_key"], r["err"]) for r in search_queries.prior_search(spark, "").collect()}
-    assert got == {"1/4Q1|f1/1": ("l2", round(8 / 44, 6)), "2/4Q1|f1/2": ("l2", 0.0), "4/4Q1|f1/4": ("l2", 0.0)}
-
-
 def test_e_values_of_all_records(spark, monkeypatch):
     from lacuna.plans import statistics_queries
 
