@@ -232,13 +232,20 @@ class FingerprintIndex:
         tab = f"lacuna_{uuid.uuid4().hex[:12]}"
         kept.write.mode("overwrite").option("path", at).bucketBy(self.state["buckets"], "tab", "h").sortBy("tab", "h").saveAsTable(tab)
         self._tables[at] = tab
-        n = self.spark.table(tab).groupBy("tab", "h").count()
-        run = {"at": at, "hot": None}
+        # most seeds stand in one record only; those that don't are few, and all that matching a run with itself needs
+        new = self.spark.table(tab)
+        again = new.groupBy("tab", "h").count().where("count > 1").select("tab", "h", "count").hint("shuffle_hash")
+        new.join(again, ["tab", "h"]).write.mode("overwrite").parquet(f"{at}-again")
+        run = {"at": at, "again": f"{at}-again", "hot": None}
+        n = self._again(run)
         if (n.agg(F.max("count")).first()[0] or 0) > self.state["hot"]:
             run["hot"] = f"{at}-hot"
-            n.where(F.col("count") > self.state["hot"]).select("tab", "h").write.mode("overwrite").parquet(run["hot"])
+            n.where(F.col("count") > self.state["hot"]).select("tab", "h").distinct().write.mode("overwrite").parquet(run["hot"])
         return run
 
+    def _again(self, run: dict) -> DataFrame:
+        return self.spark.read.schema(f"{_RUN}, count long").parquet(run["again"])
+
     def close(self) -> None:
         """Takes the runs' tables from the session; the files stay."""
         for t in self._tables.values():
@@ -273,12 +280,11 @@ class FingerprintIndex:
         return self.spark.read.schema(_MATCH).parquet(*paths) if paths else self.spark.createDataFrame([], _MATCH)
 
     def _match(self, old: dict, new: dict) -> DataFrame:
-        a, b = self._bucketed(old["at"]), self._bucketed(new["at"])
-        # most seeds stand in one record only: each side is first cut down, by hashes alone, to the seeds that can match
         if old is new:
-            again = a.groupBy("tab", "h").count().where("count > 1").select("tab", "h").hint("shuffle_hash")
-            a = b = a.join(again, ["tab", "h"], "left_semi").repartition(self.state["buckets"], "tab", "h")
+            a = b = self._again(new).drop("count")
         else:
+            # each side is first cut down, by hashes alone, to the seeds that the other one has
+            a, b = self._bucketed(old["at"]), self._bucketed(new["at"])
             a, b = (x.join(y.select("tab", "h").distinct().hint("shuffle_hash"), ["tab", "h"], "left_semi") for x, y in ((a, b), (b, a)))
         hot = [self.spark.read.parquet(r["hot"]) for r in (old, new) if r["hot"]]
         if not hot:
