@@ -118,3 +118,10 @@ def encode(label: Column) -> Column:
     """Codes of the letters from the end of the label to its start, from 1; others are left out."""
     order = F.split(F.reverse(fold(label)), "")
     return F.filter(F.transform(order, lambda c: F.instr(F.lit(ALPHABET), c)), lambda i: i > 0)
+
+
+def label_span(label: Column, start: Column, end: Column) -> Column:
+    """The part of a label that holds its letters from place `start` to before `end`, blanks not counted; empty if there are none."""
+    at = F.filter(F.sequence(F.lit(1), F.length(label)), lambda i: F.substring(label, i, F.lit(1)) != " ")
+    a, b = F.get(at, start), F.get(at, end - 1)
+    return F.when(F.coalesce((end > start) & (F.length(label) > 0) & a.isNotNull() & b.isNotNull(), F.lit(False)), F.trim(F.substring(label, a, b - a + 1))).otherwise("")

@@ -58,9 +58,10 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def harvest(pages: DataFrame, fetch: Callable[[dict], list[dict]], schema: str, tries: int = 5) -> DataFrame:
-    """Rows that `fetch` returns for each page description, retried with waits of 1, 2, 4... seconds. A page that fails each
-    time gives one row whose columns are null but for `error`, which the schema must have. Pages are spread over tasks."""
+def harvest(pages: DataFrame, fetch: Callable[[dict], list[dict]], schema: str, tries: int = 5, wait: float = 1.0) -> DataFrame:
+    """Rows that `fetch` returns for each page description, retried after `wait` seconds, twice that, four times... A page that
+    fails each time gives one row whose columns are null but for `error`, which the schema must have. Pages are spread over
+    tasks."""
 
     def run(frames: Iterator) -> Iterator:
         import time
@@ -79,12 +80,41 @@ def harvest(pages: DataFrame, fetch: Callable[[dict], list[dict]], schema: str,
                         if k + 1 == tries:
                             rows.append({"error": f"{type(e).__name__}: {e}"})
                         else:
-                            time.sleep(2**k if tries > 2 else 0)
+                            time.sleep(wait * 2**k)
             yield pd.DataFrame(rows, columns=names)
 
     return pages.mapInPandas(run, schema)
 
 
+def harvest_pages(spark: SparkSession, fetch: Callable[[dict], list[dict]], pages: int, schema: str, key: str, tries: int = 5, wait: float = 1.0) -> DataFrame:
+    """All pages (from 1 on) of a source: (schema..., page), one row for each key, of repeated keys the one from the last page
+    and the last place on it. Rows without a key, which are the failed pages, stay."""
+    page = spark.range(1, pages + 1).select(F.col("id").cast("int").alias("page"))
+
+    def numbered(p: dict) -> list[dict]:
+        return [{**r, "page": p["page"], "at": i} for i, r in enumerate(fetch(p))]
+
+    got = harvest(page.repartition(min(pages, spark.sparkContext.defaultParallelism) or 1, "page"), numbered, f"{schema}, page int, at int", tries, wait)
+    rest = [c for c in got.columns if c != key]
+    last = got.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("page", "at")).alias("r"))
+    return last.select(key, *[F.col("r")[c].alias(c) for c in rest]).unionByName(got.where(F.col(key).isNull())).drop("at")
+
+
+def harvest_report(rows: DataFrame, key: str, expected: int) -> DataFrame:
+    """One row: how many keys came, how many were expected, how many pages failed, and whether something is missing."""
+    n = rows.agg(F.count(key).alias("unique"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return n.select("unique", F.lit(expected).cast("long").alias("expected"), "failed", (F.col("unique") != expected).alias("incomplete"))
+
+
+def stitched(tiles: DataFrame, image: str, row: str, col: str, pixels: str, tile: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """(image, y, x, value): the pixels of an image out of its tiles, trimmed to its size; tiles and sizes are (width, height),
+    pixels an array row after row. Later tiles don't overlap earlier ones, so nothing is sorted or gathered."""
+    w, h = tile
+    d = tiles.select(image, F.col(row).alias("_r"), F.col(col).alias("_c"), F.posexplode(pixels).alias("_i", "value"))
+    d = d.select(image, (F.col("_r") * h + F.floor(F.col("_i") / w)).cast("int").alias("y"), (F.col("_c") * w + F.col("_i") % w).cast("int").alias("x"), "value")
+    return d.where((F.col("x") < size[0]) & (F.col("y") < size[1]))
+
+
 def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at `path`, made and written first if it isn't there."""
     jvm = spark.sparkContext._jvm
