@@ -114,3 +114,9 @@ def same_place(a: Column, b: Column) -> Column:
     frag = lambda c: F.coalesce(F.get(F.split(F.get(F.split(c, " "), F.lit(1)), ":"), F.lit(0)), F.lit(""))
     out = F.when(verse, F.when(ch(a) == ch(b), F.abs(v(a) - v(b)) <= 3).otherwise(parallel)).otherwise((scroll(a) == scroll(b)) & (frag(a) == frag(b)))
     return F.coalesce(out, F.lit(False))
+
+
+def hit_parts(ref: Column) -> Column:
+    """struct<scroll, fragment> of a place like '4Q58 3:18'; null without a colon."""
+    rest = F.substring(ref, F.instr(ref, " ") + 1, F.length(ref))
+    return F.when(F.coalesce(ref.contains(":") & ref.contains(" "), F.lit(False)), F.struct(F.get(F.split(ref, " "), F.lit(0)).alias("scroll"), F.get(F.split(rest, ":"), F.lit(0)).alias("fragment")))

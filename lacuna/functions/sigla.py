@@ -20,3 +20,11 @@ def plate(c: Column) -> Column:
 def letters(c: Column) -> Column:
     """The text without any white space."""
     return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def aliased(c: Column, aliases: dict[str, str]) -> Column:
+    """A siglum in normal form, by its usual name where `aliases` (a small table of normal forms) has one."""
+    if not aliases:
+        return siglum(c)
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, siglum(c)), siglum(c))

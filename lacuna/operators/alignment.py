@@ -339,7 +339,12 @@ def forced(df: DataFrame, keep: Sequence[str], logp: str, target: str) -> DataFr
     """(keep..., symbol, first, last): the frames of each target symbol, by its place in the target, by `forced_frames`; nothing where no path is long enough."""
 
     def kernel(rows):
-        done = forced_frames([r[logp] for r in rows], [r[target] for r in rows])
+        done: list = [None] * len(rows)
+        order = sorted(range(len(rows)), key=lambda i: len(rows[i][logp]))  # lines of like lengths together
+        for x in range(0, len(order), 16):
+            some = order[x : x + 16]
+            for i, got in zip(some, forced_frames([rows[i][logp] for i in some], [rows[i][target] for i in some])):
+                done[i] = got
         return [[(k, f[0], f[-1]) for k, f in enumerate(one or [])] for one in done]
 
     return _in_batches(df, keep, [logp, target], "symbol int, first int, last int", kernel)

@@ -41,16 +41,21 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, first: Column, se
     return a.unionByName(b)
 
 
-def shared_pairs(df: DataFrame, at: Sequence[str], owner: str, mark: Column, least: int = 2) -> DataFrame:
-    """(a, b, overlap, shared): owners that stand at the same places, and at how many of them `mark` is non-null and equal.
+def shared_pairs(df: DataFrame, at: Sequence[str], owner: str, mark: Column, least: int = 2, examples: int = 4) -> DataFrame:
+    """(a, b, overlap, shared, rate, examples): owners that stand at the same places, at how many of them `mark` is non-null and
+    equal, the share of these, and the first places in their order; pairs with at least `least` of them.
 
-    Owners at one place are first brought down to one row each; places are then gathered (an owner's set at a place is as
-    large as the number of owners, not of rows), and pairs are counted within tasks before the shuffle."""
+    Owners at one place are first brought down to one row each, so a place has as many rows as owners, and pairs are counted
+    within tasks before the shuffle. Examples are cut within tasks too."""
     d = df.groupBy(*at, owner).agg(F.max_by(mark, F.struct(*[F.col(c) for c in df.columns if c not in (*at, owner)])).alias("_m"))
     x = d.select(*at, F.col(owner).alias("a"), F.col("_m").alias("ma"))
     y = d.select(*at, F.col(owner).alias("b"), F.col("_m").alias("mb"))
     j = x.join(y, list(at)).where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.count_if(F.col("ma") == F.col("mb")).alias("shared")).where(F.col("shared") >= least)
+    n = j.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.count_if(F.col("ma") == F.col("mb")).alias("shared")).where(F.col("shared") >= least)
+    n = n.withColumn("rate", F.round(F.col("shared") / F.col("overlap"), 3))
+    some = top_per_group(j.where("ma = mb"), ["a", "b"], [F.col(c) for c in at], examples, "_r")
+    some = some.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(" ", *[F.col(c).cast("string") for c in at]).alias("t")))).alias("_e"))
+    return n.join(some, ["a", "b"]).select("a", "b", "overlap", "shared", "rate", F.col("_e.t").alias("examples"))
 
 
 def ratio_band(queries: DataFrame, controls: DataFrame, q: str, c: str, ratio: float = 1.5, extra: Column | None = None) -> DataFrame:
@@ -94,3 +99,16 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 def not_done(work: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """What is left of the work, given what an earlier run wrote."""
     return work.join(done.select(*key).distinct(), list(key), "left_anti")
+
+
+def matched_controls(queries: DataFrame, controls: DataFrame, key: str, q: str, c: str, ckey: str, ratio: float = 1.5, least: int = 20) -> DataFrame:
+    """queries ⋈ controls of similar length, with `near` False; of a query with fewer than `least` of them instead the `least`
+    nearest ones, with `near` True."""
+    band = ratio_band(queries, controls, q, c, ratio)
+    # lengths decide, so controls are counted by length and not pair by pair
+    sizes = controls.groupBy(F.col(c).alias("_c")).agg(F.count("*").alias("_k"))
+    n = ratio_band(queries.select(F.col(q).alias("_q")).distinct(), sizes, "_q", "_c", ratio).groupBy("_q").agg(F.sum("_k").alias("_n"))
+    enough = n.where(F.col("_n") >= least).select(F.col("_q").alias(q))
+    near = nearest_by_ratio(queries.join(enough, q, "left_anti"), controls, key, q, c, ckey, least).drop("rank")
+    out = band.join(enough, q, "left_semi").withColumn("near", F.lit(False))
+    return out.unionByName(near.withColumn("near", F.lit(True)))

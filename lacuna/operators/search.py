@@ -71,7 +71,7 @@ def ordered_window(df: DataFrame, key: str, text: str, patterns: Sequence[str],
 def log_expected(pattern: Column, shares: dict[str, float], letters: Column, least: float = 1e-6) -> Column:
     """ln of how often a pattern is expected by chance among so many letters: each letter has its share, a class the sum of its
     letters', and `?` is sure."""
-    part = lambda x: F.when(x == "?", F.lit(1.0)).otherwise(F.aggregate(F.filter(F.split(x, ""), lambda c: ~c.isin("", "[", "]")), F.lit(0.0), lambda s, c: s + F.coalesce(F.get(known, c), F.lit(least))))
+    part = lambda x: F.when(x == "?", F.lit(1.0)).otherwise(F.aggregate(F.filter(F.split(x, ""), lambda c: ~c.isin("", "[", "]")), F.lit(0.0), lambda s, c: s + F.coalesce(F.try_element_at(known, c), F.lit(least))))
     known = F.create_map(*[F.lit(v) for kv in (shares or {"": 0.0}).items() for v in kv])
     parts = F.regexp_extract_all(pattern, F.lit(r"(\[[^\]]+\]|.)"), 1)
     return F.log(letters.cast("double")) + F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.log(F.least(F.lit(1.0), part(x))))

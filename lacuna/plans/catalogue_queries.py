@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hebrew as H
 from ..functions import labels as L
-from ..functions.sigla import siglum
+from ..functions.sigla import aliased, siglum
 from ..operators import relational as R
 from ..session import table
 from .record_queries import SIGLUM
@@ -81,10 +81,29 @@ def fragment_labels(spark, sf):
 
 
 @query(
-    f"WITH {MSS} SELECT manuscript_number, CASE WHEN coalesce(script_type, '') NOT IN ('', 'Square') THEN 'excluded: ' || script_type || ' script' WHEN coalesce(script_language, '') NOT IN ('Hebrew', 'Aramaic', 'Hebrew?', 'Aramaic?') THEN 'excluded: language ''' || coalesce(script_language, '') || '''' WHEN script_type = 'Square' THEN 'square' ELSE 'script type blank' END AS status FROM mss"
+    f"WITH {MSS}, k AS (SELECT DISTINCT manuscript AS number FROM pairs WHERE manuscript IS NOT NULL UNION SELECT manuscript_number FROM mss WHERE manuscript_number IS NOT NULL) SELECT number AS manuscript_number, CASE WHEN m.manuscript_number IS NULL THEN 'no record' WHEN coalesce(script_type, '') NOT IN ('', 'Square') THEN 'excluded: ' || script_type || ' script' WHEN coalesce(script_language, '') NOT IN ('Hebrew', 'Aramaic', 'Hebrew?', 'Aramaic?') THEN 'excluded: language ''' || coalesce(script_language, '') || '''' WHEN script_type = 'Square' THEN 'square' ELSE 'script type blank' END AS status FROM k LEFT JOIN mss m ON m.manuscript_number = number"
 )
 def manuscript_statuses(spark, sf):
-    return manuscripts(spark, sf).select("manuscript_number", L.manuscript_status(F.col("script_type"), F.col("script_language"), F.lit(True)).alias("status"))
+    """Of all manuscripts that the catalogue or a record names, whether they are in and why not."""
+    m = manuscripts(spark, sf).where("manuscript_number is not null").withColumn("known", F.lit(True))
+    named = table(spark, sf, "pairs").where("manuscript is not null").select(F.col("manuscript").alias("manuscript_number")).unionByName(m.select("manuscript_number")).distinct()
+    d = named.join(m, "manuscript_number", "left")
+    return d.select("manuscript_number", L.manuscript_status(F.col("script_type"), F.col("script_language"), F.coalesce("known", F.lit(False))).alias("status"))
+
+
+@query(f"WITH a AS (SELECT DISTINCT scroll, {SG('scroll')} AS sg FROM m9_variants WHERE scroll IS NOT NULL) SELECT scroll, CASE WHEN sg = (SELECT min({SG('scroll')}) FROM m9_variants) THEN 'FIRST' ELSE sg END AS siglum FROM a")
+def siglum_aliases(spark, sf):
+    """Sigla by their usual names: a small table of aliases, here of the first one."""
+    d = table(spark, sf, "m9_variants").where("scroll is not null").select("scroll").distinct()
+    first = d.agg(F.min(siglum(F.col("scroll")))).first()[0]
+    return d.select("scroll", aliased(F.col("scroll"), {first: "FIRST"} if first is not None else {}).alias("siglum"))
+
+
+@query("SELECT line_key, loaded_at, CASE WHEN scroll IS NOT NULL AND frag IS NOT NULL THEN scroll END AS scroll, CASE WHEN scroll IS NOT NULL AND frag IS NOT NULL THEN frag END AS fragment FROM (SELECT line_key, loaded_at, replace(scroll, ' ', '') AS scroll, split_part(frag, ':', 1) AS frag FROM m9_restore_lines)")
+def hit_places(spark, sf):
+    """Scroll and fragment out of places like '4Q58 3:18'."""
+    d = table(spark, sf, "m9_restore_lines").select("line_key", "loaded_at", F.concat(F.translate("scroll", " ", ""), F.lit(" "), "frag", F.lit(":"), F.coalesce("line", F.lit(""))).alias("ref"))
+    return d.withColumn("p", L.hit_parts(F.col("ref"))).select("line_key", "loaded_at", "p.scroll", "p.fragment")
 
 
 @query(
@@ -307,11 +326,11 @@ def scroll_rates(spark, sf):
 
 
 @query(
-    f"WITH {WRD}, pl AS (SELECT sg, ref, j, max(CASE WHEN kind = 'substantive' THEN {QSP.format('scroll_word')} END) AS m FROM wrd WHERE j IS NOT NULL AND ref IS NOT NULL GROUP BY ALL) SELECT x.sg AS a, y.sg AS b, count(*) AS overlap, count(*) FILTER (WHERE x.m = y.m) AS shared FROM pl x JOIN pl y ON x.ref = y.ref AND x.j = y.j AND x.sg < y.sg GROUP BY ALL HAVING count(*) FILTER (WHERE x.m = y.m) >= 1"
+    f"WITH {WRD}, pl AS (SELECT sg, ref, j, max(CASE WHEN kind <> 'same' THEN {QSP.format('scroll_word')} END) AS m FROM wrd WHERE j IS NOT NULL AND ref IS NOT NULL GROUP BY ALL), jn AS (SELECT x.sg AS a, y.sg AS b, x.ref AS ref, x.j AS j, x.m = y.m AS eq FROM pl x JOIN pl y ON x.ref = y.ref AND x.j = y.j AND x.sg < y.sg) SELECT a, b, count(*) AS overlap, count(*) FILTER (WHERE eq) AS shared, round(count(*) FILTER (WHERE eq) / count(*), 3) AS rate, list(ref || ' ' || CAST(j AS VARCHAR) ORDER BY ref, j) FILTER (WHERE eq)[1:4] AS examples FROM jn GROUP BY a, b HAVING count(*) FILTER (WHERE eq) >= 1"
 )
 def shared_pairs(spark, sf):
-    """Pairs of scrolls with the same reading against the base text."""
-    m = F.when(F.col("kind") == "substantive", H.long_form(F.col("scroll_word")))
+    """Pairs of scrolls that read other than the base text at the same place and alike, how often and where first."""
+    m = F.when(F.col("kind") != "same", H.long_form(F.col("scroll_word")))
     d = words(spark, sf).where("j is not null and ref is not null").withColumn("m", m).groupBy("ref", "j", "sg").agg(F.max("m").alias("m"))
     return R.shared_pairs(d, ["ref", "j"], "sg", F.col("m"), 1)
 

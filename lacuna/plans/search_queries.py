@@ -120,25 +120,31 @@ def kgram_runs(spark, sf):
 
 
 @query(
-    "WITH p AS (SELECT doc_id, text, i FROM (SELECT doc_id, text, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE contains(text, 'plate')) WHERE substr(text, i, 5) = 'plate'), s AS (SELECT doc_id, i, instr(substr(text, i + 15, 129), 'line') AS o FROM p) SELECT doc_id, CAST(i - 1 AS BIGINT) AS first, CAST(i - 1 + 15 + o - 1 AS BIGINT) AS second FROM s WHERE o > 0"
+    "WITH p AS (SELECT doc_id, text, i FROM (SELECT doc_id, text, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE contains(text, 'let')) WHERE regexp_matches(substr(text, i, 6), '^let[tm][^ |]r$')), s AS (SELECT doc_id, i, substr(text, i + 15, 131) AS g FROM p) SELECT doc_id, CAST(i - 1 AS BIGINT) AS first, CAST(i - 1 + 15 + instr(g, regexp_extract(g, 'c[ou]lu[^ |]n')) - 1 AS BIGINT) AS second FROM s WHERE regexp_matches(g, 'c[ou]lu[^ |]n')"
 )
 def pattern_window_chain(spark, sf):
-    """Places of a word after which another one begins 15 to 140 characters later; the first such one counts."""
-    return P.ordered_window(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", ["plate", "line"], 15, 140).select("doc_id", F.col("p0").alias("first"), F.col("p1").alias("second"))
+    """Places of a pattern after which another one begins 15 to 140 characters later; the first such one counts."""
+    return P.ordered_window(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", ["let[tm]?r", "c[ou]lu?n"], 15, 140).select("doc_id", F.col("p0").alias("first"), F.col("p1").alias("second"))
+
+
+_OTHER = "CASE WHEN substr(w, 3, 1) = 'א' THEN 'ב' ELSE 'א' END"
 
 
 @query(
-    f"WITH {CORPUS}, f AS (SELECT c, count(*) / sum(count(*)) OVER () AS p FROM (SELECT unnest(string_split(letters, '')) AS c FROM corpus) WHERE c <> '' GROUP BY c), w AS (SELECT DISTINCT {FOLD.format('scroll_word')} AS w FROM m9_variants WHERE length(scroll_word) >= 4), l AS (SELECT w, substr(w, i, 1) AS c FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w)) SELECT w AS pattern, round(ln((SELECT sum(length(letters)) FROM corpus)) + sum(ln(coalesce(f.p, 1e-6))), 6) AS log_e FROM l LEFT JOIN f USING (c) GROUP BY w"
+    f"WITH {CORPUS}, f AS (SELECT c, count(*) / sum(count(*)) OVER () AS p FROM (SELECT unnest(string_split(letters, '')) AS c FROM corpus) WHERE c <> '' GROUP BY c), w AS (SELECT DISTINCT {FOLD.format('scroll_word')} AS w FROM m9_variants WHERE scroll_word <> ''), l AS (SELECT w, i, CASE WHEN i = 3 THEN [substr(w, 3, 1), {_OTHER}] ELSE [substr(w, i, 1)] END AS cs FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w) WHERE i <> 2), lp AS (SELECT w, i, least(1.0, sum(coalesce(f.p, 1e-6))) AS p FROM (SELECT w, i, unnest(cs) AS c FROM l) LEFT JOIN f USING (c) GROUP BY w, i), s AS (SELECT w, sum(ln(p)) AS s FROM lp GROUP BY w) SELECT substr(w, 1, 1) || CASE WHEN length(w) > 1 THEN '?' ELSE '' END || CASE WHEN length(w) > 2 THEN '[' || substr(w, 3, 1) || {_OTHER} || ']' || substr(w, 4) ELSE '' END AS pattern, round(ln((SELECT sum(length(letters)) FROM corpus)) + s, 6) AS log_e, round(ln((SELECT sum(length(letters)) FROM corpus)) + 2 * s + ln(125), 6) AS log_e_two FROM s"
 )
 def pattern_e_value(spark, sf):
-    """The logarithm of how often each word is expected by chance in the corpus."""
+    """The logarithm of how often a word with two unsure letters is expected by chance in the corpus; and of how often it is with
+    another such word in one of the 125 places that a next line may have."""
     c = K.corpus_lines(spark, sf)
-    f = S.letter_frequency(c, F.col("letters")).select("letter", "share")
-    n = c.agg(F.sum(F.length("letters")).alias("n")).first()["n"]
-    w = table(spark, sf, "m9_variants").where("length(scroll_word) >= 4").select(H.fold(F.col("scroll_word")).alias("pattern")).distinct()
-    letters = w.select("pattern", F.explode(F.split("pattern", "")).alias("letter")).where("letter <> ''")
-    j = letters.join(R.small(f), "letter", "left")
-    return j.groupBy("pattern").agg(F.round(F.log(F.lit(float(n or 1))) + F.sum(F.log(F.coalesce("share", F.lit(1e-6)))), 6).alias("log_e"))
+    f = {r["letter"]: r["share"] for r in S.letter_frequency(c, F.col("letters")).select("letter", "share").collect()}  # one row for each letter
+    n = F.lit(c.agg(F.sum(F.length("letters")).alias("n")).first()["n"] or 1)
+    w = table(spark, sf, "m9_variants").where("scroll_word <> ''").select(H.fold(F.col("scroll_word")).alias("w")).distinct()
+    at = lambda i: F.substring("w", i, 1)
+    cls = F.concat(F.lit("["), at(3), F.when(at(3) == "א", "ב").otherwise("א"), F.lit("]"), F.expr("substring(w, 4)"))
+    w = w.select(F.concat(at(1), F.when(F.length("w") > 1, "?").otherwise(""), F.when(F.length("w") > 2, cls).otherwise("")).alias("pattern"))
+    e = P.log_expected(F.col("pattern"), f, n)
+    return w.select("pattern", F.round(e, 6).alias("log_e"), F.round(e + (e - F.log(n.cast("double"))) + F.log(F.lit(125.0)), 6).alias("log_e_two"))
 
 
 # ------------------------------------------------------------------ scored search
@@ -280,7 +286,9 @@ def _chain(spark, sf):
     return Q.chain_lines(rows, ["sg"], "line", "pos", "score", 2)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_CH}, c AS (SELECT sg, pos, greatest(s0, 0) + coalesce(max(greatest(s1, 0)) OVER (PARTITION BY sg ORDER BY pos RANGE BETWEEN 15 FOLLOWING AND 140 FOLLOWING), 0) AS score FROM x), tp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sg ORDER BY score DESC, pos) AS o FROM c QUALIFY o <= 200), nm AS (SELECT sg, CAST(0 AS BIGINT) AS o, CAST([] AS STRUCT(pos BIGINT, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT sg FROM tp) UNION ALL SELECT nm.sg, tp.o, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda y: abs(y.pos - tp.pos) < 50)) = 0 THEN list_append(kept, {{'pos': tp.pos, 'score': tp.score}}) ELSE kept END FROM nm JOIN tp ON tp.sg = nm.sg AND tp.o = nm.o + 1) SELECT sg, CAST(r AS INTEGER) AS rank, kept[r].pos AS pos, kept[r].score AS score FROM (SELECT sg, kept, unnest(range(1, len(kept) + 1)) AS r FROM (SELECT sg, arg_max(kept, o) AS kept FROM nm GROUP BY sg))"
+)
 def suppressed_hits(spark, sf):
     """The best five places of each scroll that are 50 words apart."""
     return Q.suppressed(_chain(spark, sf).withColumn("k", F.lit("")), "sg", "k", "pos", "score").select("sg", "rank", "pos", "score")
@@ -317,6 +325,23 @@ def autocorrelation(spark, sf):
     return Q.autocorrelation(_daily(spark, sf), ["event_type"], "day", "n", 10).select("event_type", "lag", F.round("ac", 6).alias("ac"))
 
 
+_PEAKS = f"{_DAY}, p AS (SELECT *, lag(n) OVER w AS a, lead(n) OVER w AS b, max(n) OVER (PARTITION BY event_type) AS m FROM dy WINDOW w AS (PARTITION BY event_type ORDER BY day)), pk AS MATERIALIZED (SELECT event_type, day, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, day) AS o FROM p WHERE n >= a AND n > b AND n > m * 0.2)"
+
+
+@query(
+    f"WITH RECURSIVE {_PEAKS}, g AS (SELECT event_type, CAST(0 AS BIGINT) AS o, CAST([] AS STRUCT(day BIGINT, n DOUBLE)[]) AS kept FROM (SELECT DISTINCT event_type FROM pk) UNION ALL SELECT g.event_type, pk.o, CASE WHEN len(list_filter(kept, lambda y: abs(y.day - pk.day) < 6)) = 0 THEN list_append(kept, {{'day': pk.day, 'n': pk.n}}) ELSE kept END FROM g JOIN pk ON pk.event_type = g.event_type AND pk.o = g.o + 1) SELECT event_type, x.day AS day, x.n AS n FROM (SELECT event_type, unnest(kept) AS x FROM (SELECT event_type, arg_max(kept, o) AS kept FROM g GROUP BY event_type))"
+)
+def spaced_peaks(spark, sf):
+    """The highest days of each kind of event that are six days apart."""
+    return Q.spaced_peaks(Q.local_peaks(_daily(spark, sf), ["event_type"], "day", "n"), ["event_type"], "day", "n", 6)
+
+
+@query(f"WITH {_DAY}, x AS (SELECT event_type, day, n - avg(n) OVER (PARTITION BY event_type) AS x FROM dy), s AS (SELECT a.event_type AS event_type, CAST(b.day - a.day AS INTEGER) AS lag, sum(a.x * b.x) AS s FROM x a JOIN x b ON a.event_type = b.event_type AND b.day - a.day BETWEEN 0 AND 10 GROUP BY ALL), c AS (SELECT event_type, lag, round(s / (SELECT z.s FROM s z WHERE z.event_type = s.event_type AND z.lag = 0), 6) AS ac FROM s), z AS (SELECT event_type, min(lag) AS z FROM c WHERE ac < 0 GROUP BY event_type) SELECT event_type, lag, ac FROM c JOIN z USING (event_type) WHERE lag > z QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ac DESC, lag) = 1")
+def first_periods(spark, sf):
+    """The lag with the highest autocorrelation after it first falls below 0."""
+    return Q.first_period(autocorrelation(spark, sf), ["event_type"])
+
+
 # ------------------------------------------------------------------ alignment
 def _candidates(spark, sf):
     q = transcribed(spark, sf).select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("sg"), F.get(F.split("key", r"\|"), F.lit(1)).alias("frag"), H.consonants(H.fold(F.col("text"))).alias("a"))
@@ -324,14 +349,21 @@ def _candidates(spark, sf):
     return q.where("length(a) >= 4").join(c, ["sg", "frag"])
 
 
-@query()
+_SEMI = f"""{_LINES}, {CORPUS}, qa AS (SELECT CAST(rec_id AS VARCHAR) || '/' || k || '/' || CAST(line AS VARCHAR) AS q, {SG("string_split(k, '|')[1]")} AS sg, string_split(k, '|')[2] AS frag, regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g') AS a FROM ln),
+ pr AS MATERIALIZED (SELECT row_number() OVER () AS id, q, qa.sg AS sg, qa.frag AS frag, line_key, a, string_split(a, '') AS la, CASE WHEN letters = '' THEN [] ELSE string_split(letters, '') END AS lb FROM qa JOIN corpus c ON c.sg = qa.sg AND c.frag = qa.frag WHERE length(a) >= 4),
+ dp AS (SELECT id, 0 AS i, list_transform(range(0, len(lb) + 1), lambda j: CAST(0 AS BIGINT)) AS row FROM pr
+  UNION ALL SELECT id, i, list_transform(range(1, len(c) + 1), lambda j: list_min(c[1:j]) + j - 1) FROM (SELECT pr.id AS id, dp.i + 1 AS i, list_transform(range(0, len(lb) + 1), lambda j: CASE WHEN j = 0 THEN dp.i + 1 ELSE least(row[j] + CASE WHEN lb[j] = la[dp.i + 1] THEN 0 ELSE 1 END, row[j + 1] + 1) END - j) AS c FROM dp JOIN pr USING (id) WHERE dp.i < len(la))),
+ er AS (SELECT q, sg, frag, line_key, list_min(row) / length(a) AS err FROM dp JOIN pr USING (id) WHERE i = len(la))"""
+
+
+@query(f"WITH RECURSIVE {_SEMI}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY err, line_key) AS r, lead(err) OVER (PARTITION BY q ORDER BY err, line_key) AS nx FROM er) SELECT q, line_key, err, coalesce(nx, 1.0) AS second FROM r WHERE r = 1 AND err <= 0.35 AND coalesce(nx, 1.0) - err >= 0.15")
 def semiglobal_best(spark, sf):
     """For each transcribed line the line of the linked fragment in which it fits best, if it fits well and clearly best."""
     d = A.best_substring(_candidates(spark, sf), "a", "b", ["q", "line_key", "a"])
     return P.clear_best(d.withColumn("err", F.col("edits") / F.length("a")), ["q"], "line_key", "err", 0.35, 0.15)
 
 
-@query()
+@query(f"WITH RECURSIVE {_SEMI}, b AS (SELECT q, sg, frag, min(err) AS err FROM er GROUP BY ALL) SELECT sg, frag, count(*) AS lines, median(err) AS median, avg(CASE WHEN err <= 0.35 THEN 1.0 ELSE 0.0 END) AS good FROM b GROUP BY ALL")
 def reading_rates(spark, sf):
     """Lines, median error and the share of good ones by fragment."""
     d = A.best_substring(_candidates(spark, sf), "a", "b", ["q", "sg", "frag", "a"]).withColumn("err", F.col("edits") / F.length("a"))
@@ -339,7 +371,22 @@ def reading_rates(spark, sf):
     return best.groupBy("sg", "frag").agg(F.count("*").alias("lines"), F.expr("percentile(err, 0.5D)").alias("median"), F.avg((F.col("err") <= 0.35).cast("double")).alias("good"))
 
 
-@query()
+_LEV = f"levenshtein({K.BYTES.format(FOLD.format('w'))}, {K.BYTES.format(FOLD.format('b'))})"
+
+
+@query(
+    f"""WITH RECURSIVE {WRD}, sw AS (SELECT sg, ref, row_number() OVER (PARTITION BY sg, ref ORDER BY word_id) AS i, scroll_word AS w FROM wrd WHERE ref IS NOT NULL),
+ bw AS (SELECT sg, ref, row_number() OVER (PARTITION BY sg, ref ORDER BY j, mt) AS k, mt AS b FROM (SELECT DISTINCT sg, ref, j, mt FROM wrd WHERE ref IS NOT NULL AND j IS NOT NULL AND mt <> '')),
+ g AS MATERIALIZED (SELECT sg, ref, count(*) AS n, (SELECT count(*) FROM bw WHERE bw.sg = sw.sg AND bw.ref = sw.ref) AS m FROM sw GROUP BY sg, ref),
+ pc AS MATERIALIZED (SELECT sg, ref, i, list(c ORDER BY k) AS cs FROM (SELECT sg, ref, i, k, CASE WHEN w IS NULL THEN 300000 WHEN {K.ORTHO.format('w')} = {K.ORTHO.format('b')} THEN 0 ELSE least(1200000, CAST(round(1600000 * {_LEV} / greatest(length(w), length(b), 1)) AS BIGINT)) END AS c FROM sw JOIN bw USING (sg, ref)) GROUP BY ALL),
+ dp AS (SELECT sg, ref, CAST(0 AS BIGINT) AS i, list_transform(range(0, m + 1), lambda j: j * 600000) AS row FROM g
+  UNION ALL SELECT sg, ref, i, list_transform(range(1, len(c) + 1), lambda j: list_min(c[1:j]) + (j - 1) * 600000) FROM (SELECT g.sg AS sg, g.ref AS ref, dp.i + 1 AS i, list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN row[1] + 1000000 ELSE least(row[j + 1] + 1000000, row[j] + cs[j]) END - j * 600000) AS c FROM dp JOIN g USING (sg, ref) LEFT JOIN pc ON pc.sg = dp.sg AND pc.ref = dp.ref AND pc.i = dp.i + 1 WHERE dp.i < n)),
+ al AS MATERIALIZED (SELECT sg, ref, list(row ORDER BY i) AS rows FROM dp GROUP BY ALL),
+ pa AS MATERIALIZED (SELECT sg, ref, list(cs ORDER BY i) AS pairs FROM pc GROUP BY ALL),
+ wk AS (SELECT sg, ref, n AS i, m AS j, CAST(NULL AS INTEGER) AS oi, CAST(NULL AS INTEGER) AS oj FROM g
+  UNION ALL SELECT sg, ref, CASE WHEN t < 3 THEN i - 1 ELSE i END, CASE WHEN t <> 2 THEN j - 1 ELSE j END, CASE WHEN t < 3 THEN CAST(i - 1 AS INTEGER) END, CASE WHEN t <> 2 THEN CAST(j - 1 AS INTEGER) END FROM (SELECT wk.sg AS sg, wk.ref AS ref, i, j, CASE WHEN i > 0 AND j > 0 AND rows[i + 1][j + 1] = rows[i][j] + pairs[i][j] THEN 1 WHEN i > 0 AND rows[i + 1][j + 1] = rows[i][j + 1] + 1000000 THEN 2 ELSE 3 END AS t FROM wk JOIN al ON al.sg = wk.sg AND al.ref = wk.ref LEFT JOIN pa ON pa.sg = wk.sg AND pa.ref = wk.ref WHERE i > 0 OR j > 0))
+ SELECT sg, ref, oi AS i, oj AS j FROM wk WHERE oi IS NOT NULL OR oj IS NOT NULL"""
+)
 def aligned_words(spark, sf):
     """All words of each verse of a scroll, plus words too, aligned anew to its base words."""
     w = K.words(spark, sf).where("ref is not null")
@@ -359,6 +406,31 @@ def aligned_bands(spark, sf):
     return A.aligned_bands(g, ["rec_id", "key"], "bands", "lines", "pitch", 0.5)
 
 
+def _frames(spark, sf):
+    """Transcribed lines as frames of a reader: each letter is likeliest in two frames, after a frame of the blank."""
+    d = transcribed(spark, sf).select("rec_id", "key", "line", H.consonants(H.fold(F.col("text"))).alias("t")).where("t <> ''")
+    target = F.transform(F.split("t", ""), lambda c: F.instr(F.lit(H.ALPHABET), c))
+    d = d.withColumn("target", F.filter(target, lambda c: c > 0))
+    order = F.flatten(F.transform("target", lambda c: F.array(F.lit(0), c, c)))
+    row = lambda c: F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.when(k == c, F.lit(-0.1)).otherwise(F.lit(-5.0)))
+    return d.select("rec_id", "key", F.col("line").cast("int").alias("line"), "target", F.transform(order, row).alias("logp"))
+
+
+_TARGET = f"{_LINES}, tg AS (SELECT rec_id, k AS key, CAST(line AS INTEGER) AS line, list_filter(list_transform(string_split(regexp_replace({FOLD.format('text')}, '[^א-ת]', '', 'g'), ''), lambda c: CAST(instr('{H.ALPHABET}', c) AS INTEGER)), lambda x: x > 0) AS target FROM ln WHERE regexp_matches(text, '[א-ת]'))"
+
+
+@query(f"WITH {_TARGET} SELECT rec_id, key, line, CAST(i - 1 AS INTEGER) AS symbol, CAST(3 * i - 2 AS INTEGER) AS first, CAST(3 * i - 1 AS INTEGER) AS last FROM (SELECT rec_id, key, line, unnest(range(1, len(target) + 1)) AS i FROM tg)")
+def forced_alignment(spark, sf):
+    """The frames of each letter on the best path."""
+    return A.forced(_frames(spark, sf), ["rec_id", "key", "line"], "logp", "target")
+
+
+@query(f"WITH {_TARGET} SELECT rec_id, key, line, target AS symbols FROM tg")
+def greedy_decoded(spark, sf):
+    """The greedy reading: likeliest symbols, repeats once, blanks dropped."""
+    return A.decoded(_frames(spark, sf), ["rec_id", "key", "line"], "logp")
+
+
 # ------------------------------------------------------------------ vectors
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").withColumn("plate", F.col("vec_id") % 7)
@@ -374,11 +446,24 @@ def knn_leave_group_out(spark, sf):
     return V.nearest(d, "vec_id", "embedding", "plate", "label", 10, d.where("vec_id % 20 = 0")).select("q", "key", "rank", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_KNN.format(cond='a.vec_id % 20 = 0')}, m AS (SELECT q, q_label, label, round(max(sim), 6) AS sim FROM nn WHERE rank <= 10 GROUP BY ALL) SELECT q, q_label, label, sim, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS INTEGER) AS rank FROM m")
-def label_rank(spark, sf):
+_RANKS = f"{_KNN.format(cond='a.vec_id % 20 = 0')}, m AS (SELECT q, q_label, label, round(max(sim), 6) AS sim FROM nn WHERE label IS NOT NULL GROUP BY ALL), rk AS (SELECT q, q_label, label, sim, CAST(row_number() OVER (PARTITION BY q ORDER BY (SELECT max(n2.sim) FROM nn n2 WHERE n2.q = m.q AND n2.label = m.label) DESC, label) AS INTEGER) AS rank FROM m)"
+
+
+def _label_ranks(spark, sf):
     d = _vectors(spark, sf)
-    n = V.nearest(d, "vec_id", "embedding", "plate", "label", 10, d.where("vec_id % 20 = 0")).withColumn("sim", F.round("sim", 6))
-    return V.label_ranks(n)
+    return V.label_ranks(d, "vec_id", "embedding", "plate", "label", d.where("vec_id % 20 = 0"))
+
+
+@query(f"WITH {_RANKS} SELECT q, q_label, label, sim, rank FROM rk")
+def label_rank(spark, sf):
+    """The best similarity to each label, over all vectors of other plates, and the labels' ranks."""
+    return _label_ranks(spark, sf).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_RANKS} SELECT q, q_label, rank AS own_rank FROM rk WHERE label = q_label")
+def own_rank(spark, sf):
+    """Where the own label stands among all of them."""
+    return _label_ranks(spark, sf).where("label = q_label").select("q", "q_label", F.col("rank").alias("own_rank"))
 
 
 @query(
@@ -424,10 +509,9 @@ def flattened_paths(spark, sf):
     return IO.flatten_paths(d, "rec_id", "x", 2)
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>|&[a-z]+;', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS plain FROM documents WHERE lang = 'fr' AND NOT regexp_matches(text, '[֑-ׇ־]')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '<[^>]*>|&[a-z]+;', ' ', 'g'), '־', ' '), '[֑-ֽֿ-ׇ]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS plain FROM documents")
 def plain_texts(spark, sf):
-    """All documents without markup, points and joining marks; a null text stays null. The SQL has only the French ones without
-    points, so it gives fewer rows."""
+    """All documents without markup, points and joining marks; a null text stays null."""
     return table(spark, sf, "documents").select("doc_id", IO.plain_letters(F.col("text")).alias("plain"))
 
 

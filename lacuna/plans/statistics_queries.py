@@ -127,14 +127,13 @@ def mad_outliers(spark, sf):
 
 
 @query(
-    f"WITH {_LN}, s AS (SELECT frag, avg(CAST(length AS DOUBLE)) AS mu, stddev_pop(CAST(length AS DOUBLE)) AS sd FROM rl WHERE length IS NOT NULL AND share_rec < 0.7 GROUP BY frag) SELECT line_key, round((length - mu) / (sd + 1e-6), 4) AS z FROM rl LEFT JOIN s USING (frag) WHERE length IS NOT NULL AND share_rec >= 0.7 AND (sd IS NULL OR sd > 0)"
+    f"WITH {_LN}, s AS (SELECT frag, avg(CAST(length AS DOUBLE)) AS mu, stddev_pop(CAST(length AS DOUBLE)) AS sd FROM rl WHERE length IS NOT NULL AND share_rec < 0.7 GROUP BY frag) SELECT line_key, round((length - mu) / (sd + 1e-6), 4) AS z FROM rl LEFT JOIN s USING (frag) WHERE length IS NOT NULL  AND share_rec >= 0.7"
 )
 def group_z(spark, sf):
     """Mostly reconstructed lines against the others of the same label."""
     d = restored(spark, sf).where("length is not null").select("line_key", "frag", F.col("length").cast("double").alias("x"), "share_rec")
     null = d.where("share_rec < 0.7")
-    flat = null.groupBy("frag").agg(F.stddev_pop("x").alias("sd")).where("sd = 0").select("frag")
-    out = S.control_z(d.where("share_rec >= 0.7").join(flat, "frag", "left_anti"), null, ["frag"], "x")
+    out = S.control_z(d.where("share_rec >= 0.7"), null, ["frag"], "x")
     return out.select("line_key", F.round("z", 4).alias("z"))
 
 
@@ -152,9 +151,9 @@ def empirical_p(spark, sf):
     return C.empirical_p(d.where("split in ('val', 'test')"), d.where("split = 'train'"), ["band"], "score").select("name", "p", "n_controls")
 
 
-@query(f"WITH {PRS}, b AS (SELECT {_BAND} AS band, cast(preserved AS DOUBLE) AS score, name, split FROM prs WHERE preserved IS NOT NULL), p AS (SELECT name, (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band AND n.score >= r.score)) / (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band)) AS p FROM b r WHERE r.split IN ('val', 'test')) SELECT name, p * (SELECT count(*) FROM p) AS E FROM p ORDER BY p, name LIMIT 20")
+@query(f"WITH {PRS}, b AS (SELECT {_BAND} AS band, cast(preserved AS DOUBLE) AS score, name, split FROM prs WHERE preserved IS NOT NULL), p AS (SELECT name, (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band AND n.score >= r.score)) / (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band)) AS p FROM b r WHERE r.split IN ('val', 'test')) SELECT name, p * (SELECT count(*) FROM p) AS E FROM p")
 def e_values(spark, sf):
-    """E of every held-out record; the SQL has the 20 with the lowest p only."""
+    """E of every held-out record."""
     return C.with_e(empirical_p(spark, sf)).select("name", "E")
 
 
@@ -165,8 +164,23 @@ def fisher_combine(spark, sf):
     """For each plate the manuscript to which its held-out pieces point most, by the truncated statistic."""
     d = K.pairs(spark, sf).where("preserved is not null").select("name", F.coalesce("manuscript", F.lit("")).alias("ms"), L.plate_key(F.col("plate")).alias("pk"))
     p = empirical_p(spark, sf).join(d, "name")
-    s = p.groupBy("pk", "ms").agg(F.round(F.sum(F.greatest(-F.log("p") - C.TRUNCATE, F.lit(0.0))), 6).alias("stat"))
-    return R.top_per_group(s, ["pk"], [F.desc("stat"), F.col("ms")], 1).drop("rank")
+    return C.fisher(p, ["pk"], "ms", truncated=True)
+
+
+@query(
+    f"WITH {PRS}, b AS (SELECT {_BAND} AS band, cast(preserved AS DOUBLE) AS score, name, split, coalesce(manuscript, '') AS ms, {K.PKEY.format('plate')} AS pk FROM prs WHERE preserved IS NOT NULL), p AS (SELECT ms, pk, (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band AND n.score >= r.score)) / (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band)) AS p FROM b r WHERE r.split IN ('val', 'test')), s AS (SELECT pk, ms, round(sum(-ln(p)), 6) AS stat FROM p GROUP BY ALL) SELECT pk, ms, stat FROM s QUALIFY row_number() OVER (PARTITION BY pk ORDER BY stat DESC, ms) = 1"
+)
+def fisher_sums(spark, sf):
+    """The same by the plain sum of -ln p."""
+    d = K.pairs(spark, sf).where("preserved is not null").select("name", F.coalesce("manuscript", F.lit("")).alias("ms"), L.plate_key(F.col("plate")).alias("pk"))
+    return C.fisher(empirical_p(spark, sf).join(d, "name"), ["pk"], "ms")
+
+
+@query(f"WITH {PRS}, b AS (SELECT {_BAND} AS band, cast(preserved AS DOUBLE) AS score, split, name FROM prs WHERE preserved IS NOT NULL) SELECT name, split, (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band AND n.score >= r.score)) / (1 + (SELECT count(*) FROM b n WHERE n.split = 'train' AND n.band = r.band)) AS p FROM b r")
+def null_p(spark, sf):
+    """p of all records, the controls too, against the controls of their band."""
+    d = K.pairs(spark, sf).where("preserved is not null").select("name", "split", F.coalesce(L.band(F.col("preserved")), F.lit("none")).alias("band"), F.col("preserved").cast("double").alias("score"))
+    return C.empirical_p(d, d.where("split = 'train'"), ["band"], "score").select("name", "split", "p")
 
 
 _FW = f"{_LN}, o AS (SELECT sg, max(abs(z)) AS z_best FROM rl WHERE z IS NOT NULL AND share_rec >= 0.7 GROUP BY sg), n AS (SELECT sg, frag, max(abs(z)) AS z_max FROM rl WHERE z IS NOT NULL AND share_rec < 0.7 GROUP BY ALL)"
@@ -240,7 +254,7 @@ def letter_lm4(spark, sf):
 
 
 @query(
-    f"WITH {_LINES}, e AS (SELECT rec_id, k AS key, count(*) FILTER (WHERE regexp_matches(marks, '[.u]')) AS visible, max(line) - min(line) + 1 AS span FROM ln GROUP BY ALL) SELECT count(*) AS fragments, round(avg(CASE WHEN visible = span THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN abs(visible - span) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS within_one, round(avg(CASE WHEN visible < span THEN 1.0 ELSE 0.0 END), 6) AS fewer FROM e"
+    f"WITH {_LINES}, e AS (SELECT rec_id, k AS key, count(*) FILTER (WHERE regexp_matches(marks, '[.u]')) AS visible, max(line) - min(line) + 1 AS span FROM ln GROUP BY ALL) SELECT count(*) AS fragments, round(avg(CASE WHEN visible = span THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN abs(visible - span) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS within_one, round(avg(CASE WHEN visible < span THEN 1.0 ELSE 0.0 END), 6) AS fewer, round(avg(CASE WHEN visible > span THEN 1.0 ELSE 0.0 END), 6) AS more FROM e"
 )
 def count_agreement(spark, sf):
     """How often the number of readable lines is that of the lines spanned."""
@@ -249,7 +263,7 @@ def count_agreement(spark, sf):
     g = d.groupBy("rec_id", "key").agg(F.count_if(F.col("l.marks").rlike("[.u]")).alias("v"), (F.max("line") - F.min("line") + 1).alias("s"))
     avg = lambda c: F.round(F.avg(c.cast("double")), 6)
     v, s = F.col("v"), F.col("s")
-    return g.agg(F.count("*").alias("fragments"), avg(v == s).alias("exact"), avg(F.abs(v - s) <= 1).alias("within_one"), avg(v < s).alias("fewer"))
+    return g.agg(F.count("*").alias("fragments"), avg(v == s).alias("exact"), avg(F.abs(v - s) <= 1).alias("within_one"), avg(v < s).alias("fewer"), avg(v > s).alias("more"))
 
 
 @query(f"WITH {K.WRD} SELECT kind, sg, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, sg) AS r FROM (SELECT kind, sg, count(*) AS n FROM wrd GROUP BY kind, sg)) WHERE r <= 8")
@@ -314,6 +328,15 @@ def nearest_fallback(spark, sf):
     return R.nearest_by_ratio(q, c, "name", "pq", "pc", "control").select("name", "control", "rank")
 
 
+@query(f"WITH {_RB}, n AS (SELECT name, pq, count(pc) AS n, CAST(sum(pc) AS BIGINT) AS letters FROM q LEFT JOIN c ON abs(ln(pc / pq)) <= ln(1.05) + 1e-12 GROUP BY name, pq), j AS (SELECT q.name AS name, pc, row_number() OVER (PARTITION BY q.name ORDER BY round(abs(ln(pc / pq)), 12), CASE WHEN pc < pq THEN 0 ELSE 1 END, CASE WHEN pc < pq THEN -r ELSE r END) AS rank FROM q, (SELECT *, row_number() OVER (ORDER BY pc, cn) AS r FROM c)) SELECT name, false AS near, n, letters FROM n WHERE n >= 20 UNION ALL SELECT name, true, count(*), CAST(sum(pc) AS BIGINT) FROM j WHERE rank <= 20 AND name IN (SELECT name FROM n WHERE n < 20) GROUP BY name")
+def matched_controls(spark, sf):
+    """Controls of nearly the same length, or the 20 nearest where there are fewer than 20: how many, and their letters."""
+    d = K.pairs(spark, sf).where("preserved > 0")
+    q = d.where("split in ('val', 'test')").select("name", F.col("preserved").alias("pq"))
+    c = d.where("split = 'train'").select(F.col("name").alias("control"), F.col("preserved").alias("pc"))
+    return R.matched_controls(q, c, "name", "pq", "pc", "control", 1.05).groupBy("name", "near").agg(F.count("*").alias("n"), F.sum("pc").cast("long").alias("letters"))
+
+
 @query(f"WITH {_LN}, k AS (SELECT line_key, sg, row_number() OVER (PARTITION BY sg ORDER BY md5('7|' || line_key), line_key) AS r FROM rl WHERE sg IS NOT NULL) SELECT line_key, sg FROM k WHERE r <= 3")
 def hash_sample(spark, sf):
     """Three lines of each scroll in a repeatable random order (decoys)."""
