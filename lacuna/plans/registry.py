@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue_queries, record_queries, search_queries, source_queries, statistics_queries
+from . import audit_queries, catalogue_queries, record_queries, search_queries, source_queries, statistics_queries
 
-_MODULES = [record_queries, catalogue_queries, statistics_queries, search_queries, source_queries]
+_MODULES = [record_queries, catalogue_queries, statistics_queries, search_queries, source_queries, audit_queries]
 
 
 def queries() -> dict:

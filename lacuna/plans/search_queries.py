@@ -629,13 +629,3 @@ def group_sweep(spark, sf):
     d = d.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 8)]), lambda k: k >= F.col("r"))))
     g = d.groupBy("k", "sg").agg(F.sum("z").alias("s"), F.count("*").alias("n")).where("n = k")
     return g.groupBy("k").agg(F.count("*").alias("groups"), F.round(F.avg("s"), 6).alias("mean"))
-
-
-@query()
-def prior_search(spark, sf):
-    """Held-out lines searched only in copies of their manuscript's composition: the best of all the copies' lines."""
-    copies = candidate_copies(spark, sf).select(siglum(F.col("ms")).alias("ms"), siglum(F.col("copy")).alias("sg")).distinct()
-    q = transcribed(spark, sf).where("split = 'test'").select(F.concat_ws("/", F.col("rec_id").cast("string"), "key", F.col("line").cast("string")).alias("q"), siglum(F.split("key", r"\|")[0]).alias("ms"), H.consonants(H.fold(F.col("text"))).alias("a"))
-    c = K.corpus_lines(spark, sf).where("sg is not null").select("sg", "line_key", F.col("letters").alias("b"))
-    d = A.nearest_text(q.join(copies, "ms").select("sg", "q", "a"), c, "sg", "q", "a", "line_key", "b")
-    return d.select("q", "line_key", F.round(F.col("edits") / F.length("a"), 6).alias("err"))

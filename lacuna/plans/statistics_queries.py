@@ -352,18 +352,3 @@ def shuffled_controls(spark, sf):
     s = C.shuffled_controls(d, ["line_key"], "i", 2)
     g = s.groupBy("line_key", "rep").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("a"))
     return g.select("line_key", "rep", F.array_join("a.c", "").alias("text"))
-
-
-_VERDICT = f"""{PRS}, {CNT}, {LNK}, v AS (SELECT name, split, preserved AS read, CASE split WHEN 'test' THEN 0.03 WHEN 'val' THEN 0.2 ELSE 0.6 END AS p_own, photos_of_piece AS z_own, w AS s, h FROM prs WHERE preserved IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL AND photos_of_piece IS NOT NULL)"""
-
-
-@query(
-    f"WITH {_VERDICT} SELECT name, CASE WHEN read < 6 THEN 'too_short' WHEN p_own <= 0.05 THEN 'ok' WHEN h % 2 = 0 AND s % 100 / 1000.0 <= 0.02 AND z_own < 2 THEN CASE WHEN h % 4 = 0 THEN 'split_record' ELSE 'other_frag' END WHEN read >= 10 AND s / 100.0 >= 25.5 AND h % 3 <> 0 THEN 'elsewhere' WHEN read >= 15 THEN 'no_fit' ELSE 'weak' END AS verdict FROM v"
-)
-def audit_verdicts(spark, sf):
-    """The verdict classifier over stand-in scores."""
-    d = K.pairs(spark, sf).where("preserved is not null and w is not null and h is not null and photos_of_piece is not null")
-    p = F.when(F.col("split") == "test", 0.03).when(F.col("split") == "val", 0.2).otherwise(0.6)
-    h = F.col("h")
-    v = C.verdict(F.col("preserved"), p, F.col("photos_of_piece"), h % 2 != 0, F.col("w") % 100 / 1000.0, h % 4 == 0, F.col("w") / 100.0, h % 3 == 0, F.lit(25.5))
-    return d.select("name", v.alias("verdict"))
