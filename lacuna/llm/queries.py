@@ -177,8 +177,8 @@ def p7_stretched_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return reading_levels(docs, table(spark, sf, "level_anchors"), WorkDir(spark, "p8"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return reading_levels(docs, table(spark, sf, "level_anchors"), WorkDir(spark, "p8"), label="lang")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
