@@ -14,7 +14,7 @@ Words are runs of letters with inner apostrophes. A capitalised word outside the
 is removed first; dots of numbers and of common abbreviations end no sentence, an empty line does.
 
 Which documents are English is learned, as labels of language can be null, wrong or unusual. Labels whose frequent words are
-those of the anchors are English ones, however they are spelt, and the others foreign. Words that a fifth of the English
+those of the anchors are English ones, however they are spelt, and the others foreign. Words that a tenth of the English
 documents use and three times less of any foreign label's are marks of English, and words that a tenth of a foreign label's
 documents use and three times less of the English ones are marks of that label. A document is running English, whatever its own
 label says, if it has at least three marks of English and half as many again as of any foreign label, and half of its words are
@@ -41,7 +41,7 @@ THETAS = (0.12, 0.15, 0.18, 0.21, 0.25)
 #: A label counts if it has this share of the documents, and five of them.
 LABEL = 0.0005
 #: Shares of documents that make a word a mark of English or of another label, and how much rarer it must be elsewhere.
-MARK, FOREIGN, RARER = 0.2, 0.1, 3.0
+MARK, FOREIGN, RARER = 0.1, 0.1, 3.0
 #: Of the anchors' most alike label's likeness, what an English label must have.
 ALIKE = 0.5
 #: A guard on the list's size (see the bound above), and the words that a task counts before it passes them on.
