@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hebrew import fold, signs
 from .sequences import windows_of
-from .skew import distributed_rank
+from .skew import distributed_rank, salted_join
 
 EPSILON = 0.02
 
@@ -31,10 +31,10 @@ def symbols(lines: DataFrame, group: Sequence[str], order: str, text: Column, ma
 def contained(queries: DataFrame, corpus: DataFrame, run: str, doc: str, text: str, seed: int) -> DataFrame:
     """queries ⋈ places in the corpus at which the run stands, overlapping ones too: (queries' columns, doc, pos). The first
     `seed` letters are joined by equality and the rest is compared; runs shorter than the seed find nothing. A seed that very
-    many places have is compared where it stands."""
+    many places have is spread over tasks."""
     w = windows_of(corpus, [doc], text, seed).withColumnRenamed("gram", "_g")
     q = queries.where(F.length(run) >= seed).withColumn("_g", F.substring(run, 1, seed))
-    hit = q.join(w, "_g").join(corpus.select(doc, F.col(text).alias("_t")), doc)
+    hit = salted_join(w, q, ["_g"], [doc, "pos"], "inner").join(corpus.select(doc, F.col(text).alias("_t")), doc)
     return hit.where(F.substring("_t", F.col("pos") + 1, F.length(run)) == F.col(run)).drop("_g", "_t")
 
 

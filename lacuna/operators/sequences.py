@@ -7,21 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
+
+#: Values of the order that a task takes together: groups of any size are cut into such stretches.
+STRETCH = 1 << 14
+
 
 def islands(df: DataFrame, group: Sequence[str], order: str, state: Column) -> DataFrame:
-    """(group, state, first, last, length): maximal runs of rows with the same state."""
-    w = Window.partitionBy(*group).orderBy(order)
-    d = df.withColumn("state", state)
+    """(group, state, first, last, length): maximal runs of rows with the same state. `order` is a whole number. Runs are made in
+    stretches of it; the first and the last run of each stretch are then joined over the edges."""
+    g = list(group)
+    d = df.select(*g, F.col(order).alias("_o"), state.alias("state")).withColumn("_c", F.floor(F.col("_o") / STRETCH))
+    w = Window.partitionBy(*g, "_c").orderBy("_o")
     d = d.withColumn("_new", (~F.col("state").eqNullSafe(F.lag("state").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
     d = d.withColumn("_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*group, "state", "_id").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length")).drop("_id")
+    runs = d.groupBy(*g, "_c", "state", "_id").agg(F.min("_o").alias("first"), F.max("_o").alias("last"), F.count("*").alias("length"))
+    runs = runs.withColumn("_n", F.max("_id").over(Window.partitionBy(*g, "_c")))
+    edge = runs.where((F.col("_id") == 1) | (F.col("_id") == F.col("_n")))  # two for each stretch
+    v = Window.partitionBy(*g).orderBy("first")
+    joins = F.col("state").eqNullSafe(F.lag("state").over(v)) & (F.col("_id") == 1) & (F.lag("_c").over(v) != F.col("_c"))
+    edge = edge.withColumn("_isl", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*g, "state", "_isl").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"))
+    cols = [*g, "state", "first", "last", "length"]
+    out = runs.where((F.col("_id") > 1) & (F.col("_id") < F.col("_n"))).select(*cols).unionByName(edge.select(*cols))
+    return out
 
 
 def median_step(df: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
-    """(group, n, pitch): the median difference of consecutive values."""
-    w = Window.partitionBy(*group).orderBy(order)
-    d = df.withColumn("_d", F.col(value) - F.lag(value).over(w)).where("_d is not null")
-    return d.groupBy(*group).agg(F.count("*").alias("n"), F.expr("percentile(cast(_d as double), 0.5D)").alias("pitch"))
+    """(group, n, pitch): the median difference of consecutive values, in stretches of the order, whose edges are joined."""
+    g = list(group)
+    d = df.select(*g, F.col(order).alias("_o"), F.col(value).alias("_v")).withColumn("_c", F.floor(F.col("_o") / STRETCH))
+    steps = d.select(*g, (F.col("_v") - F.lag("_v").over(Window.partitionBy(*g, "_c").orderBy("_o"))).alias("_d"))
+    ends = d.groupBy(*g, "_c").agg(F.min_by("_v", "_o").alias("_a"), F.max_by("_v", "_o").alias("_b"))
+    over = ends.select(*g, (F.col("_a") - F.lag("_b").over(Window.partitionBy(*g).orderBy("_c"))).alias("_d"))
+    n = steps.unionByName(over).where("_d is not null").groupBy(*g, F.col("_d").cast("double").alias("_d")).agg(F.count("*").alias("_n"))
+    return n.groupBy(*g).agg(F.sum("_n").alias("n"), F.expr("percentile(_d, 0.5D, _n)").alias("pitch"))
 
 
 def windows_of(df: DataFrame, keep: Sequence[str], text: str, size: int, chunk: int = 256) -> DataFrame:
@@ -38,7 +59,7 @@ def common_runs(queries: DataFrame, targets: DataFrame, qkey: str, tkey: str, te
     seeds of `size` letters merged along diagonals. `apart` says of (qkey, tkey) which pairs count."""
     q = windows_of(queries, [qkey], text, size).withColumnRenamed("pos", "_qp")
     t = windows_of(targets, [tkey], text, size).withColumnRenamed("pos", "_tp")
-    j = q.join(t, "gram")
+    j = salted_join(t, q, ["gram"], [tkey, "_tp"], "inner")  # a gram may stand in a third of all texts
     if apart is not None:
         j = j.where(apart)
     j = j.select(qkey, tkey, "_qp", (F.col("_tp") - F.col("_qp")).alias("_diag"))
@@ -54,11 +75,16 @@ def chain_lines(scores: DataFrame, group: Sequence[str], line: str, pos: str, sc
     from 0; every group must have a row for each line and position."""
     g = list(group)
     wide = scores.groupBy(*g, pos).agg(*[F.max(F.when(F.col(line) == k, F.greatest(F.col(score), F.lit(0.0)))).alias(f"_s{k}") for k in range(lines)])
-    w = Window.partitionBy(*g).orderBy(pos).rangeBetween(lo, hi)
+    # a group is cut into stretches, each with as much of the next one as a chain can reach
+    halo = hi * max(0, lines - 1)
+    size = max(STRETCH, halo)
+    own = F.floor(F.col(pos) / size)
+    wide = wide.withColumn("_own", own).withColumn("_c", F.explode(F.array_compact(F.array(own, F.when(F.col(pos) - own * size < halo, own - 1)))))
+    w = Window.partitionBy(*g, "_c").orderBy(pos).rangeBetween(lo, hi)
     d = wide.withColumn("_t", F.coalesce(f"_s{lines - 1}", F.lit(0.0)))
     for k in reversed(range(lines - 1)):
         d = d.withColumn("_t", F.coalesce(f"_s{k}", F.lit(0.0)) + F.coalesce(F.max("_t").over(w), F.lit(0.0)))
-    return d.select(*g, pos, F.col("_t").alias(score))
+    return d.where("_own = _c").select(*g, pos, F.col("_t").alias(score))
 
 
 def suppressed(df: DataFrame, query: str, key: str, pos: str, score: str, apart: int = 50, top: int = 200, keep: int = 5) -> DataFrame:

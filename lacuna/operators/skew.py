@@ -85,3 +85,16 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """df hashed into a fixed number of partitions. Adaptive execution joins small partitions by their bytes, which would put
     costly work per row into a few tasks; it leaves this number alone."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def rank_bucket(df: DataFrame, value: str, key: str, parts: int = 256) -> Column:
+    """A bucket for `distributed_rank` by (value, key), key a string: between two of the quantiles of value, so that outliers or
+    a skewed distribution don't put all rows into a few; a quantile itself, which many rows can share, is a bucket of its own,
+    cut further by the first letters of the key. Quantiles are rough; only the sizes of the buckets hang on them."""
+    got = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 2 * parts)).first()[0]
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(got or []))]).cast("array<double>")
+    x = F.col(value).cast("double")
+    on = F.array_contains(cuts, x)
+    place = F.size(F.filter(cuts, lambda c: c < x)) * 2 + on.cast("int")
+    head = F.rpad(F.hex(F.encode(F.substring(F.col(key).cast("string"), 1, 8), "UTF-8")), 12, "0")
+    return F.struct(place.alias("place"), F.when(on, F.coalesce(F.substring(head, 1, 12), F.lit(""))).otherwise("").alias("head"))

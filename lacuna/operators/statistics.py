@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import running_total
+from .skew import rank_bucket, running_total
 
 
 def named_subsets(df: DataFrame, subsets: dict[str, Column], aggs: Sequence[Column], least: int = 10) -> DataFrame:
@@ -48,21 +48,16 @@ def control_z(real: DataFrame, controls: DataFrame, group: Sequence[str], score:
 
 
 def ordinal_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    """Places of rows by value, ties by key, from 0; sorted in ranges of the value, not in one task."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    width = (float(hi) - float(lo)) / 256 if lo is not None and hi > lo else 1.0
-    bucket = F.floor((F.col(value).cast("double") - float(lo or 0)) / width).cast("long")
-    return running_total(df.where(F.col(value).isNotNull()), [], bucket, [value, key], F.lit(1), name)
+    """Adds `name`: the place of each row by value, ties by key, from 0; sorted between quantiles of the value, not in one task.
+    Rows without a value go."""
+    d = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
+    return running_total(d, ["_all"], rank_bucket(d, value, key), [value, key], F.lit(1), name).drop("_all")
 
 
 def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Correlation of ordinal ranks (ties by key, no averaging); one row."""
-    d = df.where(f"{a} is not null and {b} is not null").withColumn("_all", F.lit(0))
-    for c, n in ((a, "ra"), (b, "rb")):
-        lo, hi = d.agg(F.min(c), F.max(c)).first()
-        width = (float(hi) - float(lo)) / 256 if lo is not None and hi > lo else 1.0
-        bucket = F.floor((F.col(c).cast("double") - float(lo or 0)) / width).cast("long")
-        d = running_total(d, ["_all"], bucket, [c, key], F.lit(1), n)
+    d = df.where(f"{a} is not null and {b} is not null")
+    d = ordinal_rank(ordinal_rank(d, a, key, "ra"), b, key, "rb")
     return d.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
@@ -106,6 +101,7 @@ def letter_model(df: DataFrame, text: Column, alphabet: str, barrier: str = "|",
 
     Every text begins with three barriers. Grams are counted within tasks; the counts are bounded by the alphabet."""
     v = len(alphabet)
+    text = F.regexp_replace(text, f"[^{alphabet}{barrier}]", barrier)  # so contexts are bounded by the alphabet
     padded = F.concat(F.lit(barrier * 3), text)
     i = F.sequence(F.lit(1), F.length(text))
     grams = F.transform(F.when(F.length(text) > 0, i), lambda k: F.substring(padded, k, F.lit(4)))
@@ -149,11 +145,8 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
 
 
 def prune_worst(df: DataFrame, loss: str, key: str, share: float) -> DataFrame:
-    """Adds `kept`: all but the share of rows with the greatest loss (ties by key)."""
-    n = df.count()
-    d = df.withColumn("_neg", -F.col(loss)).withColumn("_all", F.lit(0))
-    lo, hi = d.agg(F.min("_neg"), F.max("_neg")).first()
-    width = (float(hi) - float(lo)) / 256 if lo is not None and hi > lo else 1.0
-    bucket = F.floor((F.col("_neg").cast("double") - float(lo or 0)) / width).cast("long")
-    d = running_total(d, ["_all"], bucket, ["_neg", key], F.lit(1), "_place")
-    return d.withColumn("kept", F.col("_place") >= int(share * n)).drop("_neg", "_all", "_place")
+    """Adds `kept`: all but the share of rows with the greatest loss (ties by key). Rows without a loss go."""
+    d = df.withColumn("_neg", -F.col(loss))
+    n = d.where("_neg is not null").count()
+    d = ordinal_rank(d, "_neg", key, "_place")
+    return d.withColumn("kept", F.col("_place") >= int(share * n)).drop("_neg", "_place")

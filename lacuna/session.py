@@ -35,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set, else a local one (tests only)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,10 +49,11 @@ def shared_root(spark: SparkSession) -> str:
         return held.get().rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="lacuna-")
-    atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lacuna-")
+        atexit.register(shutil.rmtree, _LOCAL[app][7:], ignore_errors=True)
+    return _LOCAL[app]
 
 
 class WorkDir:
