@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calibration import fisher
 from .relational import top_per_group
 from .skew import distributed_rank
 
@@ -85,3 +86,41 @@ def expected_hits(hits: DataFrame, ratio: float = 1.5) -> DataFrame:
     out = hits.join(c, "q", "left")
     out = out.withColumn("p_decoy", (F.coalesce("_ge", F.lit(0)) + 1) / (F.coalesce("n_decoys", F.lit(0)) + 1)).drop("_ge", "n_decoys")
     return out.withColumn("E", F.col("p_decoy") * total)
+
+
+# ---------------------------------------------------------------- groups of readings
+def mixed_groups(pieces: DataFrame, ks: tuple[int, ...], draws: int, seed: str = "1") -> DataFrame:
+    """(k, draw, q): groups of k readings of k owners, which share no source, in a fixed random order; none where there are fewer
+    owners than k. pieces(q, owner)."""
+    h = lambda c: F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col(c)))
+    p = pieces.where("q is not null and owner is not null").select("q", "owner").distinct()
+    owners = p.select("owner").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    chosen = top_per_group(owners, ["draw"], [h("owner"), F.col("owner")], max(ks), "r")
+    one = chosen.join(p, "owner").groupBy("draw", "r").agg(F.min_by("q", F.struct(h("q"), "q")).alias("q"))
+    return _complete(one.withColumn("owner", F.lit("")), ks).drop("owner")
+
+
+def own_groups(pieces: DataFrame, ks: tuple[int, ...], draws: int, seed: str = "2") -> DataFrame:
+    """(owner, k, draw, q): groups of k readings of one owner; none of owners with fewer."""
+    p = pieces.where("q is not null and owner is not null").select("q", "owner").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("q")))
+    return _complete(top_per_group(p, ["owner", "draw"], [h, F.col("q")], max(ks), "r"), ks)
+
+
+def _complete(d: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Groups of each size out of ranked members r = 1, 2, ..., those that have all of them."""
+    d = d.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(ks)]), lambda k: k >= F.col("r"))))
+    full = d.groupBy("owner", "draw", "k").agg(F.count("*").alias("_n")).where("_n = k").drop("_n")
+    return d.join(full, ["owner", "draw", "k"], "left_semi").select("owner", "k", "draw", "q")
+
+
+def group_validation(p: DataFrame, mixed: DataFrame, own: DataFrame) -> DataFrame:
+    """(k, groups, own, threshold, over, over_own): groups of one owner, how many have it as the document of the largest sum of
+    -ln p, the statistic that 1 % of mixed groups exceed, and how many groups reach it, and of these how many with their owner.
+    p(q, doc, p), groups from `mixed_groups` and `own_groups`."""
+    null = fisher(mixed.join(p, "q"), ["k", "draw"], "doc")
+    limit = null.groupBy("k").agg(F.expr("percentile(stat, 0.99D)").alias("threshold"))
+    real = fisher(own.join(p, "q"), ["owner", "k", "draw"], "doc").join(limit, "k", "left")
+    hit, over = F.col("doc") == F.col("owner"), F.coalesce(F.col("stat") >= F.col("threshold"), F.lit(False))
+    g = real.groupBy("k", "threshold").agg(F.count("*").alias("groups"), F.count_if(hit).alias("own"), F.count_if(over).alias("over"), F.count_if(over & hit).alias("over_own"))
+    return g.select("k", "groups", "own", "threshold", "over", "over_own")

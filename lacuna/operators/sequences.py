@@ -87,16 +87,16 @@ def chain_lines(scores: DataFrame, group: Sequence[str], line: str, pos: str, sc
     return d.where("_own = _c").select(*g, pos, F.col("_t").alias(score))
 
 
-def suppressed(df: DataFrame, query: str, key: str, pos: str, score: str, apart: int = 50, top: int = 200, keep: int = 5) -> DataFrame:
-    """Of each query's best `top` rows, the best that are at least `apart` positions from every better one kept of the same key;
-    at most `keep`, with `rank`. Of equal scores the lesser key and position come first. Greedy, so a small fold over at most
-    `top` rows of each query; it stays in the JVM."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), key, pos)
+def suppressed(df: DataFrame, query: str, key: str, pos: str, score: str, apart: int = 50, top: int = 200, keep: int = 5, within: bool = False) -> DataFrame:
+    """Of each query's best `top` rows, the best that are at least `apart` positions from every better one kept; at most `keep`,
+    with `rank`. With `within` positions are those in a key, and rows of different keys are far apart. Greedy, so a small fold
+    over at most `top` rows of each query; it stays in the JVM."""
+    w = Window.partitionBy(query).orderBy(F.desc(score), *([key] if within else []), pos)
     d = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     item = F.struct(F.col("_r"), F.col(pos).cast("long").alias("p"), F.col(score).cast("double").alias("s"), F.col(key).cast("string").alias("k"))
     g = d.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("a"))
     none = F.slice(F.col("a"), 1, 0)
-    near = lambda x: lambda y: y["k"].eqNullSafe(x["k"]) & (F.abs(y["p"] - x["p"]) < apart)
+    near = lambda x: lambda y: (y["k"].eqNullSafe(x["k"]) if within else F.lit(True)) & (F.abs(y["p"] - x["p"]) < apart)
     fold = F.aggregate("a", none, lambda acc, x: F.when((F.size(acc) < keep) & ~F.exists(acc, near(x)), F.array_append(acc, x)).otherwise(acc))
     out = g.select(query, F.posexplode(fold).alias("_i", "x"))
     return out.select(query, (F.col("_i") + 1).alias("rank"), F.col("x.k").alias(key), F.col("x.p").alias(pos), F.col("x.s").alias(score))

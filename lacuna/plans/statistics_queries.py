@@ -352,3 +352,18 @@ def shuffled_controls(spark, sf):
     s = C.shuffled_controls(d, ["line_key"], "i", 2)
     g = s.groupBy("line_key", "rep").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("a"))
     return g.select("line_key", "rep", F.array_join("a.c", "").alias("text"))
+
+
+@query(
+    f"WITH {CORPUS}, c AS (SELECT line_key, sg, letters, floor(ln(length(letters)) / ln(1.2)) AS b, md5('9|' || line_key) AS h FROM corpus WHERE sg IS NOT NULL AND length(letters) > 0), n AS (SELECT line_key, sg, letters, lead(line_key) OVER w AS other, lead(sg) OVER w AS sg2, lead(letters) OVER w AS t FROM c WINDOW w AS (PARTITION BY b, substr(h, 1, 1) ORDER BY h, line_key)) SELECT line_key, other, round(levenshtein({K.BYTES.format('letters')}, {K.BYTES.format('t')}) / length(letters), 6) AS err FROM n WHERE sg2 <> sg"
+)
+def random_partners(spark, sf):
+    """A random line of another scroll and of like length for each line, and how far apart they are: the baseline of error rates.
+    Lines of a band of lengths are taken in a random order, in sixteen parts."""
+    from pyspark.sql import Window
+
+    c = K.corpus_lines(spark, sf).where("sg is not null and length(letters) > 0")
+    c = c.select("line_key", "sg", "letters", F.floor(F.log(F.length("letters").cast("double")) / F.log(F.lit(1.2))).alias("b"), F.md5(F.concat_ws("|", F.lit("9"), "line_key")).alias("h"))
+    w = Window.partitionBy("b", F.substring("h", 1, 1)).orderBy("h", "line_key")
+    n = c.select("line_key", "sg", "letters", F.lead("line_key").over(w).alias("other"), F.lead("sg").over(w).alias("sg2"), F.lead("letters").over(w).alias("t"))
+    return n.where("sg2 <> sg").select("line_key", "other", F.round(F.levenshtein("letters", "t") / F.length("letters"), 6).alias("err"))

@@ -118,3 +118,23 @@ def test_patterns_with_unsure_letters(spark):
     e = spark.createDataFrame([("ab",), ("a?",), ("[ab]b",), ("",)], "p string").select("p", P.log_expected(F.col("p"), {"a": 0.25, "b": 0.5}, F.lit(1000)).alias("e")).collect()
     want = {"ab": 1000 * 0.125, "a?": 250.0, "[ab]b": 1000 * 0.375, "": 1000.0}
     assert all(abs(r["e"] - math.log(want[r["p"]])) < 1e-9 for r in e)
+
+
+def test_groups(spark):
+    pieces = [(f"q{i:02}", f"o{i % 4}") for i in range(18)] + [("alone", "z"), (None, "o1"), ("x", None)]
+    d = spark.createDataFrame(pieces + pieces[:3], "q string, owner string")
+    owner = dict(pieces)
+    mixed = {}
+    for r in U.mixed_groups(d, (1, 3, 9), 10).collect():
+        mixed.setdefault((r["k"], r["draw"]), []).append(r["q"])
+    assert set(mixed) == {(k, i) for k in (1, 3) for i in range(1, 11)}
+    assert all(len(v) == k and len({owner[q] for q in v}) == k for (k, _), v in mixed.items())
+    own = {}
+    for r in U.own_groups(d, (1, 5), 6).collect():
+        own.setdefault((r["owner"], r["k"], r["draw"]), set()).add(r["q"])
+    assert set(own) == {(o, 1, i) for o in ("o0", "o1", "o2", "o3", "z") for i in range(1, 7)} | {(o, 5, i) for o in ("o0", "o1") for i in range(1, 7)}
+    assert all(len(v) == k and {owner[q] for q in v} == {o} for (o, k, _), v in own.items())
+    p = spark.createDataFrame([(q, doc, 0.01 if doc == o else 0.5) for q, o in pieces[:19] for doc in ("o0", "o1", "o2", "o3", "z")], "q string, doc string, p double")
+    got = {r["k"]: r for r in U.group_validation(p, U.mixed_groups(d, (1, 3), 10), U.own_groups(d, (1, 3), 6)).collect()}
+    assert got[1]["groups"] == got[1]["own"] == 30 and got[3]["groups"] == got[3]["own"] == got[3]["over"] == got[3]["over_own"] == 24
+    assert abs(got[1]["threshold"] + math.log(0.01)) < 1e-5

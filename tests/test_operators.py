@@ -88,17 +88,6 @@ def test_suppression_collapses_near_hits(spark):
     assert [r["p"] for r in Q.suppressed(d, "q", "k", "p", "s").orderBy("rank").collect()] == [0, 50, 120]
 
 
-def test_best_stretch_is_kadane(spark):
-    rnd = random.Random(6)
-    x = [rnd.uniform(-1, 1) for _ in range(50)]
-    best = cur = -9.0
-    for v in x:
-        cur = max(cur, 0) + v
-        best = max(best, cur)
-    d = spark.createDataFrame([("g", i, v) for i, v in enumerate(x)], "g string, i int, v double")
-    assert Q.best_stretch(d, ["g"], "i", "v").first()["best"] == pytest.approx(best)
-
-
 def test_common_runs(spark):
     q = spark.createDataFrame([("q", "xxabcdefyyy"), ("e", "")], "q string, s string")
     t = spark.createDataFrame([("t", "zabcdefzzabcde"), ("n", None)], "t string, s string")
