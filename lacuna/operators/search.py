@@ -56,11 +56,16 @@ def ordered_window(df: DataFrame, key: str, text: str, patterns: Sequence[str],
     first = "".join(pattern_classes(patterns[0]))
     size = len(pattern_classes(patterns[0]))
     t = F.col(text)
-    d = df.where(t.rlike(first)).select(key, t.alias("_t"), F.explode(F.sequence(F.lit(0), F.floor(F.length(t) / 1024).cast("int"))).alias("_c"))
-    # places are looked for in pieces of a text, as substrings of long texts are slow
-    d = d.withColumn("_b", F.substring("_t", F.col("_c") * 1024 + 1, F.lit(1024 + size - 1))).where(F.col("_b").rlike(first))
-    at = F.filter(F.sequence(F.lit(0), F.length("_b") - size), lambda i: F.substring("_b", i + 1, F.lit(size)).rlike(f"^{first}$"))
-    d = d.where(F.length("_b") >= size).select(key, "_t", F.explode(at).alias("_i"), "_c").select(key, "_t", (F.col("_c") * 1024 + F.col("_i")).cast("long").alias("p0"))
+    # places are looked for in pieces of pieces of a text, as substrings of long texts are slow
+    d = df.where(t.rlike(first)).select(key, t.alias("_t"), F.explode(F.sequence(F.lit(0), F.floor(F.length(t) / 4096).cast("int"))).alias("_c"))
+    d = d.withColumn("_b", F.substring("_t", F.col("_c") * 4096 + 1, F.lit(4096 + size - 1))).where(F.col("_b").rlike(first))
+    d = d.withColumn("_d", F.explode(F.sequence(F.lit(0), F.least(F.lit(31), F.floor(F.length("_b") / 128).cast("int")))))
+    d = d.withColumn("_b", F.substring("_b", F.col("_d") * 128 + 1, F.lit(128 + size - 1))).where(F.col("_b").rlike(first))
+    # the letters before the first unsure one are compared before the pattern is
+    sure = patterns[0][: min((patterns[0] + "?").index(c) for c in "?[" if c in patterns[0] + "?")]
+    begins = lambda i: F.substring("_b", i + 1, F.lit(len(sure))) == sure if sure else F.lit(True)
+    at = F.filter(F.sequence(F.lit(0), F.length("_b") - size), lambda i: begins(i) & F.substring("_b", i + 1, F.lit(size)).rlike(f"^{first}$"))
+    d = d.where(F.length("_b") >= size).select(key, "_t", "_c", "_d", F.explode(at).alias("_i")).select(key, "_t", (F.col("_c") * 4096 + F.col("_d") * 128 + F.col("_i")).cast("long").alias("p0"))
     for i, x in enumerate(patterns[1:], 1):
         one = pattern_classes(x)
         part = F.substring("_t", (F.col(f"p{i - 1}") + lo + 1).cast("int"), F.lit(hi - lo + len(one)))

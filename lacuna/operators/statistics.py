@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import WorkDir
 from .skew import rank_bucket, running_total
 
 
@@ -101,11 +102,13 @@ def letter_model(df: DataFrame, text: Column, alphabet: str, barrier: str = "|",
 
     Every text begins with three barriers. Grams are counted within tasks; the counts are bounded by the alphabet."""
     v = len(alphabet)
-    text = F.regexp_replace(text, f"[^{alphabet}{barrier}]", barrier)  # so contexts are bounded by the alphabet
     padded = F.concat(F.lit(barrier * 3), text)
     i = F.sequence(F.lit(1), F.length(text))
     grams = F.transform(F.when(F.length(text) > 0, i), lambda k: F.substring(padded, k, F.lit(4)))
     g = df.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    # anything else is a barrier too, so contexts are bounded by the alphabet
+    g = g.groupBy(F.regexp_replace("g", f"[^{alphabet}{barrier}]", barrier).alias("g")).agg(F.sum("n").alias("n"))
+    g = WorkDir(df.sparkSession, "letters").save(g, "grams")  # as each order counts them
     g = g.where(~F.substring("g", 4, 1).isin(barrier)).select(F.substring("g", 1, 3).alias("ctx"), F.substring("g", 4, 1).alias("letter"), "n")
     letters = F.explode(F.array(*[F.lit(c) for c in alphabet])).alias("letter")
 

@@ -267,7 +267,7 @@ def search_hits(spark, sf):
 def line_surprisal(spark, sf):
     """How unexpected each line's letters are to the letter model of the corpus."""
     c = K.corpus_lines(spark, sf)
-    m = S.letter_model(c, F.col("letters"), H.ALPHABET)
+    m = S.letter_model(c, F.col("letters"), H.ALPHABET, unseen=True)
     return P.surprisal(c, "line_key", F.col("letters"), m).select("line_key", F.round("surprisal", 6).alias("surprisal"))
 
 
