@@ -347,11 +347,10 @@ def hash_sample(spark, sf):
     f"WITH {_LN}, p AS (SELECT line_key, i, substr(text, i, 1) AS c FROM (SELECT line_key, text, unnest(range(1, length(text) + 1)) AS i FROM rl WHERE text IS NOT NULL)), r AS (SELECT line_key, rep, i, c, md5('0|' || line_key || '|' || rep || '|' || i) AS h FROM p, range(2) t(rep)), o AS (SELECT *, row_number() OVER (PARTITION BY line_key, rep ORDER BY h, i) AS o FROM r) SELECT line_key, CAST(rep AS INTEGER) AS rep, string_agg(c, '' ORDER BY o) AS text FROM o GROUP BY line_key, rep"
 )
 def shuffled_controls(spark, sf):
-    """Two permutations of each line's letters."""
-    d = restored(spark, sf).where("text is not null").select("line_key", F.posexplode(F.split("text", "")).alias("i", "c")).where("c <> ''").withColumn("i", F.col("i") + 1)
-    s = C.shuffled_controls(d, ["line_key"], "i", 2)
-    g = s.groupBy("line_key", "rep").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("a"))
-    return g.select("line_key", "rep", F.array_join("a.c", "").alias("text"))
+    """Two permutations of each line's letters, which stay in the line's row."""
+    letters = F.transform(F.split("text", ""), lambda c, i: F.named_struct(F.lit("i"), i + 1, F.lit("c"), c))
+    d = restored(spark, sf).where("text <> ''").select("line_key", F.explode(F.array(F.lit(0), F.lit(1))).alias("rep"), letters.alias("a"))
+    return d.select("line_key", "rep", F.array_join(F.transform(C.shuffled(F.col("a"), "i", "0", "line_key", "rep"), lambda x: x["c"]), "").alias("text"))
 
 
 @query(
