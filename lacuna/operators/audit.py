@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import WorkDir
 from .calibration import fisher
 from .relational import top_per_group
 from .skew import distributed_rank
@@ -35,8 +36,18 @@ def decoys(readings: DataFrame, groups: DataFrame, grams_of_readings: DataFrame,
     span = min(3 * many, size)
     steps = F.sequence(F.lit(0), F.lit(span - 1)) if span else F.array().cast("array<int>")
     d = groups.select("g", "comp", first.alias("_s"), F.explode(steps).alias("k")).withColumn("_r", (F.col("_s") + F.col("k")) % max(size, 1))
-    d = d.join(pool, "_r").where((F.col("ms") != F.col("g")) & ~F.coalesce(F.col("comp") == F.col("_comp"), F.lit(False))).select("g", "q", "k")
-    same = d.join(grams_of_readings.select("q", "gram").distinct(), "q").join(grams_of_groups.select("g", "gram").distinct(), ["g", "gram"], "left_semi").select("g", "q").distinct()
+    # the planner takes the groups for as few as they were before they were repeated, and would collect and broadcast them
+    d = d.hint("merge").join(pool, "_r").where((F.col("ms") != F.col("g")) & ~F.coalesce(F.col("comp") == F.col("_comp"), F.lit(False))).select("g", "q", "k")
+    # grams of few groups are met by the grams; those of many by the candidates, of which a group has 3 * many at most
+    work = WorkDir(readings.sparkSession, "decoys")
+    gq = work.save(grams_of_readings.select("q", "gram").distinct(), "of_readings")
+    gg = grams_of_groups.select("g", "gram").join(groups.select("g").distinct(), "g", "left_semi")
+    gg = work.save(gg.join(gq.select("gram").distinct(), "gram", "left_semi").select("g", "gram").distinct(), "of_groups")
+    common = gg.groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") > 3 * many).select("gram", F.lit(True).alias("_common"))
+    gg = gg.join(common, "gram", "left")
+    rare = gq.join(gg.where("_common is null"), "gram").select("g", "q")
+    of_many = d.select("g", "q").join(gq.join(common, "gram").select("q", "gram"), "q").join(gg.where("_common"), ["g", "gram"], "left_semi").select("g", "q")
+    same = rare.unionByName(of_many).distinct()
     return top_per_group(d.join(same, ["g", "q"], "left_anti"), ["g"], [F.col("k")], many, "_n").drop("_n")
 
 

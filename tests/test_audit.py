@@ -34,6 +34,29 @@ def test_decoys_against_brute_force(spark):
     assert U.decoys(r.limit(0), g, gq, gg).count() == 0 and U.decoys(r, g.limit(0), gq, gg).count() == 0
 
 
+def test_decoys_with_grams_of_many_groups(spark):
+    """A gram in more groups than there are candidates is met from the candidates, a rare one from the grams."""
+    readings = [(f"q{i:02}", f"m{i}", None) for i in range(30)]
+    groups = [(f"g{i}", None) for i in range(8)]
+    of_groups = {g: {"all"} | ({"one"} if i == 3 else set()) for i, (g, _) in enumerate(groups[:7])}
+    grams = {q: {"all"} if i % 3 == 0 else {"one"} if i % 3 == 1 else set() for i, (q, _, _) in enumerate(readings)}
+    r, g = spark.createDataFrame(readings, "q string, ms string, comp string"), spark.createDataFrame(groups, "g string, comp string")
+    gq = spark.createDataFrame([(q, x) for q, v in grams.items() for x in v], "q string, gram string")
+    gg = spark.createDataFrame([(k, x) for k, v in of_groups.items() for x in v] + [("other", "all")], "g string, gram string")
+    d = U.decoys(r, g, gq, gg, 2)
+    h = lambda s: hashlib.md5(f"11|{s}".encode()).hexdigest()
+    order = sorted(q for q, _, _ in readings)
+    order.sort(key=h)
+    want = set()
+    for k, _ in groups:
+        fit = [(k, order[(int(h(k)[:7], 16) + n) % 30], n) for n in range(6)]
+        want |= set([x for x in fit if not grams[x[1]] & of_groups.get(k, set())][:2])
+    assert {tuple(x) for x in d.collect()} == want
+    # the candidates, 3 * many for each group, aren't collected for a broadcast
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in x and "_r#" in x for x in plan.splitlines())
+
+
 def test_controls_are_near_in_length(spark):
     own = spark.createDataFrame([("q1", "g", 30), ("q2", "g", 1000), ("q3", "h", 10)], "q string, g string, n long")
     pool = [("g", f"c{n:03}", n) for n in range(20, 80)] + [("h", "q3", 10), ("h", "c1", 12)]
