@@ -101,6 +101,20 @@ def not_done(work: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     return work.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def matched_totals(queries: DataFrame, controls: DataFrame, key: str, q: str, c: str, ckey: str, ratio: float = 1.5, least: int = 20) -> DataFrame:
+    """(key, near, n, total): how many `matched_controls` each query has and their summed length, without a row for each pair.
+    Lengths decide, so controls in the band are counted by length, and each distinct length of queries once."""
+    sizes = controls.where(F.col(c) > 0).groupBy(F.col(c).alias("_c")).agg(F.count("*").alias("_k"))
+    asked = queries.where(F.col(q) > 0)
+    band = ratio_band(asked.select(F.col(q).alias("_q")).distinct(), sizes, "_q", "_c", ratio)
+    band = band.groupBy("_q").agg(F.sum("_k").alias("n"), F.sum(F.col("_c").cast("long") * F.col("_k")).alias("total")).where(F.col("n") >= least).withColumnRenamed("_q", q)
+    near = nearest_by_ratio(asked.join(band, q, "left_anti"), controls, key, q, c, ckey, least)
+    near = near.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(c).cast("long")).alias("total")).withColumn("near", F.lit(True))
+    # rows of one key are one query, as in counting its pairs
+    many = asked.join(band, q).groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("near", F.lit(False))
+    return many.unionByName(near).select(key, "near", "n", "total")
+
+
 def matched_controls(queries: DataFrame, controls: DataFrame, key: str, q: str, c: str, ckey: str, ratio: float = 1.5, least: int = 20) -> DataFrame:
     """queries ⋈ controls of similar length, with `near` False; of a query with fewer than `least` of them instead the `least`
     nearest ones, with `near` True."""

@@ -334,7 +334,7 @@ def matched_controls(spark, sf):
     d = K.pairs(spark, sf).where("preserved > 0")
     q = d.where("split in ('val', 'test')").select("name", F.col("preserved").alias("pq"))
     c = d.where("split = 'train'").select(F.col("name").alias("control"), F.col("preserved").alias("pc"))
-    return R.matched_controls(q, c, "name", "pq", "pc", "control", 1.05).groupBy("name", "near").agg(F.count("*").alias("n"), F.sum("pc").cast("long").alias("letters"))
+    return R.matched_totals(q, c, "name", "pq", "pc", "control", 1.05).withColumnRenamed("total", "letters")
 
 
 @query(f"WITH {_LN}, k AS (SELECT line_key, sg, row_number() OVER (PARTITION BY sg ORDER BY md5('7|' || line_key), line_key) AS r FROM rl WHERE sg IS NOT NULL) SELECT line_key, sg FROM k WHERE r <= 3")

@@ -32,3 +32,18 @@ def test_shuffled_lines_stay_in_their_rows(spark, tmp_path):
     h = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
     want = {(k, rep, "".join(t[i] for i in sorted(range(len(t)), key=lambda i: h(0, k, rep, i + 1)))) for k, _, t in rows if t for rep in (0, 1)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_matched_totals_without_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lacuna.operators import relational as R
+
+    rnd = random.Random(5)
+    q = spark.createDataFrame([(f"q{i:02}", rnd.choice([0, 3, 10, 11, 40, 400, None])) for i in range(30)], "q string, lq int")
+    c = spark.createDataFrame([(f"c{i:02}", rnd.choice([0, 2, 10, 11, 12, 40, 42])) for i in range(90)], "c string, lc int")
+    want = R.matched_controls(q, c, "q", "lq", "lc", "c", 1.2, 20).groupBy("q", "near").agg(F.count("*"), F.sum("lc").cast("long"))
+    got = R.matched_totals(q, c, "q", "lq", "lc", "c", 1.2, 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r["near"] for r in got.collect()} == {True, False}
