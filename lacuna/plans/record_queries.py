@@ -14,15 +14,16 @@ from ..session import WorkDir, table
 _FIELDS = {"inventory_images": ["text_fragments"], "pairs": ["links", "lines"]}
 
 
-def _flat(spark: SparkSession, sf: str, name: str, keep: list[str], keys_only: bool = False):
-    """The flat tables of one input table, only those asked for."""
-    d = flatten_nested(table(spark, sf, name), "rec_id", _FIELDS[name], keep, keys_only)
-    return d.written(WorkDir(spark, "p1"), name) if keys_only or len(keep) > 1 else d
+def _flat(spark: SparkSession, sf: str, name: str, keep: list[str] | None = None):
+    """The flat tables of one input table: all of them, written in one pass, or only one that is asked for."""
+    d = flatten_nested(table(spark, sf, name), "rec_id", _FIELDS[name], keep)
+    return d.written(WorkDir(spark, "p1"), name) if len(d.tables) > 1 else d
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    images = _flat(spark, sf, "inventory_images", ["text_fragments"], True)
-    pairs = _flat(spark, sf, "pairs", ["links", "lines"], True)
+    """Both inputs taken apart into all their tables, with all columns; of these the places of the elements of three."""
+    images = _flat(spark, sf, "inventory_images")
+    pairs = _flat(spark, sf, "pairs")
 
     def keys(flat, tag: str) -> DataFrame:
         return flat.table(tag).select(F.col("root_key").alias("rec_id"), F.lit(tag).alias("path"), "map_key", "pos")

@@ -70,3 +70,21 @@ def test_empty_table_and_no_nested_column(spark):
 def test_one_scan_and_no_shuffle(spark):
     plan = flatten_nested(make(spark), "rec_id").rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_the_query_writes_all_tables_with_their_columns(spark, monkeypatch):
+    from lacuna.plans import record_queries as Q
+
+    seen, real = {}, Q.flatten_nested
+
+    def recorded(df, key, fields, *more):
+        f = real(df, key, fields, *more)
+        written = f.written
+        f.written = lambda work, name: seen.setdefault(name, written(work, name))
+        return f
+
+    monkeypatch.setattr(Q, "flatten_nested", recorded)
+    assert Q.p1_found(spark, "/root/testdata/sf0.001").count()
+    assert {t for f in seen.values() for t in f.tags} == {"text_fragments", "text_fragments.etcbc", "links", "links.etcbc", "lines"}
+    assert {"text", "marks"} <= set(seen["pairs"].table("lines").columns) and {"edition", "tf_name"} <= set(seen["inventory_images"].table("text_fragments").columns)
+    assert all(seen[n].table(t).count() for n, t in (("pairs", "links.etcbc"), ("inventory_images", "text_fragments.etcbc"), ("pairs", "lines")))
