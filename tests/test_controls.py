@@ -47,3 +47,17 @@ def test_matched_totals_without_pairs(spark):
     want = R.matched_controls(q, c, "q", "lq", "lc", "c", 1.2, 20).groupBy("q", "near").agg(F.count("*"), F.sum("lc").cast("long"))
     got = R.matched_totals(q, c, "q", "lq", "lc", "c", 1.2, 20)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r["near"] for r in got.collect()} == {True, False}
+
+
+def test_shuffled_lines_are_the_shuffled_controls(spark):
+    lines = [("a", 0, "אבגדהוז"), ("a", 1, "חט"), ("b/c", 0, "אאא"), ("e", 0, "")]
+    d = spark.createDataFrame(lines, "q string, line int, t string")
+    rows = spark.createDataFrame([(q, n, i, c) for q, n, t in lines for i, c in enumerate(t)], "q string, line int, i int, c string")
+    want = {}
+    for r in C.shuffled_controls(rows, ["q", "line"], "i", 4).collect():
+        want.setdefault((r["q"], r["line"], r["rep"]), {})[r["i"]] = r["c"]
+    got = {(r["q"], r["line"], r["rep"]): r["t"] for r in C.shuffled_lines(d, ["q", "line"], "t", 4).collect()}
+    assert got == {k: "".join(v[i] for i in sorted(v)) for k, v in want.items()} and len(got) == 12
+    # a line's letters stay in one row
+    plan = C.shuffled_lines(d, ["q", "line"], "t", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate") == 1
