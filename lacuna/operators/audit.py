@@ -128,10 +128,15 @@ def _complete(d: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 def group_validation(p: DataFrame, mixed: DataFrame, own: DataFrame) -> DataFrame:
     """(k, groups, own, threshold, over, over_own): groups of one owner, how many have it as the document of the largest sum of
     -ln p, the statistic that 1 % of mixed groups exceed, and how many groups reach it, and of these how many with their owner.
-    p(q, doc, p), groups from `mixed_groups` and `own_groups`."""
+    p(q, doc, p), groups from `mixed_groups` and `own_groups`; rows with p = 1 may be left out, but for one of each reading. Draws
+    that are the same readings, as most are of an owner with few, are summed up once."""
     null = fisher(mixed.join(p, "q"), ["k", "draw"], "doc")
     limit = null.groupBy("k").agg(F.expr("percentile(stat, 0.99D)").alias("threshold"))
-    real = fisher(own.join(p, "q"), ["owner", "k", "draw"], "doc").join(limit, "k", "left")
+    drawn = own.groupBy("owner", "k", "draw").agg(F.array_sort(F.collect_list("q")).alias("qs")).groupBy("owner", "k", "qs").agg(F.count("*").alias("_n"), F.min("draw").alias("draw"))
+    drawn = WorkDir(p.sparkSession, "drawn").save(drawn, "drawn")
+    of = ["owner", "k", "draw"]
+    real = fisher(drawn.select(*of, F.explode("qs").alias("q")).join(p, "q"), of, "doc").join(drawn.select(*of, "_n"), of).join(limit, "k", "left")
     hit, over = F.col("doc") == F.col("owner"), F.coalesce(F.col("stat") >= F.col("threshold"), F.lit(False))
-    g = real.groupBy("k", "threshold").agg(F.count("*").alias("groups"), F.count_if(hit).alias("own"), F.count_if(over).alias("over"), F.count_if(over & hit).alias("over_own"))
+    n = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).alias(name)
+    g = real.groupBy("k", "threshold").agg(F.sum("_n").alias("groups"), n(hit, "own"), n(over, "over"), n(over & hit, "over_own"))
     return g.select("k", "groups", "own", "threshold", "over", "over_own")
