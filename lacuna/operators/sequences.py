@@ -6,9 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .skew import salted_join
+from ..session import WorkDir
+from .skew import crossed
 
+#: Letters of queries and of targets that are compared in one task for common runs.
+RUN_GROUP, RUN_BLOCK = 6_000_000, 12_000_000
+NO_LETTER = 0xFFFFFFFF
 
 #: Values of the order that a task takes together: groups of any size are cut into such stretches.
 STRETCH = 1 << 14
@@ -54,19 +60,91 @@ def windows_of(df: DataFrame, keep: Sequence[str], text: str, size: int, chunk:
     return d.select(*keep, F.inline(grams))
 
 
-def common_runs(queries: DataFrame, targets: DataFrame, qkey: str, tkey: str, text: str, size: int, apart: Column | None = None) -> DataFrame:
-    """(qkey, tkey, q_start, t_start, length): maximal runs of at least `size` letters that a query and a target share, by
-    seeds of `size` letters merged along diagonals. `apart` says of (qkey, tkey) which pairs count."""
-    q = windows_of(queries, [qkey], text, size).withColumnRenamed("pos", "_qp")
-    t = windows_of(targets, [tkey], text, size).withColumnRenamed("pos", "_tp")
-    j = salted_join(t, q, ["gram"], [tkey, "_tp"], "inner")  # a gram may stand in a third of all texts
-    if apart is not None:
-        j = j.where(apart)
-    j = j.select(qkey, tkey, "_qp", (F.col("_tp") - F.col("_qp")).alias("_diag"))
-    w = Window.partitionBy(qkey, tkey, "_diag").orderBy("_qp")
-    j = j.withColumn("_isl", F.col("_qp") - F.row_number().over(w))
-    g = j.groupBy(qkey, tkey, "_diag", "_isl").agg(F.min("_qp").alias("q_start"), F.count("*").alias("_n"))
-    return g.select(qkey, tkey, "q_start", (F.col("q_start") + F.col("_diag")).alias("t_start"), (F.col("_n") + size - 1).alias("length"))
+def common_runs(queries: DataFrame, targets: DataFrame, qkey: str, tkey: str, text: str, size: int, apart: tuple[str, str] | None = None, group: int = RUN_GROUP, block: int = RUN_BLOCK) -> DataFrame:
+    """(qkey, tkey, q_start, t_start, length): maximal runs of at least `size` letters that a query and a target share. `apart`
+    names a column of the queries and one of the targets that must differ, and not be null. Keys are strings or numbers.
+
+    Parts of about `group` and `block` letters of both meet in tasks of their own, in which places with equal seeds are merged,
+    those that begin a run are kept and are followed to its end: neither seeds nor their pairs are sent about or written."""
+    of_q, of_t = apart or (None, None)
+    cols = lambda df, key, of: df.where(F.length(text) >= size).select(F.col(key).alias("k"), F.col(text).alias("s"), (F.col(of) if of else F.lit(None)).cast("string").alias("f"))
+    work = WorkDir(queries.sparkSession, "runs")
+    q, t = work.save(cols(queries, qkey, of_q), "queries"), work.save(cols(targets, tkey, of_t), "targets")
+    letters = lambda df: int(df.agg(F.sum(F.length("s"))).first()[0] or 0)
+    groups, n = max(1, -(-letters(q) // group)), letters(t)
+    blocks = max(1, -(-n // block), min(-(-2 * q.sparkSession.sparkContext.defaultParallelism // groups), -(-n // 50_000)))
+    schema = T.StructType([T.StructField(qkey, q.schema["k"].dataType), T.StructField(tkey, t.schema["k"].dataType), *T._parse_datatype_string("q_start int, t_start int, length int").fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for x in range(batch.num_rows):
+                left, right = (pa.concat_arrays([batch.column(i)[x].values]) for i in (0, 1))
+                for i, j, a, b, n in merged_runs(left.field(1), right.field(1), size, (left.field(2), right.field(2)) if apart else None):
+                    yield pa.RecordBatch.from_arrays([left.field(0).take(pa.array(i)), right.field(0).take(pa.array(j)), *(pa.array(v, pa.int32()) for v in (a, b, n))], schema=kinds)
+
+    return crossed(q, t, "k", "k", groups, blocks).mapInArrow(run, schema)
+
+
+def merged_runs(left, right, size: int, of=None, piece: int = 1 << 20):
+    """Maximal common runs of the texts of two Arrow arrays, in batches: (indexes of left, of right, starts in both, lengths).
+    Seeds are compared by a number that other letters could give too, so a run is followed from its first letter on."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def laid(texts):
+        """(letters, each text with a letter of its own side after it; text and place of each letter; numbers of seeds)."""
+        n = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(n + 1)))
+        codes = np.full(int(starts[-1]) + size, NO_LETTER, dtype=np.uint32)
+        which = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+        inner = np.arange(int(starts[-1])) != np.repeat(starts[1:] - 1, n + 1)
+        codes[: len(inner)][inner] = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
+        seeds = np.zeros(len(inner), dtype=np.uint64)
+        for i in range(size):
+            seeds = seeds * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(inner)]
+        at = np.flatnonzero(np.repeat(starts[1:] - 1, n + 1) - np.arange(len(inner)) >= size)  # a seed doesn't leave its text
+        return codes, which, starts, seeds[at] ^ (seeds[at] >> np.uint64(29)), at
+
+    a = laid(left)
+    if of:
+        x = pa.concat_arrays([o.cast(pa.string()) for o in of]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        family = x[: len(left)], x[len(left) :]
+    oa = np.argsort(a[3])
+    known, first, many = np.unique(a[3][oa], return_index=True, return_counts=True)
+    cut = np.cumsum(pc.utf8_length(right).to_numpy()) // (2 * piece)
+    for base, end in zip(*(np.searchsorted(cut, np.unique(cut), side=s) for s in ("left", "right"))) if len(known) else []:
+        b = laid(right.slice(base, end - base))
+        b[0][b[0] == NO_LETTER] -= 1  # what follows or precedes a text is equal to nothing
+        ob = np.argsort(b[3])
+        i = np.minimum(np.searchsorted(known, b[3][ob]), len(known) - 1)
+        hit = known[i] == b[3][ob]
+        places, i = b[4][ob[hit]], i[hit]
+        # the places of each seed, in pieces of about as many pairs
+        cuts = np.cumsum(many[i]) // piece
+        for lo, hi in zip(*(np.searchsorted(cuts, np.unique(cuts), side=s) for s in ("left", "right"))):
+            n = many[i[lo:hi]]
+            q = a[4][oa[np.repeat(first[i[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+            t = np.repeat(places[lo:hi], n)
+            begins = (a[0][q - 1] != b[0][t - 1]) | (q == 0) | (t == 0)
+            q, t = q[begins], t[begins]
+            if of:
+                f, g = family[0][a[1][q]], family[1][base + b[1][t]]
+                far = (f != g) & (f >= 0) & (g >= 0)
+                q, t = q[far], t[far]
+            length, on = np.zeros(len(q), dtype=np.int32), np.arange(len(q))
+            while len(on):
+                on = on[a[0][q[on] + length[on]] == b[0][t[on] + length[on]]]
+                length[on] += 1
+            good = length >= size
+            q, t, length = q[good], t[good], length[good]
+            for k in range(0, len(q), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                i_q, i_t = a[1][q[s]], b[1][t[s]]
+                yield i_q, base + i_t, q[s] - a[2][i_q], t[s] - b[2][i_t], length[s]
 
 
 def chain_lines(scores: DataFrame, group: Sequence[str], line: str, pos: str, score: str, lines: int, lo: int = 15, hi: int = 140) -> DataFrame:

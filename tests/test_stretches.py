@@ -66,3 +66,30 @@ def test_harvest_and_tiles(spark):
     rows = IO.harvest_pages(spark, fetch, 3, "k long, v long, error string", "k", wait=0)
     assert sorted((r["k"] or 0, r["v"], r["page"]) for r in rows.collect()) == [(0, 2, 2), (1, 3, 3)]
     assert IO.harvest_report(rows, "k", 2).first().asDict() == {"unique": 1, "expected": 2, "failed": 0, "incomplete": True}
+
+
+def test_common_runs_send_no_seeds(spark):
+    """Runs over all pairs of parts, of families that differ, against all places; texts aren't cut into rows of seeds."""
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("אבג") for _ in range(n))
+    q = [(f"q{i}", rnd.choice(["x", "y", None]), word(rnd.randint(0, 40))) for i in range(12)]
+    t = [(i, rnd.choice(["x", "z", None]), word(rnd.randint(0, 60))) for i in range(15)]
+    q += [("whole", "w", t[0][2] + "ד"), ("no text", "w", None)]
+    want = set()
+    for k, f, a in q:
+        for j, g, b in t:
+            for i in range(len(a or "")):
+                for o in range(len(b)):
+                    if f and g and f != g and (not i or not o or a[i - 1] != b[o - 1]):
+                        n = next((m for m in range(len(a)) if i + m >= len(a) or o + m >= len(b) or a[i + m] != b[o + m]), len(a))
+                        want |= {(k, j, i, o, n)} if n >= 4 else set()
+    dq, dt = spark.createDataFrame(q, "q string, fq string, s string"), spark.createDataFrame(t, "t long, ft string, s string")
+    d = Q.common_runs(dq, dt, "q", "t", "s", 4, ("fq", "ft"), group=90, block=150)
+    assert sorted(map(tuple, d.collect())) == sorted(want) and len(want) > 50
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "inline(" not in plan  # seeds aren't rows
+    import pyarrow as pa
+
+    texts = [pa.array([x[-1] or "" for x in side]) for side in (q, t)]
+    one, many = ([tuple(int(v[k]) for v in b) for b in Q.merged_runs(*texts, 4, piece=n) for k in range(len(b[0]))] for n in (1 << 20, 16))
+    assert sorted(one) == sorted(many) and len(one) > len(want)
