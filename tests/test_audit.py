@@ -199,3 +199,51 @@ def test_groups_drawn_again_count_again(spark):
     assert got[0] == got[1] and [x[1] for x in got[0]] == [27, 27]
     plan = U.group_validation(spark.createDataFrame(every, "q string, doc string, p double"), *sets)._jdf.queryExecution().executedPlan().toString()
     assert "drawn" in plan  # distinct draws, written
+
+
+def test_best_with_p_is_the_best_of_all_scores(spark):
+    """Texts are bounded before they are scored, by blocks and keys; best texts, ties and p are those of all scores of all pairs."""
+    import numpy as np
+
+    from lacuna.functions.hebrew import ALPHABET
+    from lacuna.operators import calibration as K
+    from lacuna.operators import corpus as C
+
+    rng = np.random.default_rng(5)
+    rows = (rng.normal(-1.5, 0.5, (22, 22)) + np.eye(22) * 4).tolist()
+    pick = lambda n, k=5: "".join(rng.choice(list(ALPHABET[:k]), n))
+    texts = [(f"g{i % 6}", f"f{i:02}", pick(int(rng.integers(1, 160))) + "|") for i in range(40)]
+    texts += [("g1", "f98", texts[3][2]), ("g2", "f99", ""), ("alone", "f", pick(30)), ("far", "f", pick(99)), ("g0", "long", pick(400) + "|" + texts[3][2])]
+    members = [("a", g) for g in ("g0", "g1", "g2", "g3")] + [("b", g) for g in ("g1", "g3", "g5", "none")] + [("c", "alone"), ("none", "far")]
+    read = [(f"q{i}/f#{i % 3}", "ab"[i % 2], f"g{i % 6}", [pick(3 + i % 9), pick(i % 4), pick(i % 7)][: 1 + i % 3]) for i in range(24)]
+    read += [("own only", "c", "alone", [pick(5)]), ("other", "c", "g1", ["ש" * 9, "ך"]), ("letters", "a", "g5", [""]), ("part", "a", "g5", [texts[3][2][:20]]), ("no key", None, "g1", [pick(5)])]
+    read = [(*x, [["".join(rng.permutation(list(t))) for t in x[3]] for _ in range(5)]) for x in read]
+    r = spark.createDataFrame(read, "q string, k string, own string, tables array<string>, controls array<array<string>>")
+    t, m = spark.createDataFrame(texts, "g string, frag string, symbols string"), spark.createDataFrame(members * 2, "k string, g string")
+    every = r.select("q", "k", "own", "tables", F.lit(-1).alias("rep")).unionByName(r.select("q", "k", "own", F.posexplode("controls").alias("rep", "tables")))
+    every = every.withColumn("id", F.concat_ws("~", "q", "rep"))
+    pairs = every.join(m.distinct(), "k").where("g <> own").select("id", "g")
+    s = C.scores_by_document(pairs, every.select("id", "tables"), t, "id", "g", "frag", rows=rows)
+    best = R.top_per_group(s, ["id"], [F.desc("score"), F.col("g"), F.col("frag")], 1).drop("rank").join(every.select("id", "q", "rep"), "id")
+    want = {(x["q"], x["g"], x["frag"], x["score"], x["p"]) for x in K.empirical_p(best.where("rep < 0"), best.where("rep >= 0").select("q", "score"), ["q"], "score").collect()}
+    assert len(want) == 26 and len({x[4] for x in want}) > 3 and min(x[3] for x in want) == 0
+    for sizes in ({}, {"block": 500, "letters": 300}):
+        assert {tuple(x) for x in C.best_with_p(r, m, t, "q", "k", "own", "g", "frag", rows, **sizes).collect()} == want
+
+
+def test_prior_search_writes_no_pairs(spark, monkeypatch):
+    """What is written grows with the readings and with the texts, not with the pairs of both."""
+    from lacuna.plans import audit_queries as A
+    from lacuna.session import WorkDir
+
+    sf, save, rows = "/root/testdata/sf0.01", WorkDir.save, {}
+
+    def counted(self, df, name, *more):
+        out = save(self, df, name, *more)
+        rows[name] = out.count()
+        return out
+
+    pairs = A.prior_candidates(spark, sf).count()
+    monkeypatch.setattr(WorkDir, "save", counted)
+    assert A.prior_search(spark, sf).count() == 31
+    assert rows and max(rows.values()) < pairs, rows
